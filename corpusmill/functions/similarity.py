@@ -7,9 +7,12 @@ around it, run in Python, on short per-group lists.
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from difflib import SequenceMatcher
+from functools import cached_property
+from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,9 +50,87 @@ def length_compatible(a: Column, b: Column) -> Column:
     return low.cast("double") / high >= F.lit(fixed.DEDUP_LENGTH_RATIO)
 
 
-def _grams(text: str, n: int = 3) -> frozenset[str]:
-    packed = text.replace(" ", "")
-    return frozenset(packed[i : i + n] for i in range(max(1, len(packed) - n + 1)))
+def _reaches(matcher: SequenceMatcher, la: int, lb: int, threshold: float) -> bool:
+    """Whether the matching-block ratio of the two texts is at least ``threshold``.
+
+    Splits at longest common blocks, largest open range first, and stops as soon as the open ranges
+    cannot supply the missing matches (or the matches found already suffice). Unrelated texts are
+    settled by their first block, because it sits at different places in the two.
+    """
+    total = la + lb
+    matched, open_ranges, supply = 0, [(-min(la, lb), 0, la, 0, lb)], min(la, lb)
+    while open_ranges and 2.0 * (matched + supply) / total >= threshold:
+        if 2.0 * matched / total >= threshold:
+            return True
+        bound, alo, ahi, blo, bhi = heappop(open_ranges)
+        supply += bound
+        i, j, size = matcher.find_longest_match(alo, ahi, blo, bhi)
+        if size:
+            matched += size
+            for rest in ((alo, i, blo, j), (i + size, ahi, j + size, bhi)):
+                room = min(rest[1] - rest[0], rest[3] - rest[2])
+                if room > 0:
+                    supply += room
+                    heappush(open_ranges, (-room, *rest))
+    return 2.0 * matched / total >= threshold
+
+
+class _Text:
+    """A normalised text with the derived forms the pair rule looks at, built on first use."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.length = len(text)
+
+    @cached_property
+    def grams(self) -> frozenset[str]:
+        packed = self.text.replace(" ", "")
+        return frozenset(packed[i : i + 3] for i in range(max(1, len(packed) - 2)))
+
+    @cached_property
+    def letters(self) -> Counter:
+        return Counter(self.text)
+
+    @cached_property
+    def fives(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashed 5-grams and their counts."""
+        codes = np.frombuffer(self.text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        count = max(0, len(codes) - 4)
+        hashed = np.zeros(count, np.uint64)
+        for shift in range(5):
+            hashed = hashed * np.uint64(1_000_003) + codes[shift : shift + count]
+        return np.unique(hashed, return_counts=True)
+
+    @cached_property
+    def matcher(self) -> SequenceMatcher:
+        return SequenceMatcher(None, "", self.text)
+
+
+def _common_fives(a: _Text, b: _Text) -> int:
+    grams, counts = a.fives
+    others, other_counts = b.fives
+    _, left, right = np.intersect1d(grams, others, assume_unique=True, return_indices=True)
+    return int(np.minimum(counts[left], other_counts[right]).sum())
+
+
+def _near(earlier: _Text, new: _Text, threshold: float) -> bool:
+    low, high = sorted((earlier.length, new.length))
+    if low / high < fixed.DEDUP_LENGTH_RATIO:
+        return False
+    common = len(new.grams & earlier.grams)
+    if common / (len(new.grams) + len(earlier.grams) - common) >= fixed.DEDUP_JACCARD:
+        return True
+    # Letters in common bound the matched characters from above.
+    shared = sum((earlier.letters & new.letters).values())
+    if 2.0 * shared / (low + high) < threshold:
+        return False
+    # A run of matches loses at most four 5-grams, and each run but one follows an unmatched letter,
+    # so m matched letters need at least m - 4 x (unmatched + 1) common 5-grams: this bounds m.
+    total = low + high
+    if 2.0 * (_common_fives(earlier, new) + 4 * (total + 1)) / 9 / total < threshold:
+        return False
+    new.matcher.set_seq1(earlier.text)
+    return _reaches(new.matcher, earlier.length, new.length, threshold)
 
 
 class RecentTexts:
@@ -58,41 +139,21 @@ class RecentTexts:
     def __init__(self, gate: int, threshold: float = fixed.DEDUP_THRESHOLD, texts=()):
         self.gate = gate
         self.threshold = threshold
-        self.kept: deque = deque(maxlen=fixed.DEDUP_LOOK_BACK)
-        for text in texts:
-            self.add(text)
-
-    def add(self, text: str) -> None:
-        self.kept.append([text, None])
+        self.kept: deque[_Text] = deque((_Text(t) for t in texts), maxlen=fixed.DEDUP_LOOK_BACK)
 
     def texts(self) -> list[str]:
-        return [entry[0] for entry in self.kept]
-
-    def repeats(self, text: str) -> bool:
-        matcher, grams = None, None
-        for entry in self.kept:
-            other = entry[0]
-            if other == text:
-                return True
-            sizes = sorted((len(other), len(text)))
-            if sizes[1] - sizes[0] > self.gate or sizes[0] / sizes[1] < fixed.DEDUP_LENGTH_RATIO:
-                continue
-            grams = grams or _grams(text)
-            entry[1] = entry[1] or _grams(other)
-            common = len(grams & entry[1])
-            if common / (len(grams) + len(entry[1]) - common) >= fixed.DEDUP_JACCARD:
-                return True
-            if matcher is None:
-                matcher = SequenceMatcher(None, "", text)
-            matcher.set_seq1(other)
-            # Both quick ratios bound the real one from above, so the order only saves time.
-            if (
-                matcher.real_quick_ratio() >= self.threshold
-                and matcher.quick_ratio() >= self.threshold
-                and matcher.ratio() >= self.threshold
-            ):
-                return True
-        return False
+        return [t.text for t in self.kept]
+
+    def keep_if_new(self, text: str) -> bool:
+        """Remember the text and return True, unless it repeats a recent one."""
+        new = _Text(text)
+        for earlier in self.kept:
+            if earlier.text == text:
+                return False
+            if abs(earlier.length - new.length) <= self.gate and _near(earlier, new, self.threshold):
+                return False
+        self.kept.append(new)
+        return True
 
 
 def greedy_positions(norms, gate: int, exact_only: bool = False) -> list[int]:
@@ -101,34 +162,34 @@ def greedy_positions(norms, gate: int, exact_only: bool = False) -> list[int]:
     recent = RecentTexts(gate)
     kept = []
     for position, text in enumerate(norms):
-        if not text or text in seen or (not exact_only and recent.repeats(text)):
-            continue
-        seen.add(text)
-        recent.add(text)
-        kept.append(position)
+        if text and text not in seen and (exact_only or recent.keep_if_new(text)):
+            seen.add(text)
+            kept.append(position)
     return kept
 
 
+# Both are declared non-deterministic although they are not: it keeps the optimiser from copying the
+# Python call into lambda bodies and inferred filters, where it cannot be evaluated.
 def kept_positions(gate: int, exact_only: bool = False):
     """Pandas UDF: array of normalised texts -> array of kept positions (from 0)."""
 
-    @pandas_udf("array<int>")
+    @pandas_udf(T.ArrayType(T.IntegerType()))
     def run(norms: pd.Series) -> pd.Series:
         return norms.map(lambda xs: greedy_positions(xs, gate, exact_only) if xs is not None else [])
 
-    return run
+    return run.asNondeterministic()
 
 
 def kept_positions_nested(gate: int, exact_only: bool = False):
     """Pandas UDF: the same for an array of lists, each list on its own."""
 
-    @pandas_udf("array<array<int>>")
+    @pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
     def run(groups: pd.Series) -> pd.Series:
         return groups.map(
             lambda gs: [greedy_positions(g, gate, exact_only) for g in gs] if gs is not None else []
         )
 
-    return run
+    return run.asNondeterministic()
 
 
 @pandas_udf(T.DoubleType())

@@ -13,15 +13,17 @@ from corpusmill import fixed
 
 # Java's \s is ASCII only; these are the remaining characters Unicode calls white space.
 SPACE = r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # The same class without the characters that end a line.
 INLINE_SPACE = r" \t\x1f\xa0\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
+CUT = "\ue001"  # private-use character: marks a place to split
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(col, F.lit(SPACE_CHARS))
 
 
 def any_of(words: list[str]) -> str:
@@ -126,7 +128,8 @@ def lines(col: Column) -> Column:
 
 def split_sentences(col: Column) -> Column:
     """Sentences end at . ! or ? before white space; they are trimmed and empty ones dropped."""
-    parts = F.transform(F.split(col, rf"(?<=[.!?])[{SPACE}]+"), strip)
+    marked = F.regexp_replace(col, rf"([.!?])[{SPACE}]+", "$1" + CUT)
+    parts = F.transform(F.split(marked, CUT), strip)
     return F.filter(parts, lambda s: s != "")
 
 

@@ -13,6 +13,7 @@ from corpusmill import fixed
 from corpusmill.functions.similarity import RecentTexts, greedy_positions, jaccard
 from corpusmill.functions.text import normalize_text
 from corpusmill.operators.replay import ordered_replay
+from corpusmill.session import ship_package
 
 
 def duplicate_groups(df: DataFrame, order: str, text: str = "text", keys: list[str] | None = None) -> DataFrame:
@@ -65,10 +66,9 @@ def fuzzy_dedup(
         recent = RecentTexts(gate, texts=json.loads(state) if state else [])
         seen, kept = set(), []
         for norm, digest, copied in zip(pdf["_n"], pdf["_h"], pdf["_copied"]):
-            keep = not copied and digest not in seen and not recent.repeats(norm)
+            keep = not copied and digest not in seen and recent.keep_if_new(norm)
             if keep:
                 seen.add(digest)
-                recent.add(norm)
             kept.append(keep)
         return pdf.assign(kept=kept), json.dumps(recent.texts(), ensure_ascii=False)
 
@@ -93,6 +93,13 @@ def fuzzy_dedup(
     return df.join(done.where("kept").select(*keys, order), [*keys, order], "left_semi")
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Fixed partitioning by key in front of a Python step, whose cost adaptive merging cannot see."""
+    ship_package(df.sparkSession)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
+
+
 def dedup_ranked(
     df: DataFrame, keys: list[str], order: list[str], text: str = "text", gate: int = fixed.DEDUP_GATE_DOCS
 ) -> DataFrame:
@@ -107,7 +114,7 @@ def dedup_ranked(
         pdf = pdf.sort_values(order, kind="stable")
         return pdf.iloc[greedy_positions(pdf["_n"].tolist(), gate)].drop(columns="_n")
 
-    return work.groupBy(*keys).applyInPandas(run, schema)
+    return spread(work, keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def dense_position(df: DataFrame, keys: list[str], order: str, bucket_rows: int = 100_000) -> DataFrame:

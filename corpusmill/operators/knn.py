@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.bm25 import rank_within
+from corpusmill.session import ship_package
 
 MAX_BROADCAST_FLOATS = 8_000_000
 _DIGITS = 6
@@ -131,6 +132,7 @@ def knn(
     rows = rows.where(F.size("embedding") > 0)
     if n <= 0:
         return rows.sparkSession.createDataFrame([], _OUT + ", rank int")
+    ship_package(rows.sparkSession)
     wanted = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where(F.size("embedding") > 0)
     first = wanted.limit(1).collect()
     dim = len(first[0]["embedding"]) if first else 1
