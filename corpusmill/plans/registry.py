@@ -5,9 +5,10 @@ from __future__ import annotations
 from corpusmill.plans import (
     queries_corpus,
     queries_retrieval,
+    queries_service,
 )
 
-_MODULES = [queries_retrieval, queries_corpus]
+_MODULES = [queries_retrieval, queries_corpus, queries_service]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
