@@ -25,9 +25,9 @@ from corpusmill import fixed
 def shingles(col: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the text without blanks; a shorter text is its own shingle."""
     packed = F.replace(col, F.lit(" "), F.lit(""))
-    last = F.greatest(F.length(packed) - F.lit(n - 1), F.lit(1))
-    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(packed, i, F.lit(n)))
-    return F.array_distinct(grams)
+    # A look-ahead matches at every position: overlapping grams in one linear pass.
+    grams = F.regexp_extract_all(packed, F.lit("(?s)(?=(" + "." * n + "))"), F.lit(1))
+    return F.when(F.length(packed) < n, F.array(packed)).otherwise(F.array_distinct(grams))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:

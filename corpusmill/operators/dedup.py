@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill import fixed
-from corpusmill.functions.similarity import RecentTexts, greedy_positions, jaccard
+from corpusmill.functions.arrays import pick
+from corpusmill.functions.similarity import RecentTexts, greedy_positions, kept_positions, set_jaccard, shingles
 from corpusmill.functions.text import normalize_text
 from corpusmill.operators.replay import ordered_replay
 from corpusmill.session import ship_package
@@ -47,16 +48,38 @@ def fuzzy_dedup(
     """Greedy near-duplicate removal inside each group, in ``order``.
 
     A row is dropped when it equals an earlier kept row or nearly equals one of the last 30 kept.
-    ``order`` is an integer position, unique within a group.
+    ``order`` is an integer position, unique within a group. Groups of at most ``segment_rows`` rows
+    are settled in one pass; a larger one is cut into segments and replayed.
     """
     if exact_only:
         return exact_dedup(df, order, text, keys)
+    if df.schema[order].dataType not in (T.LongType(), T.IntegerType()):
+        raise TypeError(f"{order} must be an integer position")
     rows = df.select(*keys, order, normalize_text(F.col(text)).alias("_n")).where(F.col("_n") != "")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = sizes.where(F.col("_rows") > segment_rows).select(*keys)
+    large = hot.limit(1).count() > 0
+    small_rows = rows.join(hot, keys, "left_anti") if large else rows
+    kept = _one_pass(small_rows, keys, order, gate)
+    if large:
+        hot_rows = rows.join(hot, keys, "left_semi")
+        kept = kept.unionByName(_segmented(hot_rows, keys, order, gate, segment_rows))
+    return df.join(kept, [*keys, order], "left_semi")
+
+
+def _one_pass(rows: DataFrame, keys: list[str], order: str, gate: int) -> DataFrame:
+    """Kept (keys, order) of groups bounded by the segment size, many groups per Arrow batch."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_n").alias("n"))))
+    lists = spread(rows, keys).groupBy(*keys).agg(ordered.alias("_rows"))
+    found = lists.withColumn("_kept", kept_positions(gate)(F.transform("_rows", lambda r: r["n"])))
+    return found.select(*keys, F.explode(pick(F.col("_rows.o"), F.col("_kept"))).alias(order))
+
+
+def _segmented(rows: DataFrame, keys: list[str], order: str, gate: int, segment_rows: int) -> DataFrame:
+    """Kept (keys, order) of large groups, replayed segment by segment."""
     rows = rows.withColumn("_h", F.md5(F.col("_n").cast("binary")))
     first = rows.groupBy(*keys, "_h").agg(F.min(order).alias("_first"))
     rows = rows.join(first, [*keys, "_h"])
-    if df.schema[order].dataType not in (T.LongType(), T.IntegerType()):
-        raise TypeError(f"{order} must be an integer position")
     segment = F.floor(F.col(order) / F.lit(segment_rows))
     first_segment = F.floor(F.col("_first") / F.lit(segment_rows))
     # _copied: an equal text was kept in an earlier segment. First guess: the first copy is kept.
@@ -90,7 +113,7 @@ def fuzzy_dedup(
         feedback=kept_copies,
         hint=T.StructField("_copied", T.BooleanType()),
     )
-    return df.join(done.where("kept").select(*keys, order), [*keys, order], "left_semi")
+    return done.where("kept").select(*keys, order)
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,13 +146,13 @@ def dense_position(df: DataFrame, keys: list[str], order: str, bucket_rows: int
     Numbers rows inside (group, range of ``order``) and adds the count of the earlier ranges, so a hot
     group is numbered by many tasks; only one narrow row per range meets in one window.
     """
-    ranged = df.withColumn("_r", F.floor(F.col(order) / F.lit(bucket_rows)))
-    counts = ranged.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_r", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
-    local = Window.partitionBy(*keys, "_r").orderBy(order)
-    numbered = ranged.withColumn("_i", F.row_number().over(local) - 1)
-    return numbered.join(offsets, [*keys, "_r"]).withColumn("position", F.col("_i") + F.col("_o")).drop("_i", "_o", "_r")
+    ranged = df.withColumn("_range", F.floor(F.col(order) / F.lit(bucket_rows)))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_in_range"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_in_range").over(before), F.lit(0)).alias("_offset"))
+    local = Window.partitionBy(*keys, "_range").orderBy(order)
+    numbered = ranged.withColumn("_nth", F.row_number().over(local) - 1).join(offsets, [*keys, "_range"])
+    return numbered.withColumn("position", F.col("_nth") + F.col("_offset")).drop("_nth", "_offset", "_range")
 
 
 def near_pairs(
@@ -149,7 +172,11 @@ def near_pairs(
     spread over as many tasks as it has blocks.
     """
     norm = df.select(*keys, F.col(order).alias("_id"), F.col(position).alias("_p"), normalize_text(F.col(text)).alias("_n"))
-    norm = norm.where(F.col("_n") != "").withColumn("_len", F.length("_n"))
+    # Shingles are built once per row, not once per pair.
+    norm = norm.where(F.col("_n") != "").select(
+        *keys, "_id", "_p", F.md5(F.col("_n").cast("binary")).alias("_h"), F.length("_n").alias("_len"),
+        shingles(F.col("_n")).alias("_g"),
+    )
     block = F.floor(F.col("_p") / F.lit(look_back))
     left = norm.withColumn("_b", F.explode(F.array(block, block + 1)))
     right = norm.withColumn("_b", block)
@@ -161,8 +188,10 @@ def near_pairs(
         & (F.abs(F.col("a._len") - F.col("b._len")) <= gate)
         & (F.least("a._len", "b._len").cast("double") / F.greatest("a._len", "b._len") >= fixed.DEDUP_LENGTH_RATIO)
     )
-    pairs = a.join(b, [*same, near])
-    score = jaccard(F.col("a._n"), F.col("b._n"))
+    # The ratio of two set sizes bounds their Jaccard from above.
+    sizes = F.least(F.size("a._g"), F.size("b._g")).cast("double") / F.greatest(F.size("a._g"), F.size("b._g"))
+    pairs = a.join(b, [*same, near, sizes >= threshold])
+    score = F.when(F.col("a._h") == F.col("b._h"), 1.0).otherwise(set_jaccard(F.col("a._g"), F.col("b._g")))
     return pairs.select(
         *[F.col(f"a.{k}").alias(k) for k in keys],
         F.col("a._id").alias("first_id"),
