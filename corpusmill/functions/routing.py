@@ -187,9 +187,14 @@ def file_intent(text: Column) -> Column:
 
     Undecided texts (a single mark of a request) are reported by ``has_request`` null, for a model.
     """
-    txt = strip(F.coalesce(text, F.lit("")))
-    low = F.lower(txt)
-    plain = strip_accents(low)
+    forms = let(strip(F.coalesce(text, F.lit(""))), lambda t: F.struct(t.alias("txt"), F.lower(t).alias("low")))
+    return let(
+        let(forms, lambda f: f.withField("plain", strip_accents(f["low"]))),
+        lambda f: _file_intent(f["txt"], f["low"], f["plain"]),
+    )
+
+
+def _file_intent(txt: Column, low: Column, plain: Column) -> Column:
     keywords = list(dict.fromkeys(fixed.IMPERATIVE_WORDS + _plain(fixed.IMPERATIVE_WORDS)))
 
     def anywhere(words: list[str]) -> Column:

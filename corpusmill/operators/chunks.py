@@ -11,6 +11,7 @@ from corpusmill.functions.chunking import contextual_chunks, effective_min, fast
 from corpusmill.functions.text import clean_text, lines, strip
 from corpusmill.operators.bm25 import rank_within
 from corpusmill.operators.dedup import dense_position, fuzzy_dedup
+from corpusmill.session import ensure_checkpoint_dir
 
 _TEXT_KINDS = ["pdf", "pdf_scan", "docx", "txt"]
 
@@ -108,7 +109,9 @@ def build_chunks(
         "figure", 200,
     )
 
-    pieces = text_part.unionByName(table_part).unionByName(figure_part)
+    # Numbering and duplicate removal read the pieces several times; chunking should run once.
+    ensure_checkpoint_dir(records.sparkSession)
+    pieces = text_part.unionByName(table_part).unionByName(figure_part).checkpoint()
     numbered = dense_position(
         pieces.withColumn("_o", F.col("rec_no").cast("long") * (1 << 20) + F.col("_piece")), ["source"], "_o", 1 << 30
     )
