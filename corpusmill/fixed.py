@@ -7,6 +7,7 @@ NOISE_WHOLE_LINE = [
     r"c[oọ]ng h[oò]a x[aã] h[oộ]i ch[uủ] ngh[iĩ]a vi[eệ]t nam",
     r"đ[oộ]c l[aâ]p\s*[-–]\s*t[uư] do\s*[-–]\s*h[aạ]nh ph[uú]c",
     r"cộng hòa xã hội chủ nghĩa việt nam",
+    r"độc lập – tự do – hạnh phúc",
     r"th[oô]ng b[aá]o",
     r"trang",
     r"/tb-hvm",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import fixed
 from corpusmill.functions.text import tokenize
-from corpusmill.session import bounded_broadcast
+from corpusmill.session import bounded_broadcast, widen
 
 # No token is empty, so the empty term can stand for "the document itself".
 _DOC = ""
@@ -30,7 +30,8 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "qu
 
 
 def _matched(docs: DataFrame, vocabulary: DataFrame, doc_id: str, text: str, scope: list[str]) -> DataFrame:
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), *scope, tokenize(F.col(text)).alias("_tokens"))
+    wide = widen(docs.select(F.col(doc_id).alias("doc_id"), *scope, F.col(text).alias("_text")), "doc_id")
+    tokens = wide.select("doc_id", *scope, tokenize(F.col("_text")).alias("_tokens"))
     rows = tokens.select(
         "doc_id",
         *scope,
@@ -116,7 +117,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, scope: list[str]
 
 def term_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, df, cf, idf, n_docs, avgdl) of the whole corpus: the index side of BM25."""
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), tokenize(F.col(text)).alias("_tokens"))
+    wide = widen(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
+    tokens = wide.select("doc_id", tokenize(F.col("_text")).alias("_tokens"))
     totals = tokens.agg(
         F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("_tokens").cast("double")).alias("avgdl")
     )

@@ -68,13 +68,15 @@ def build_chunks(
         )
     )
     opening = parents.groupBy("source").agg(F.min_by("_parent", "_at").alias("_opening"))
-    placed = typed.join(parents.drop("_at"), ["source", "page"], "left").join(opening, "source", "left")
+    extras = typed.where("chunk_type <> 'text'")
+    placed = extras.join(parents.drop("_at"), ["source", "page"], "left").join(opening, "source", "left")
     context = F.coalesce("_parent", "_opening", F.lit(""))
     page = F.col("page").cast("string")
     origin = F.concat(F.col("filename"), F.lit(" trang "), page)
     lead = F.concat(F.lit("[Bối cảnh trang "), page, F.lit("]\n"), context, F.lit("\n\n"))
 
-    text_rows = placed.where("chunk_type = 'text'").where(F.col("_clean") != "")
+    # Text is chunked where it was read; only the finished pieces meet their page's opening.
+    text_rows = typed.where("chunk_type = 'text'").where(F.col("_clean") != "")
     if contextual:
         text_rows = contextual_chunks(text_rows, "_clean", "_pieces", F.col("category"), min_chars, max_chars)
     else:
@@ -82,7 +84,11 @@ def build_chunks(
     low = effective_min(None)
     text_part = _part(
         text_rows, F.filter("_pieces", lambda c: F.length(strip(c)) >= low),
-        "contextual" if contextual else "semantic", 100,
+        "contextual" if contextual else "semantic", None,
+    )
+    shown = parents.select("source", "page", F.substring("_parent", 1, 100).alias("parent_context"))
+    text_part = text_part.drop("parent_context").join(shown, ["source", "page"], "left").withColumn(
+        "parent_context", F.coalesce("parent_context", F.lit(""))
     )
 
     markdown = markdown_table(F.col("table_data.headers"), F.col("table_data.rows"))
@@ -129,8 +135,11 @@ def build_chunks(
     )
 
 
-def _part(rows: DataFrame, pieces: Column, mode: str, parent_chars: int) -> DataFrame:
-    shown = F.substring(F.coalesce("_parent", F.lit("")), 1, parent_chars)
+def _part(rows: DataFrame, pieces: Column, mode: str, parent_chars: int | None) -> DataFrame:
+    if parent_chars is None:
+        shown = F.lit("")
+    else:
+        shown = F.substring(F.coalesce("_parent", F.lit("")), 1, parent_chars)
     return rows.select(
         "source", "rec_no", F.posexplode(pieces).alias("_piece", "text"), "category", "subcategory", "filename",
         "page", F.lit(mode).alias("chunk_mode"), "chunk_type", "block_type", shown.alias("parent_context"),

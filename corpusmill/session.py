@@ -70,6 +70,16 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+def widen(df: DataFrame, key: str, task_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """Spread a small input over all cores before expensive per-row work.
+
+    A small file arrives as one or two splits, which would leave the work to as many tasks. Inputs
+    with at least ``task_bytes`` per core already have splits enough and are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if estimated_bytes(df) < cores * task_bytes else df
+
+
 def bounded_broadcast(
     side: DataFrame, source: DataFrame, growth: float = 1.0, limit: int = BROADCAST_LIMIT_BYTES
 ) -> DataFrame:
