@@ -14,13 +14,14 @@ from corpusmill.functions.arrays import pick
 from corpusmill.functions.similarity import RecentTexts, greedy_positions, kept_positions, set_jaccard, shingles
 from corpusmill.functions.text import normalize_text
 from corpusmill.operators.replay import ordered_replay
-from corpusmill.session import ship_package
+from corpusmill.session import ship_package, widen
 
 
 def duplicate_groups(df: DataFrame, order: str, text: str = "text", keys: list[str] | None = None) -> DataFrame:
     """(keys, key, first row, copies) of every distinct non-blank text; only hashes are shuffled."""
     keys = keys or []
-    hashed = df.select(*keys, F.col(order), normalize_text(F.col(text)).alias("_n")).where(F.col("_n") != "")
+    wide = widen(df.select(*keys, order, text), order)
+    hashed = wide.select(*keys, order, normalize_text(F.col(text)).alias("_n")).where(F.col("_n") != "")
     return hashed.groupBy(*keys, F.md5(F.col("_n").cast("binary")).alias("key")).agg(
         F.min(order).alias(order), F.count(F.lit(1)).alias("copies")
     )

@@ -10,6 +10,7 @@ from corpusmill.functions.text import clean_text, normalize_text, split_sentence
 from corpusmill.operators import chunks as chunk_ops
 from corpusmill.operators import dedup
 from corpusmill.plans.tables import documents, table
+from corpusmill.session import widen
 from corpusmill.sources import manifest, store, vectortable
 
 
@@ -19,7 +20,8 @@ def _md5(col):
 
 def clean_lines(spark, folder):
     cleaned = clean_text(F.col("text"))
-    return documents(spark, folder).select("doc_id", cleaned.alias("c")).select(
+    docs = widen(documents(spark, folder).select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", cleaned.alias("c")).select(
         "doc_id", F.length("c").cast("long").alias("chars"), _md5(F.col("c")).alias("md5")
     )
 
