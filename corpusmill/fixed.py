@@ -267,3 +267,16 @@ CLARIFY_RULE = (
 CLARIFY_STATUTE = (
     "Bạn muốn hỏi về quy chế nào? Ví dụ quy chế đào tạo hay quy chế công tác học viên?"
 )
+
+# --- Fixed values: replies without a model ---------------------------------------------------------
+SOCIAL_REPLIES = [
+    (
+        ["xin chào", "chào bạn", "chào", "hello", "hi", "hey"],
+        "Xin chào! Mình khỏe, cảm ơn bạn đã hỏi thăm. Bạn cần mình hỗ trợ gì về quy chế, quy định hay thông tin nào khác không?",
+    ),
+    (["khỏe"], "Mình khỏe, cảm ơn bạn! Bạn đang cần tìm hiểu thêm về vấn đề gì?"),
+    (["cảm ơn", "cam on"], "Không có gì, rất vui được giúp bạn! Bạn cần hỏi thêm gì nữa không?"),
+    (["tạm biệt", "bye"], "Tạm biệt bạn nhé! Hẹn gặp lại khi bạn cần hỗ trợ thêm."),
+]
+SOCIAL_WHO_WORDS = ["bạn là ai", "gioi thieu"]
+SOCIAL_OTHER = "Chào bạn! Mình ở đây để trò chuyện và hỗ trợ bạn. Bạn muốn hỏi về vấn đề gì?"

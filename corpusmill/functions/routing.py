@@ -295,18 +295,13 @@ def retry_query(standalone: Column, question: Column, attempts: Column) -> Colum
     return F.when(attempts > 0, longer).otherwise(standalone)
 
 
-def social_reply(question: Column) -> Column:
-    """Fixed replies used when no model is given."""
+def social_reply(question: Column, about: str = fixed.SOCIAL_OTHER) -> Column:
+    """Fixed replies used when no model is given; ``about`` answers who is speaking."""
     q = _low(question)
-    greeting = "Xin chào! Mình khỏe, cảm ơn bạn đã hỏi thăm. Bạn cần mình hỗ trợ gì về quy chế, quy định hay thông tin nào khác không?"
-    return (
-        F.when(contains_any(q, ["xin chào", "chào bạn", "chào", "hello", "hi", "hey"]), greeting)
-        .when(contains_any(q, ["khỏe"]), "Mình khỏe, cảm ơn bạn! Bạn đang cần tìm hiểu thêm về vấn đề gì?")
-        .when(contains_any(q, ["cảm ơn", "cam on"]), "Không có gì, rất vui được giúp bạn! Bạn cần hỏi thêm gì nữa không?")
-        .when(contains_any(q, ["tạm biệt", "bye"]), "Tạm biệt bạn nhé! Hẹn gặp lại khi bạn cần hỗ trợ thêm.")
-        .when(contains_any(q, ["bạn là ai", "gioi thieu"]), "Mình là trợ lý ảo của Học viện Kỹ thuật Mật mã, luôn sẵn sàng hỗ trợ bạn tra cứu quy chế, quy định và các thông tin liên quan.")
-        .otherwise("Chào bạn! Mình ở đây để trò chuyện và hỗ trợ bạn. Bạn muốn hỏi về vấn đề gì?")
-    )
+    reply = F.when(F.lit(False), F.lit(""))
+    for words, text in [*fixed.SOCIAL_REPLIES, (fixed.SOCIAL_WHO_WORDS, about)]:
+        reply = reply.when(contains_any(q, words), F.lit(text))
+    return reply.otherwise(F.lit(fixed.SOCIAL_OTHER))
 
 
 def route(

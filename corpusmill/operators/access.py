@@ -77,6 +77,13 @@ def visible_sessions(sessions: DataFrame, username: str | None, is_admin: bool =
     return sessions.where(F.col("owner").isNull() | (F.col("owner") == "") | (F.col("owner") == F.lit(username)))
 
 
+def ordered_categories(categories: Column, order: list[str]) -> Column:
+    """The known categories a user may see, in their fixed order."""
+    known = F.array(*[F.lit(c) for c in order])
+    allowed = allowed_categories(categories)
+    return F.when(allowed.isNull(), known).otherwise(F.filter(known, lambda c: F.array_contains(allowed, c)))
+
+
 def grantable(categories: Column, known: list[str]) -> Column:
     """Categories that can be given to a new user; nothing valid left means all known ones."""
     valid = F.array_intersect(categories, F.array(*[F.lit(c) for c in [*known, "*"]]))

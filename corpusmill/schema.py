@@ -97,6 +97,16 @@ CHAT_LOG = T.StructType([
     T.StructField("stream", T.BooleanType()),
     T.StructField("standalone", T.StringType()),
 ])
+GOLDEN = T.StructType([
+    T.StructField("question", T.StringType()),
+    T.StructField("reference", T.StringType()),
+    T.StructField("golden_file", T.StringType()),
+    T.StructField("golden_files", T.ArrayType(T.StringType())),
+    T.StructField("golden_keywords", T.ArrayType(T.StringType())),
+    T.StructField("ref_keywords", T.ArrayType(T.StringType())),
+    T.StructField("category", T.StringType()),
+    T.StructField("unanswerable", T.BooleanType()),
+])
 MANIFEST = T.StructType([T.StructField("source", T.StringType()), T.StructField("mtime", T.DoubleType())])
 SESSION = T.StructType([
     T.StructField("session_id", T.StringType()),

@@ -72,6 +72,19 @@ def delete_by_session(table: DataFrame, session_id: str, filename: str | None =
     return table.where(~F.coalesce(gone, F.lit(False)))
 
 
+def delete_sessions(table: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Drop the uploads of every listed session (expired or evicted ones)."""
+    return table.join(sessions.select("session_id").distinct(), "session_id", "left_anti").select(*table.columns)
+
+
+def upload_facts(table: DataFrame) -> DataFrame:
+    """Chunks and distinct pages per uploaded file."""
+    uploads = table.where(F.col("session_id").isNotNull() & (F.col("session_id") != ""))
+    return uploads.groupBy("session_id", "filename").agg(
+        F.count(F.lit(1)).alias("chunks"), F.countDistinct(metadata_field("page")).alias("pages")
+    )
+
+
 def uploads_by_session(table: DataFrame) -> DataFrame:
     """Per session and file: chunk count, largest page *text*, category and source."""
     uploads = table.where(F.col("session_id").isNotNull() & (F.col("session_id") != ""))
