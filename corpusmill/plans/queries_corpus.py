@@ -129,24 +129,21 @@ def build_chunks(spark, folder):
     return built.select("id", "category", "subcategory", "chunk_index", "chunk_mode", "parent_context", _md5(F.col("text")).alias("md5"))
 
 
-def _orders_grid(spark, folder):
-    """Order lines as text tables: one table per order."""
-    cells = F.array(*[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")])
-    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", cells.alias("c")))).alias("g")
-    )
-    header = F.array(*[F.lit(x) for x in ("line", "part", "flag", "status")])
-    return lines.select("l_orderkey", header.alias("headers"), F.transform("g", lambda r: r["c"]).alias("rows"))
+def _order_grids(spark, folder):
+    """Each order as a small table of field and value."""
+    fields = {"status": "o_orderstatus", "priority": "o_orderpriority", "customer": "o_custkey"}
+    rows = F.array(*[F.array(F.lit(label), F.col(c).cast("string")) for label, c in fields.items()])
+    return table(spark, folder, "orders").select("o_orderkey", F.array(F.lit("field"), F.lit("value")).alias("headers"), rows.alias("rows"))
 
 
 def table_markdown(spark, folder):
     text = chunk_ops.markdown_table(F.col("headers"), F.concat(F.array("headers"), F.col("rows")))
-    return _orders_grid(spark, folder).select("l_orderkey", text.alias("markdown"))
+    return _order_grids(spark, folder).select("o_orderkey", text.alias("markdown"))
 
 
 def table_pieces(spark, folder):
     text = chunk_ops.markdown_table(F.col("headers"), F.col("rows"))
-    pieces = _orders_grid(spark, folder).select("l_orderkey", F.posexplode(chunk_ops.split_table_text(text, 40)).alias("pos", "piece"))
+    pieces = _order_grids(spark, folder).select("o_orderkey", F.posexplode(chunk_ops.split_table_text(text, 40)).alias("pos", "piece"))
     return pieces.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -305,9 +302,15 @@ UNION ALL
 SELECT doc_id, 0, '', md5('Điều 1. Heading') FROM ln WHERE len(ls) = 1
 UNION ALL SELECT doc_id, 0, '', md5('') FROM ln WHERE len(ls) = 0""",
     "table_markdown": """
-SELECT l_orderkey, 'line | part | flag | status' || E'\\n' || '--- | --- | --- | ---' || E'\\n' ||
-  string_agg(l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || ' | ' || l_linestatus, E'\\n' ORDER BY l_linenumber, l_partkey::VARCHAR, l_returnflag, l_linestatus) AS markdown
-FROM lineitem GROUP BY 1""",
+SELECT o_orderkey, concat_ws(E'\\n', 'field | value', '--- | ---', 'status | ' || o_orderstatus, 'priority | ' || o_orderpriority,
+  'customer | ' || o_custkey) AS markdown FROM orders""",
+    # The longest header, rule and status lines fill 40 characters; the other two lines fit together.
+    "table_pieces": """
+WITH l AS (SELECT o_orderkey, 'field | value' || E'\\n' || '--- | ---' || E'\\n' || 'status | ' || o_orderstatus AS a,
+  'priority | ' || o_orderpriority AS b, 'customer | ' || o_custkey AS c FROM orders)
+SELECT o_orderkey, 0 AS pos, a AS piece FROM l
+UNION ALL SELECT o_orderkey, 1, CASE WHEN length(b) + length(c) + 1 <= 40 THEN b || E'\\n' || c ELSE b END FROM l
+UNION ALL SELECT o_orderkey, 2, c FROM l WHERE length(b) + length(c) + 1 > 40""",
     "store_stats": "WITH" + STORED_SQL + """,
 f AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY source ORDER BY chunk_index) <= 5)
 SELECT 'mode' AS kind, coalesce(chunk_mode, 'unknown') AS value, count(*) AS rows FROM f GROUP BY 2

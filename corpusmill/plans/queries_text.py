@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill import fixed
 from corpusmill.functions import calc, guard, prompt, routing
 from corpusmill.functions.text import visual_type
 from corpusmill.plans.tables import documents, messages, table
 from corpusmill.operators import service
+from corpusmill.operators.bm25 import rank_within
 
 
 def _md5(col):
@@ -117,7 +119,8 @@ def rewrite_fallback(spark, folder):
     said = messages(spark, folder).select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content")
     )
-    history = service.prepared_history(said, threshold=10_000, window=10_000)
+    # The stored history of a session is its last 100 messages, so this list is bounded.
+    history = service.prepared_history(said, threshold=fixed.STORED_HISTORY, window=fixed.STORED_HISTORY)
     asked = _questions(spark, folder).where("turn = 2").join(history, F.col("conv_id") == F.col("session_id"))
     return asked.select(
         "conv_id", _md5(routing.rewrite_with_history(F.col("question"), F.col("history"))).alias("md5")
@@ -150,16 +153,21 @@ def picture_type(spark, folder):
 
 
 def prompt_context(spark, folder):
-    """One prompt per conversation: every message is a passage named after its role."""
+    """One prompt per conversation; its first ten messages are the passages, named after their role.
+
+    Ten is the most passages a prompt takes, so the collected list is bounded.
+    """
     entry = F.struct("turn", F.struct("text", F.col("role").alias("filename")).alias("d"))
-    docs = messages(spark, folder).groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    top = rank_within(messages(spark, folder), 10, ["conv_id"], [F.asc("turn")])
+    docs = top.groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     block = prompt.context_block(F.transform("e", lambda x: x["d"]))
     return docs.select("conv_id", _md5(block).alias("md5"), F.length(block).cast("long").alias("chars"))
 
 
 def prompt_messages(spark, folder):
     entry = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
-    talks = messages(spark, folder).groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    stored = rank_within(messages(spark, folder), fixed.STORED_HISTORY, ["conv_id"], [F.desc("turn")])
+    talks = stored.groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     history = F.transform("e", lambda x: x["m"])
     docs = F.transform("e", lambda x: F.struct(x["m"]["content"].alias("text"), x["m"]["role"].alias("filename")))
     built = prompt.chat_messages(F.lit("Be brief."), docs, history[0]["content"], history, history[0]["content"])
@@ -260,7 +268,19 @@ INJECTION_SQL = "(?i)" + (
 ASKED_SQL = """
 q AS (SELECT conv_id, turn, ['giải thích chi tiết ', 'nó là gì ', 'quy định đó ', 'xin chào ', 'vừa hỏi gì ', 'hãy trả lời ngắn gọn, ',
     'điều 5 là gì ', ''][conv_id % 8 + 1] || CASE WHEN turn % 2 = 0 THEN left(text, 12) ELSE text END AS question, turn > 0 AS hist FROM conversations)"""
+
+
+def _any(words: list[str]) -> str:
+    return "regexp_matches(q, '" + "|".join(words) + "')"
+
+
+_STYLE_CASES = " ".join(f"WHEN {_any(words)} THEN '{style}'" for style, words in fixed.STYLE_WORDS.items())
 ORACLES = {
+    "style_route": "WITH" + ASKED_SQL + f""",
+l AS (SELECT conv_id, turn, lower(question) AS q FROM q)
+SELECT conv_id, turn, coalesce(CASE WHEN {_any(fixed.STYLE_CLAUSE_WORDS)} AND {_any(fixed.STYLE_CLAUSE_DETAIL)} THEN 'detailed'
+  WHEN {_any(fixed.STYLE_INTENT)} THEN CASE {_STYLE_CASES} END
+  WHEN {_any(fixed.STYLE_PLAIN_ALONE)} THEN 'plain' WHEN {_any(fixed.STYLE_CLAUSE_WORDS)} THEN 'detailed' END, '-') AS style FROM l""",
     "sanitize": "WITH" + NOTED_SQL + """,
 a AS (SELECT conv_id, turn, regexp_replace(text, '(?i)\\b(rerank|top_k|top-k|use_rerank|use_history|show_context|category)\\s*[:=]\\s*(true|false|\\d+|[a-z_]+)', '', 'g') AS t FROM n),
 b AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(t, '(?i)[•|]\\s*(rerank|top_k).*', '', 'g'), '\\s+', ' ', 'g')) AS t FROM a),
@@ -295,7 +315,8 @@ SELECT conv_id, turn, CASE WHEN s = '' THEN 'empty' WHEN n < 8 AND NOT hist THEN
 SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'biểu đồ|bieu do|chart|graph|sơ đồ|so do') THEN 'chart_or_diagram'
   WHEN regexp_matches(lower(text), 'hình|ảnh|figure|minh họa|minh hoa') THEN 'illustration' ELSE 'image' END AS kind FROM documents""",
     "prompt_context": """
-WITH p AS (SELECT conv_id, turn, '[' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || '] ' || left(text, 3000) || ' (Nguồn: ' || role || ')' AS p FROM conversations),
+WITH p AS (SELECT conv_id, turn, '[' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || '] ' || left(text, 3000) || ' (Nguồn: ' || role || ')' AS p FROM conversations
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 10),
 b AS (SELECT conv_id, string_agg(p, E'\\n\\n' ORDER BY turn) AS b FROM p GROUP BY 1)
 SELECT conv_id, md5(b) AS md5, length(b) AS chars FROM b""",
     "self_check": """
