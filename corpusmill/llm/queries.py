@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import exactdedup, sharding
+from corpusmill.llm import exactdedup, secrets, sharding
 
 QUERIES = {
     "op3_shard_table": sharding.op3_shard_table,
     "op8_exact_dedup": exactdedup.op8_exact_dedup,
+    "op9_secret_scan": secrets.op9_secret_scan,
 }
 
 ORACLES = {
     "op3_shard_table": sharding.OP3_SQL,
     "op8_exact_dedup": exactdedup.OP8_SQL,
+    "op9_secret_scan": secrets.OP9_SQL,
 }
