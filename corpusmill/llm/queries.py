@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import exactdedup, langid, packing, secrets, sharding, simhash
+from corpusmill.llm import exactdedup, langid, packing, secrets, sharding, simhash, wordbpe
 
 QUERIES = {
     "op3_shard_table": sharding.op3_shard_table,
     "op4_simhash_components": simhash.op4_simhash_components,
     "op6_language": langid.op6_language,
+    "op7_word_bpe": wordbpe.op7_word_bpe,
     "op8_exact_dedup": exactdedup.op8_exact_dedup,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_packing": packing.op10_packing,
