@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,5 +93,30 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+class Forest:
+    """Connected pieces of numbered items; ``label`` is the smallest number of a piece."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.label[a], self.label[b]
+            open_ = x != y
+            if not open_.any():
+                return
+            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            # Each higher label moves to the smallest label that meets it; then every chain is followed to its end.
+            new = np.arange(len(self.label))
+            np.minimum.at(new, high, low)
+            while True:
+                further = new[new]
+                if (further == new).all():
+                    break
+                new = further
+            self.label = new[self.label]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

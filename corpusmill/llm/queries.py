@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import exactdedup, langid, packing, secrets, sharding, simhash, wordbpe
+from corpusmill.llm import exactdedup, gridjoin, langid, packing, secrets, sharding, simhash, wordbpe
 
 QUERIES = {
     "op3_shard_table": sharding.op3_shard_table,
     "op4_simhash_components": simhash.op4_simhash_components,
+    "op5_grid_join": gridjoin.op5_grid_join,
     "op6_language": langid.op6_language,
     "op7_word_bpe": wordbpe.op7_word_bpe,
     "op8_exact_dedup": exactdedup.op8_exact_dedup,

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import connected_components, stored, table
+from corpusmill.llm.common import Forest, connected_components, stored, table
 from corpusmill.session import ship_package
 
 SHINGLE = 4
@@ -90,31 +90,6 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return rank
 
 
-class Forest:
-    """Connected pieces of numbered items; ``label`` is the smallest number of a piece."""
-
-    def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = self.label[a], self.label[b]
-            open_ = x != y
-            if not open_.any():
-                return
-            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            # Each higher label moves to the smallest label that meets it; then every chain is followed to its end.
-            new = np.arange(len(self.label))
-            np.minimum.at(new, high, low)
-            while True:
-                further = new[new]
-                if (further == new).all():
-                    break
-                new = further
-            self.label = new[self.label]
-
-
 def _levels(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(mask, pattern) of the nodes of every level, leaves first; fp is in Gray order."""
 
