@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import exactdedup, gridjoin, langid, packing, secrets, sharding, simhash, wordbpe
+from corpusmill.llm import exactdedup, gridjoin, langid, packing, secrets, sharding, simhash, substrings, wordbpe
 
 QUERIES = {
+    "op1_repeated_passages": substrings.op1_repeated_passages,
     "op3_shard_table": sharding.op3_shard_table,
     "op4_simhash_components": simhash.op4_simhash_components,
     "op5_grid_join": gridjoin.op5_grid_join,
