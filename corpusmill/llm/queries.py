@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import exactdedup, gridjoin, langid, packing, secrets, sharding, simhash, substrings, wordbpe
+from corpusmill.llm import exactdedup, gridjoin, langid, packing, secrets, sharding, simhash, substrings, surrogates, wordbpe
 
 QUERIES = {
     "op1_repeated_passages": substrings.op1_repeated_passages,
+    "op2_surrogates": surrogates.op2_surrogates,
     "op3_shard_table": sharding.op3_shard_table,
     "op4_simhash_components": simhash.op4_simhash_components,
     "op5_grid_join": gridjoin.op5_grid_join,
