@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import itertools
 import json
+import re
 import unicodedata
 import uuid
 from collections import Counter
@@ -35,7 +36,10 @@ LEXICON = 1 << 16
 #: Words longer than this (in bytes) are merged, not compiled or remembered.
 LONGEST = 64
 #: Distinct words that a worker counts or remembers before it hands them on or forgets them.
-HELD = 150_000
+HELD = 200_000
+#: Characters of text whose new words are looked up and merged together.
+TOGETHER = 1 << 21
+NEVER = 1 << 30
 _FIELDS = ("first", "label", "target", "skip", "final", "start", "ids")
 
 
@@ -61,6 +65,9 @@ class Vocabulary:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shifted = itertools.count(256)
         self.letter = [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
+        pairs = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in self.ranks.items())
+        self.pair, self.pair_rank, self.pair_new = (np.array(c, np.int64) for c in zip(*pairs))
+        self.inner, self.last = (np.array([self.ids.get(c + end, -1) for c in self.letter]) for end in ("", self.suffix))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.added.items()}
         longest_first = sorted(self.added, key=len, reverse=True)
@@ -68,13 +75,18 @@ class Vocabulary:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         # \s of the file means the White_Space property, in which Python's own \s differs.
         self.split = regex.compile(split.replace(r"[^\s", r"[^\p{White_Space}").replace(r"[\s", r"[\p{White_Space}"))
+        # The same for lower-cased ASCII texts, where the standard library is faster.
+        self.plain = re.compile(split.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
+        self.id_text = [str(i) for i in range(max(self.tokens) + 1)]
+        self.token_text = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
 
     def words(self, text: str) -> list[str]:
         """Words of a text without added tokens, normalised. White space only separates, so it needs no folding."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # one character at a time: a capital sigma at a word's end is not special
-                return self.split.findall("".join(c.lower() for c in text))
+        if text.isascii():
+            return self.plain.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        if "Σ" in text:  # one character at a time: a capital sigma at a word's end is not special
+            text = "".join(c.lower() for c in text)
         return self.split.findall(text.lower())
 
     def pieces(self, text: str) -> Iterator[tuple[list[str], str | None]]:
@@ -118,6 +130,63 @@ class Vocabulary:
                     heapq.heappush(heap, (rank, x, made, *pair))
         return [i for i in ids if i >= 0]
 
+    def _ranked(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and new id of pairs; rank NEVER for pairs that do not merge."""
+        want = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair, want), len(self.pair) - 1)
+        return np.where(self.pair[at] == want, self.pair_rank[at], NEVER), self.pair_new[at]
+
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """Ids of many words: in each round every word makes its next merge, all words in one numpy pass."""
+        out: list[list[int]] = [[] for _ in words]
+        data = [w.encode() for w in words]
+        short = []
+        for i, d in enumerate(data):
+            if len(d) > LONGEST:
+                out[i] = self.merge(words[i])
+            else:
+                short.append(i)
+        data = [data[i] for i in short]
+        if not data:
+            return out
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        ids, stop = self.inner[flat], np.cumsum(size) - 1
+        ids[stop] = self.last[flat[stop]]
+        word = np.repeat(np.arange(len(data)), size)
+        word, ids = word[ids >= 0], ids[ids >= 0]
+        rank, new = np.full(len(ids), NEVER), np.zeros(len(ids), np.int64)
+        here = np.flatnonzero(word[1:] == word[:-1])
+        rank[here], new[here] = self._ranked(ids[here], ids[here + 1])
+        while len(ids):
+            heads = np.flatnonzero(np.diff(word, prepend=-1))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), heads)
+            more = best >> 32 < NEVER
+            sizes = np.diff(heads, append=len(ids))
+            if not more.all():  # words without a merge are done
+                going = np.repeat(more, sizes)
+                starts = heads[~more]
+                for w, s, n in zip(word[starts].tolist(), starts.tolist(), sizes[~more].tolist()):
+                    out[short[w]] = ids[s : s + n].tolist()
+                moved = np.cumsum(going) - 1
+                best = moved[best[more] & 0xFFFFFFFF]
+                ids, word, rank, new = ids[going], word[going], rank[going], new[going]
+            else:
+                best = best & 0xFFFFFFFF
+            if not len(ids):
+                break
+            ids[best] = new[best]
+            stay = np.ones(len(ids), bool)
+            stay[best + 1] = False
+            ids, word, rank, new = ids[stay], word[stay], rank[stay], new[stay]
+            best = best - np.arange(len(best))
+            rank[best] = NEVER
+            for left in (best - 1, best):
+                left = left[(left >= 0) & (left + 1 < len(ids))]
+                left = left[word[left] == word[left + 1]]
+                rank[left], new[left] = self._ranked(ids[left], ids[left + 1])
+        return out
+
 
 @cache
 def vocabulary(path: str) -> Vocabulary:
@@ -278,34 +347,41 @@ class Coder:
 
     def entry(self, ids: list[int]) -> tuple[int, str, str]:
         """Number of ids, ids as text, tokens as text."""
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.vocab.tokens.__getitem__, ids))
+        number, token = self.vocab.id_text, self.vocab.token_text
+        if len(ids) == 1:
+            return 1, number[ids[0]], token[ids[0]]
+        return len(ids), " ".join([number[i] for i in ids]), " ".join([token[i] for i in ids])
 
     def learn(self, words: set[str]) -> None:
+        """Make sure that all of ``words`` are known; what is not asked for may be forgotten."""
         new = list(words - self.known.keys())
         if len(self.known) + len(new) > HELD:
             self.known.clear()
             new = list(words)
-        place = self.lexicon.find([w.encode() for w in new])
-        for word, at in zip(new, place.tolist()):
-            self.known[word] = self.entry(self.lexicon.output(at) if at >= 0 else self.vocab.merge(word))
-
-    def code(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, ids joined by spaces, tokens joined by spaces) of a whole text."""
-        total, ids, tokens = 0, [], []
-        for words, added in self.vocab.pieces(text or ""):
-            for at in range(0, len(words), HELD):
-                part = words[at : at + HELD]
-                if missing := {*part} - self.known.keys():
-                    self.learn({*part} if len(self.known) + len(missing) > HELD else missing)
-                n, i, t = zip(*map(self.known.__getitem__, part))
-                total += sum(n)
-                ids.append(" ".join(i))
-                tokens.append(" ".join(t))
-            if added is not None:
-                total += 1
-                ids.append(str(self.vocab.added[added]))
-                tokens.append(added)
-        return total, " ".join(ids), " ".join(tokens)
+        place = self.lexicon.find([w.encode() for w in new]).tolist()
+        unseen = [w for w, at in zip(new, place) if at < 0]
+        self.known.update((w, self.entry(self.lexicon.output(at))) for w, at in zip(new, place) if at >= 0)
+        self.known.update(zip(unseen, map(self.entry, self.vocab.merge_all(unseen))))
+
+    def code(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """(number of ids, ids joined by spaces, tokens joined by spaces) of whole texts, whose words are learned together."""
+        split = [list(self.vocab.pieces(t or "")) for t in texts]
+        self.learn({w for pieces in split for words, _ in pieces for w in words})
+        out, known = [], self.known.__getitem__
+        for pieces in split:
+            total, ids, tokens = 0, [], []
+            for words, added in pieces:
+                if words:
+                    n, i, t = zip(*map(known, words))
+                    total += sum(n)
+                    ids.append(" ".join(i))
+                    tokens.append(" ".join(t))
+                if added is not None:
+                    total += 1
+                    ids.append(str(self.vocab.added[added]))
+                    tokens.append(added)
+            out.append((total, " ".join(ids), " ".join(tokens)))
+        return out
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -326,10 +402,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path, _mapped(name))
         for batch in batches:
-            made = []
-            for text in batch.column(1):
-                n, ids, decoded = coder.code(text.as_py())
-                made.append((n, digest(ids), digest(decoded)) if digests else (n, ids, decoded))
+            made, texts, held = [], [], 0
+            for i, text in enumerate(batch.column(1)):
+                texts.append(text.as_py())
+                held += len(texts[-1] or "")
+                if held >= TOGETHER or i == batch.num_rows - 1:
+                    for n, ids, decoded in coder.code(texts):
+                        made.append((n, digest(ids), digest(decoded)) if digests else (n, ids, decoded))
+                    texts, held = [], 0
             n, ids, decoded = zip(*made) if made else ((), (), ())
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids", "decoded"])

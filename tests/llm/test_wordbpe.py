@@ -28,17 +28,26 @@ def test_odd_texts_with_and_without_lexicon():
     full = W.Lexicon(W.compile_words((w.encode(), vocab.merge(w)) for w in words))
     empty = W.Lexicon(W.compile_words([]))
     for text in ODD:
-        assert W.Coder(PATH, full).code(text) == plain(text), text
-        assert W.Coder(PATH, empty).code(text) == plain(text), text
+        assert W.Coder(PATH, full).code([text]) == [plain(text)], text
+        assert W.Coder(PATH, empty).code([text]) == [plain(text)], text
 
 
 def test_random_strings():
     rng = random.Random(3)
     alphabet = [*"abcdefgh'SstT  \n\t.,!?123", "é", "é", "ß", "Σ", "σ", "日", "‍", "🙂", "\x1f", "\x85", "　", "ª", "²"]
     coder = W.Coder(PATH, W.Lexicon(W.compile_words([])))
-    for _ in range(1500):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
-        assert coder.code(text) == plain(text), repr(text)
+    for _ in range(60):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(25)]
+        for text, made in zip(texts, coder.code(texts)):
+            assert made == plain(text), repr(text)
+
+
+def test_all_words_at_once_as_one_by_one():
+    rng = random.Random(6)
+    vocab = W.vocabulary(PATH)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randrange(1, 90))) for _ in range(400)] + ["é", "aaaa", "日本"]
+    assert vocab.merge_all(words) == [vocab.merge(w) for w in words]
+    assert vocab.merge_all([]) == []
 
 
 def test_automaton_is_exact_and_shares_suffixes():
@@ -59,8 +68,9 @@ def test_automaton_is_exact_and_shares_suffixes():
 def test_bound_on_remembered_words(monkeypatch):
     monkeypatch.setattr(W, "HELD", 5)
     coder = W.Coder(PATH, W.Lexicon(W.compile_words([])))
-    text = " ".join(f"w{i} word{i % 7}" for i in range(40))
-    assert coder.code(text) == plain(text) and len(coder.known) <= 5
+    for k in range(6):
+        text = f"one two three{k} four"
+        assert coder.code([text]) == [plain(text)] and len(coder.known) <= 5
 
 
 def test_table(spark):
