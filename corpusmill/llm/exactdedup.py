@@ -19,7 +19,7 @@ SALTS = 16
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, keep_n (code points of what stays).
 
     A null text counts as empty, and all empty texts are one group. The row with the most code points
     stays, among those the one with the smallest id (null ids last). Rows that repeat one id and one
@@ -67,11 +67,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "group_size",
         (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_n") == F.col("_keep_n"))).alias("kept"),
         F.col("_digest").alias("text_sha256"),
+        F.col("_keep_n").alias("keep_n"),
     )
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat an id and a text, one."""
+    digest = F.sha2(F.translate(text_of(text_col), SPACES, ""), 256)
+    kept = exact_groups(docs, id_col, text_col, salts).where("kept")
+    stay = kept.select(F.col("keep_id").alias("_id"), F.col("text_sha256").alias("_digest"), F.col("keep_n").alias("_n")).distinct()
+    marked = docs.select(*docs.columns, digest.alias("_mark"), F.length(text_of(text_col)).alias("_length"))
+    joined = marked.join(
+        stay,
+        (F.col("_mark") == F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_length") == F.col("_n")),
+        "left_semi",
+    )
+    return joined.dropDuplicates([id_col, "_mark"]).select(docs.columns)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("keep_n")
 
 
 OP8_SQL = r"""
