@@ -14,11 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusmill.operators.bm25 import rank_within
 from corpusmill.session import ship_package
 
 MAX_BROADCAST_FLOATS = 8_000_000
+#: Distances computed at once: 16 MB.
+TILE = 1 << 21
 _DIGITS = 6
 
 
@@ -37,80 +41,96 @@ def _distances(table: np.ndarray, queries: np.ndarray) -> np.ndarray:
 
 def _best(ids: np.ndarray, dist: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the ``n`` smallest distances (ties by id) of one query."""
+    if len(dist) > 4 * n:  # ties at the cut stay in
+        near = dist <= np.partition(dist, n - 1)[n - 1]
+        ids, dist = ids[near], dist[near]
     order = np.lexsort((ids, dist))[:n]
     return ids[order], dist[order]
 
 
+def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Ids in their own type; text as fixed-width text, which sorts by code point."""
+    values = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+    return values.astype(np.str_) if values.dtype == object else values
+
+
 class _TopN:
     """Running best rows per query inside one task: bounded by queries x n."""
 
     def __init__(self, count: int, n: int):
         self.n = n
-        self.rows = [(np.empty(0, np.int64), np.empty(0)) for _ in range(count)]
-
-    def add(self, ids: np.ndarray, dist: np.ndarray) -> None:
-        for q, (old_ids, old) in enumerate(self.rows):
-            column = dist[:, q]
+        self.rows: list[tuple[np.ndarray, np.ndarray] | None] = [None] * count
+
+    def search(self, ids: np.ndarray, vectors: np.ndarray, wanted: np.ndarray) -> None:
+        """Add a batch, in tiles of TILE distances whatever the batch and the number of queries."""
+        queries = max(1, min(len(wanted), TILE // 1024))
+        rows = max(1, TILE // queries)
+        for q in range(0, len(wanted), queries):
+            for at in range(0, len(vectors), rows):
+                self._add(q, ids[at : at + rows], _distances(vectors[at : at + rows], wanted[q : q + queries]))
+
+    def _add(self, first: int, ids: np.ndarray, dist: np.ndarray) -> None:
+        for q in range(dist.shape[1]):
+            column, old = dist[:, q], self.rows[first + q]
             keep = ~np.isnan(column)
-            if len(old) == self.n:
-                keep &= column <= old[-1]
+            if old is not None and len(old[1]) == self.n:
+                keep &= column <= old[1][-1]
             if keep.any():
-                self.rows[q] = _best(
-                    np.concatenate([old_ids, ids[keep]]), np.concatenate([old, column[keep]]), self.n
-                )
+                new = ids[keep], column[keep]
+                if old is not None:
+                    new = np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]])
+                self.rows[first + q] = _best(*new, self.n)
 
-    def batch(self, query_ids: list[int]) -> pa.RecordBatch:
-        sizes = [len(d) for _, d in self.rows]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.asarray(query_ids, np.int64), sizes)),
-                pa.array(np.concatenate([i for i, _ in self.rows]).astype(np.int64)),
-                pa.array(np.concatenate([d for _, d in self.rows])),
-            ],
-            names=["query_id", "vec_id", "distance"],
-        )
+    def table(self, query_ids: list, schema: pa.Schema) -> pa.Table:
+        found = [(q, *r) for q, r in zip(query_ids, self.rows) if r is not None]
+        if not found:
+            return schema.empty_table()
+        queries = [q for q, ids, _ in found for _ in range(len(ids))]
+        ids = pa.array(np.concatenate([i for _, i, _ in found]))
+        dist = pa.array(np.concatenate([d for _, _, d in found]))
+        return pa.table([pa.array(queries, schema.field(0).type), ids.cast(schema.field(1).type), dist], schema=schema)
 
 
-_OUT = "query_id long, vec_id long, distance double"
+def _output(table: DataFrame, queries: DataFrame) -> T.StructType:
+    return T.StructType([
+        T.StructField("query_id", queries.schema["query_id"].dataType),
+        T.StructField("vec_id", table.schema["vec_id"].dataType),
+        T.StructField("distance", T.DoubleType()),
+    ])
 
 
-def _broadcast_branch(table: DataFrame, rows: list, n: int) -> DataFrame:
-    query_ids = [r[0] for r in rows]
-    matrix = np.asarray([r[1] for r in rows], np.float64)
-    shared = table.sparkSession.sparkContext.broadcast((query_ids, matrix))
+def _broadcast_branch(table: DataFrame, rows: list, n: int, out: T.StructType) -> DataFrame:
+    shared = table.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.asarray([r[1] for r in rows], np.float64)))
+    arrow = to_arrow_schema(out)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of_queries, wanted = shared.value
-        top = _TopN(len(ids_of_queries), n)
+        query_ids, wanted = shared.value
+        top = _TopN(len(query_ids), n)
         for batch in batches:
             if batch.num_rows:
-                top.add(batch.column(0).to_numpy(), _distances(_matrix(batch.column(1)), wanted))
-        yield top.batch(ids_of_queries)
+                top.search(_ids(batch.column(0)), _matrix(batch.column(1)), wanted)
+        yield from top.table(query_ids, arrow).to_batches()
 
-    return table.mapInArrow(search, _OUT)
+    return table.mapInArrow(search, out)
 
 
-def _replicate_branch(table: DataFrame, queries: DataFrame, n: int, fragments: int, blocks: int) -> DataFrame:
+def _replicate_branch(table: DataFrame, queries: DataFrame, n: int, out: T.StructType, fragments: int, blocks: int) -> DataFrame:
     left = table.withColumn("_f", F.pmod(F.xxhash64("vec_id"), F.lit(fragments))).withColumn(
         "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
     right = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
         "_f", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fragments - 1).cast("long")))
     )
+    arrow = to_arrow_schema(out)
 
     def search(vectors: pa.Table, wanted: pa.Table) -> pa.Table:
-        ids_of_queries = wanted.column("query_id").to_pylist()
-        top = _TopN(len(ids_of_queries), n)
-        if vectors.num_rows and ids_of_queries:
-            top.add(
-                vectors.column("vec_id").to_numpy(),
-                _distances(_matrix(vectors.column("embedding")), _matrix(wanted.column("embedding"))),
-            )
-        return pa.Table.from_batches([top.batch(ids_of_queries)]) if ids_of_queries else pa.table(
-            {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())}
-        )
+        query_ids = wanted.column("query_id").to_pylist()
+        top = _TopN(len(query_ids), n)
+        if vectors.num_rows and query_ids:
+            top.search(_ids(vectors.column("vec_id")), _matrix(vectors.column("embedding")), _matrix(wanted.column("embedding")))
+        return top.table(query_ids, arrow)
 
-    return left.groupBy("_f", "_b").cogroup(right.groupBy("_f", "_b")).applyInArrow(search, _OUT)
+    return left.groupBy("_f", "_b").cogroup(right.groupBy("_f", "_b")).applyInArrow(search, out)
 
 
 def knn(
@@ -125,25 +145,28 @@ def knn(
 ) -> DataFrame:
     """(query_id, vec_id, distance, rank): the ``n`` nearest rows of ``table`` per query.
 
-    ``queries`` has ``query_id`` and ``embedding``. Filter ``table`` first: a predicate on it reaches
-    the scan. Exact, ties broken by id.
+    ``queries`` has ``query_id`` and ``embedding``. Ids keep their type (numbers or text). Filter
+    ``table`` first: a predicate on it reaches the scan. Exact, ties broken by id.
     """
-    rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
+    rows = table.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
     rows = rows.where(F.size("embedding") > 0)
+    wanted = queries.select("query_id", "embedding").where(F.size("embedding") > 0)
+    out = _output(rows, wanted)
     if n <= 0:
-        return rows.sparkSession.createDataFrame([], _OUT + ", rank int")
+        return rows.sparkSession.createDataFrame([], T.StructType([*out.fields, T.StructField("rank", T.IntegerType())]))
     ship_package(rows.sparkSession)
-    wanted = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where(F.size("embedding") > 0)
     first = wanted.limit(1).collect()
     dim = len(first[0]["embedding"]) if first else 1
     bound = max(1, max_floats // max(dim, 1))
     probe = wanted.limit(bound + 1).collect()
-    if len(probe) <= bound:
-        found = _broadcast_branch(rows, [(r[0], r[1]) for r in probe], n) if probe else rows.sparkSession.createDataFrame([], _OUT)
+    if not probe:
+        found = rows.sparkSession.createDataFrame([], out)
+    elif len(probe) <= bound:
+        found = _broadcast_branch(rows, [(r[0], r[1]) for r in probe], n, out)
     else:
         fragments = max(1, -(-rows.count() // fragment_rows))
         blocks = max(1, -(-wanted.count() // block_rows))
-        found = _replicate_branch(rows, wanted, n, fragments, blocks)
+        found = _replicate_branch(rows, wanted, n, out, fragments, blocks)
     return rank_within(found, n, ["query_id"], [F.asc("distance"), F.asc("vec_id")])
 
 

@@ -68,9 +68,10 @@ def answer_questions(
     """(query_id, route, answer, reason, attempts) for every question.
 
     Questions routed to retrieval are answered from their context and checked; those that fail the
-    check are asked again with a longer query, at most ``max_steps`` times, all of them together in
+    check are asked again with a longer query, at most ``max_steps`` times (five at most), all of them together in
     one pass per step. A retry changes the query text only, never the access filter.
     """
+    steps = max(1, min(5, max_steps))
     ensure_checkpoint_dir(questions.sparkSession)
     staged = routed(questions, parity).checkpoint()
     solved = calc.calculate(staged.where("route = 'math'"), "question").select(
@@ -96,7 +97,7 @@ def answer_questions(
     )
     done = solved.unionByName(replied).unionByName(compared).unionByName(summed)
     open_ = staged.where(F.col("route").isin("retrieve", "recall", "style"))
-    for attempt in range(max(1, min(5, max_steps))):
+    for attempt in range(steps):
         asked = open_.withColumn("query", routing.retry_query(F.col("query"), F.col("question"), F.lit(attempt)))
         context = retrieve_context(asked, chunks, top_k, score, parity=parity, **search)
         ready = asked.join(context, "query_id", "left")
@@ -104,12 +105,12 @@ def answer_questions(
         drafted = ready.withColumn("answer", guard.validate_output(generate(prompt.flat_prompt(messages)))).withColumn(
             "_check", routing.self_check(F.col("question"), F.col("answer"), F.transform("docs", lambda d: d["text"]))
         ).checkpoint()
-        good = F.col("_check.sufficient") | F.lit(attempt + 1 >= max_steps)
+        good = F.col("_check.sufficient") | F.lit(attempt + 1 >= steps)
         settled = drafted.where(good).select(
             "query_id", "route", "answer", F.col("_check.reason").alias("reason"), F.lit(attempt + 1).alias("attempts")
         )
         done = done.unionByName(settled)
         open_ = drafted.where(~good).drop("docs", "answer", "_check")
-        if attempt + 1 < max_steps and open_.isEmpty():
+        if attempt + 1 < steps and open_.isEmpty():
             break
     return done

@@ -27,11 +27,11 @@ def attach_rows(ranking: DataFrame, chunks: DataFrame, queries: DataFrame, rows_
     return chunks.select(*_CARRIED).join(small, "id")
 
 
-def _empty(chunks: DataFrame) -> DataFrame:
+def _empty(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     fields = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
     cols = ", ".join(f"{c} {fields[c]}" for c in _CARRIED)
     return chunks.sparkSession.createDataFrame(
-        [], f"{cols}, query_id long, score double, rank int"
+        [], f"{cols}, query_id {queries.schema['query_id'].dataType.simpleString()}, score double, rank int"
     )
 
 
@@ -57,7 +57,7 @@ def vector_search(
     """
     granted, filt = resolve_categories(category, allowed, parity)
     if not granted:
-        return _empty(chunks)
+        return _empty(chunks, queries)
     fetch = top_k * 2 if dedup else top_k
     where = {"category": filt} if filt is not None else None
     shared = F.col("session_id").isNull() | (F.col("session_id") == "")
@@ -95,7 +95,7 @@ def lexical_search(
     """BM25 ranking of corpus chunks (never uploads); statistics are those of the filtered corpus."""
     granted, filt = resolve_categories(category, allowed, parity)
     if not granted:
-        return _empty(chunks)
+        return _empty(chunks, queries)
     corpus = chunks.where(F.col("session_id").isNull() | (F.col("session_id") == ""))
     corpus = apply_where(corpus, {"category": filt} if filt is not None else None)
     ranked = bm25_topk(corpus, queries, k=top_k * 2, doc_id="id").select(
@@ -137,7 +137,7 @@ def hybrid_search(
 ) -> DataFrame:
     """Vector and BM25 branches fused; with ``hybrid=False`` the vector branch alone."""
     if not resolve_categories(category, allowed, parity)[0]:
-        return _empty(chunks)
+        return _empty(chunks, queries)
     common = {"category": category, "allowed": allowed, "dedup": dedup, "parity": parity}
     if not hybrid:
         return vector_search(chunks, queries, top_k, session_id=session_id, **common)

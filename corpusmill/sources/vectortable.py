@@ -14,25 +14,69 @@ from corpusmill import schema
 from corpusmill.functions.text import posix_path
 from corpusmill.operators.bm25 import rank_within
 
-_POINTER = "_current"
+_POINTERS = "_current"
 
 
 def read_table(spark: SparkSession, root: str) -> DataFrame:
-    """The current version, or an empty table."""
-    fs, path = _fs(spark, f"{root}/{_POINTER}")
-    if not fs.exists(path):
+    """The current version, or an empty table if none was ever written.
+
+    Raises if there are complete versions but no readable pointer: an empty table would then be wrong.
+    """
+    version = current_version(spark, root)
+    if version is None:
         return spark.createDataFrame([], schema.VECTOR_TABLE)
-    version = spark.read.text(f"{root}/{_POINTER}").first()[0]
     return spark.read.schema(schema.VECTOR_TABLE).parquet(f"{root}/{version}")
 
 
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """Version named by the newest complete pointer."""
+    numbers = _pointer_numbers(spark, root)
+    if numbers:
+        return spark.read.text(f"{root}/{_POINTERS}/{max(numbers):012d}").first()[0]
+    fs, path = _fs(spark, root)
+    if fs.exists(path) and any(_complete(fs, f.getPath()) for f in fs.listStatus(path)):
+        raise RuntimeError(f"{root} has versions but no complete pointer to one")
+    return None
+
+
 def commit(table: DataFrame, root: str, version: str) -> None:
-    """Write ``table`` as a version and make it current."""
-    spark = table.sparkSession
-    table.select(*[F.col(f.name).cast(f.dataType) for f in schema.VECTOR_TABLE.fields]).write.mode(
-        "errorifexists"
-    ).partitionBy("category").parquet(f"{root}/{version}")
-    spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{root}/{_POINTER}")
+    """Write ``table`` as a version and make it current.
+
+    A version folder left incomplete by a failure is written again; a complete one is never changed.
+    Pointers are only ever added, under the next number, and count once they are complete: a failure at any point
+    leaves the old version current, and a repeated commit finishes the job.
+    """
+    if not is_complete(table.sparkSession, root, version):
+        table.select(*[F.col(f.name).cast(f.dataType) for f in schema.VECTOR_TABLE.fields]).write.mode(
+            "overwrite"
+        ).partitionBy("category").parquet(f"{root}/{version}")
+    publish(table.sparkSession, root, version)
+
+
+def publish(spark: SparkSession, root: str, version: str) -> None:
+    """Make a complete version current, if it isn't."""
+    numbers = _pointer_numbers(spark, root)
+    if numbers and current_version(spark, root) == version:
+        return
+    # An incomplete pointer of the next number may lie there; it never counted.
+    target = f"{root}/{_POINTERS}/{max(numbers, default=0) + 1:012d}"
+    spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(target)
+
+
+def is_complete(spark: SparkSession, root: str, version: str) -> bool:
+    return _complete(*_fs(spark, f"{root}/{version}"))
+
+
+def _pointer_numbers(spark: SparkSession, root: str) -> list[int]:
+    fs, path = _fs(spark, f"{root}/{_POINTERS}")
+    if not fs.exists(path):
+        return []
+    found = [f.getPath() for f in fs.listStatus(path)]
+    return [int(p.getName()) for p in found if p.getName().isdigit() and _complete(fs, p)]
+
+
+def _complete(fs, path) -> bool:
+    return fs.exists(path.suffix("/_SUCCESS"))
 
 
 def _fs(spark: SparkSession, path: str):

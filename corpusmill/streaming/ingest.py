@@ -19,22 +19,31 @@ def chunk_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index_stream(
-    chunks: DataFrame, root: str, embed: Embedder, model: str, checkpoint: str, after: Callable[[int], None] | None = None
+    chunks: DataFrame, root: str, embed: Embedder, model: str, checkpoint: str, build: str,
+    after: Callable[[int], None] | None = None,
 ) -> StreamingQuery:
     """Upsert arriving chunks into the vector table below ``root``; stops when the backlog is done.
 
-    A batch replaces all rows of the sources it brings, then becomes the current version. The version
-    is named after the batch, so a batch repeated after a failure starts from the same table.
+    ``build`` names the state of the chunk store that arrives and is kept with every row. A batch replaces rows
+    of the sources it brings only if they come from another build, so a source whose chunks arrive in
+    several batches stays whole. The version is named after the build and the batch: a batch repeated after
+    a failure finds its version complete and only moves the pointer, or writes it again.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
+        version = f"v-{build}-{number:08d}"
         spark = batch.sparkSession
-        version = f"v{number:08d}"
-        fs, target = vectortable._fs(spark, f"{root}/{version}/_SUCCESS")
-        if not fs.exists(target):
+        if vectortable.is_complete(spark, root, version):
+            vectortable.publish(spark, root, version)
+        else:
             table = vectortable.read_table(spark, root)
-            left = vectortable.delete_by_sources(table, batch.select("source").distinct())
-            fresh = vector_rows(batch, embed, model).withColumn("_seq", F.monotonically_increasing_id())
+            sources = batch.select("source").distinct()
+            stale = F.coalesce(vectortable.metadata_field("build"), F.lit("")) != build
+            left = table.where(~stale).unionByName(vectortable.delete_by_sources(table.where(stale), sources))
+            fresh = vector_rows(batch, embed, model)
+            named = F.from_json("metadata", "map<string,string>")
+            tagged = F.to_json(F.map_concat(named, F.create_map(F.lit("build"), F.lit(build))))
+            fresh = fresh.withColumn("metadata", tagged).withColumn("_seq", F.monotonically_increasing_id())
             vectortable.commit(vectortable.upsert(left, fresh, "_seq"), root, version)
         if after:
             after(number)

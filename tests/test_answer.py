@@ -32,3 +32,9 @@ def test_insufficient_answers_are_retried_within_the_same_rights(spark):
     assert [(r.reason, r.attempts) for r in out] == [("missing_citation", 2)]
     denied = answer.answer_questions(q, chunks(spark), lambda p: F.lit("ngắn"), "sys", max_steps=1, category="quy_che", allowed=["thong_bao"]).collect()
     assert [r.reason for r in denied] == ["no_context"]
+
+
+def test_no_question_is_lost_beyond_the_step_limit(spark):
+    q = spark.createDataFrame([(1, "Điều kiện xét học bổng loại giỏi?", None, [1.0, 0.0])], SCHEMA)
+    out = answer.answer_questions(q, chunks(spark), lambda p: F.rpad(F.lit("x"), 400, "x"), "sys", max_steps=7).collect()
+    assert [(r.reason, r.attempts) for r in out] == [("missing_citation", 5)]

@@ -182,10 +182,58 @@ def test_streaming_index(spark, tmp_path):
     def chunk(cid, text):
         return {"id": cid, "text": text, "category": "quy_che", "subcategory": "", "filename": "f", "source": "f", "page": 0, "chunk_index": 0, "chunk_mode": "contextual"}
 
-    def arrive(*items):
+    def arrive(build, *items):
         spark.createDataFrame(list(items), schema.CHUNK).coalesce(1).write.mode("append").parquet(stored)
-        ingest.index_stream(ingest.chunk_stream(spark, stored), root, embed, "m", str(tmp_path / "ck")).awaitTermination(120)
+        ingest.index_stream(ingest.chunk_stream(spark, stored), root, embed, "m", str(tmp_path / "ck"), build).awaitTermination(120)
         return {r.id: r.text for r in vectortable.read_table(spark, root).collect()}
 
-    assert arrive(chunk("f-0-0", "một"), chunk("f-0-1", "hai")) == {"f-0-0": "một", "f-0-1": "hai"}
-    assert arrive(chunk("f-0-0", "một mới")) == {"f-0-0": "một mới"}
+    assert arrive("b1", chunk("f-0-0", "một")) == {"f-0-0": "một"}
+    # The same source in a second batch of the same build stays whole; another build replaces it.
+    assert arrive("b1", chunk("f-0-1", "hai")) == {"f-0-0": "một", "f-0-1": "hai"}
+    assert arrive("b2", chunk("f-0-0", "một mới")) == {"f-0-0": "một mới"}
+
+
+def test_commit_survives_stops(spark, tmp_path):
+    root = str(tmp_path / "vt")
+    row = {f.name: None for f in schema.VECTOR_TABLE.fields} | {"id": "a-0-0", "text": "t", "category": "c"}
+    one = spark.createDataFrame([row], schema.VECTOR_TABLE)
+    # Stopped between table and pointer: reading says so, committing again finishes.
+    vectortable.commit(one, root, "v1")
+    import shutil
+
+    shutil.rmtree(f"{root}/_current")
+    with pytest.raises(RuntimeError):
+        vectortable.read_table(spark, root)
+    vectortable.commit(one, root, "v1")
+    assert vectortable.read_table(spark, root).count() == 1
+    # Stopped while the next version or its pointer was written: the old version is still there.
+    one.write.parquet(f"{root}/v2/category=c")
+    (tmp_path / "vt" / "_current" / f"{2:012d}").mkdir()
+    assert vectortable.read_table(spark, root).count() == 1
+    vectortable.commit(one.unionByName(one.withColumn("id", F.lit("b-0-0"))), root, "v2")
+    assert vectortable.read_table(spark, root).count() == 2
+    vectortable.commit(one, root, "v2")
+    assert vectortable.read_table(spark, root).count() == 2
+
+
+def test_search_in_an_index_with_text_ids(spark, tmp_path):
+    """Chunks as they are stored go into the table, and hybrid search finds them by their own ids."""
+    from corpusmill.plans import build, retrieval
+
+    chunks = spark.createDataFrame(
+        [
+            {"id": f"f-{i}-0", "text": t, "category": c, "subcategory": "", "filename": "f", "source": "f", "page": i, "chunk_index": 0, "chunk_mode": "contextual"}
+            for i, (t, c) in enumerate([("học bổng loại giỏi", "quy_che"), ("lịch nghỉ lễ", "thong_bao"), ("học phí kỳ này", "quy_che")])
+        ],
+        schema.CHUNK,
+    )
+    rows = build.vector_rows(chunks, embed, "m")
+    vectortable.commit(rows, str(tmp_path / "vt"), "v1")
+    table = vectortable.read_table(spark, str(tmp_path / "vt"))
+    asked = table.where("id = 'f-0-0'").select(F.lit("q1").alias("query_id"), F.lit("học bổng").alias("query"), "embedding")
+    for method in ("weighted", "rrf"):
+        found = [r.id for r in retrieval.hybrid_search(table, asked, top_k=3, method=method).orderBy("rank").collect()]
+        assert found[0] == "f-0-0"
+    granted = retrieval.hybrid_search(table, asked, top_k=3, allowed=["thong_bao"]).collect()
+    assert {r.id for r in granted} <= {"f-1-0"}
+    assert retrieval.hybrid_search(table, asked, top_k=3, category="quy_che", allowed=["thong_bao"]).count() == 0
