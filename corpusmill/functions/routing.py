@@ -215,8 +215,11 @@ def _file_intent(txt: Column, low: Column, plain: Column) -> Column:
         return strip(F.substring(txt, start, F.lit(length)))
 
     first_mark = F.instr(txt, "?")
-    # A question mark in the first 200 characters has no full left context: the passage starts empty.
-    near_mark = F.when(first_mark > 200, strip(F.substring(txt, first_mark - 200, F.lit(400))))
+    # 200 characters on either side of the first mark. Nearer to the start, the left edge counts from the
+    # text's end instead: a short text is taken whole, a long one has no passage there.
+    mark = first_mark - 1
+    left = F.when(mark >= 200, mark - 200).otherwise(F.greatest(F.length(txt) + mark - 200, F.lit(0)))
+    near_mark = strip(F.substring(txt, left + 1, F.greatest(mark + 200 - left, F.lit(0))))
     lead = F.array_join(
         F.slice(F.filter(F.split(txt, r"[?。\n]"), lambda s: strip(s) != ""), 1, 3), "\n"
     )

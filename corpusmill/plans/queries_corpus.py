@@ -159,7 +159,7 @@ def _stored(spark, folder):
 
 
 def store_stats(spark, folder):
-    return store.store_stats(_stored(spark, folder), sample_per_file=5)
+    return store.store_stats(_stored(spark, folder))
 
 
 def manifest_diff(spark, folder):
@@ -208,7 +208,9 @@ def uploads_by_session(spark, folder):
 
 
 def vector_table_stats(spark, folder):
-    return vectortable.table_stats(_vector_rows(spark, folder).withColumn("embedding", F.array(F.lit(1.0)).cast("array<float>")))
+    """Over the documents that have a vector of their number."""
+    own = table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    return vectortable.table_stats(_vector_rows(spark, folder).drop("embedding").join(own, "id"))
 
 
 def twin_files(spark, folder):
@@ -216,13 +218,13 @@ def twin_files(spark, folder):
     pages = table(spark, folder, "pages")
     name = F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("/p"), F.col("page_id") % 60)
     files = pages.select(F.concat(name, F.lit(".parquet")).alias("path")).where(F.col("page_id") % 2 == 0).unionByName(
-        pages.select(F.concat(name, F.lit(".jsonl")).alias("path")).where(F.col("page_id") % 3 != 0)
+        pages.select(F.concat(name, F.lit(".jsonl")).alias("path")).where((F.col("page_id") % 2 == 1) | (F.col("page_id") % 3 != 0))
     )
     return store.processed_files(files.distinct())
 
 
 def normalize_length(spark, folder):
-    return documents(spark, folder).select("doc_id", F.length(normalize_text(F.col("text"), accents=False)).cast("long").alias("chars"))
+    return documents(spark, folder).select("doc_id", _md5(normalize_text(F.col("text"), accents=False)).alias("md5"))
 
 
 QUERIES = {
@@ -271,7 +273,7 @@ ORACLES = {
 SELECT doc_id, length(array_to_string(ls, E'\\n')) AS chars, md5(array_to_string(ls, E'\\n')) AS md5 FROM ln""",
     "normalize_text": f"SELECT doc_id, md5({NORM}) AS key FROM documents",
     "normalize_unaccented": """
-SELECT doc_id, length(trim(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}_]+', ' ', 'g'))) AS chars FROM documents""",
+SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}_]+', ' ', 'g'))) AS md5 FROM documents""",
     "exact_dedup": f"""
 SELECT doc_id, lang, source, n_chars FROM documents WHERE {NORM} <> ''
 QUALIFY row_number() OVER (PARTITION BY {NORM} ORDER BY doc_id) = 1""",
@@ -311,10 +313,9 @@ WITH l AS (SELECT o_orderkey, 'field | value' || E'\\n' || '--- | ---' || E'\\n'
 SELECT o_orderkey, 0 AS pos, a AS piece FROM l
 UNION ALL SELECT o_orderkey, 1, CASE WHEN length(b) + length(c) + 1 <= 40 THEN b || E'\\n' || c ELSE b END FROM l
 UNION ALL SELECT o_orderkey, 2, c FROM l WHERE length(b) + length(c) + 1 > 40""",
-    "store_stats": "WITH" + STORED_SQL + """,
-f AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY source ORDER BY chunk_index) <= 5)
-SELECT 'mode' AS kind, coalesce(chunk_mode, 'unknown') AS value, count(*) AS rows FROM f GROUP BY 2
-UNION ALL SELECT 'category', category, count(*) FROM f GROUP BY 2
+    "store_stats": "WITH" + STORED_SQL + """
+SELECT 'mode' AS kind, coalesce(chunk_mode, 'unknown') AS value, count(*) AS rows FROM st GROUP BY 2
+UNION ALL SELECT 'category', category, count(*) FROM st GROUP BY 2
 UNION ALL SELECT 'total', 'all', count(*) FROM st""",
     "manifest_diff": """
 WITH d AS (SELECT source || '/' || doc_id AS source, doc_id, n_chars::DOUBLE AS mtime FROM documents),
@@ -332,13 +333,15 @@ WHERE source NOT IN (SELECT source || '/en/f' || (doc_id % 20) FROM documents WH
     "uploads_by_session": "WITH" + STORED_SQL + """
 SELECT 's' || (page % 3) AS session_id, filename, count(*) AS chunks, max(page::VARCHAR)::BIGINT AS page, max(category) AS category,
   max(replace(source, '/', '\\')) AS source FROM st WHERE page < 4 GROUP BY 1, 2""",
-    "vector_table_stats": "WITH" + STORED_SQL + """
-SELECT 'total' AS kind, 'all' AS value, count(*) AS rows FROM st UNION ALL SELECT 'dimension', '1', count(*) FROM st
-UNION ALL SELECT 'category', category, count(*) FROM st GROUP BY 2
-UNION ALL SELECT 'chunk_mode', coalesce(chunk_mode, 'unknown'), count(*) FROM st GROUP BY 2
-UNION ALL SELECT 'chunk_type', 'text', count(*) FROM st""",
+    "vector_table_stats": "WITH" + STORED_SQL + """,
+v AS (SELECT st.*, embedding FROM st JOIN embeddings ON id = vec_id::VARCHAR)
+SELECT 'total' AS kind, 'all' AS value, count(*) AS rows FROM v
+UNION ALL SELECT 'dimension', len(embedding)::VARCHAR, count(*) FROM v GROUP BY 2
+UNION ALL SELECT 'category', category, count(*) FROM v GROUP BY 2
+UNION ALL SELECT 'chunk_mode', coalesce(chunk_mode, 'unknown'), count(*) FROM v GROUP BY 2
+UNION ALL SELECT 'chunk_type', 'text', count(*) FROM v""",
     "twin_files": """
 WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') || '/p' || (page_id % 60) AS stem FROM pages),
-c AS (SELECT DISTINCT stem FROM p WHERE page_id % 2 = 0), j AS (SELECT DISTINCT stem FROM p WHERE page_id % 3 <> 0)
+c AS (SELECT DISTINCT stem FROM p WHERE page_id % 2 = 0), j AS (SELECT DISTINCT stem FROM p WHERE page_id % 2 = 1 OR page_id % 3 <> 0)
 SELECT stem || '.parquet' AS path FROM c UNION ALL SELECT stem || '.jsonl' FROM j WHERE stem NOT IN (SELECT stem FROM c)""",
 }

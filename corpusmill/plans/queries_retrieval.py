@@ -8,6 +8,7 @@ from corpusmill.operators import access, bm25, fusion, knn, rerank
 from corpusmill.functions.text import text_key
 from corpusmill.plans import retrieval
 from corpusmill.plans.tables import documents, questions, table, vectors
+from corpusmill.session import bounded_broadcast
 
 
 def bm25_topk(spark, folder):
@@ -92,7 +93,8 @@ def _branches(spark, folder, k):
     lexical = bm25.bm25_topk(documents(spark, folder), questions(spark, folder), k=k).select(
         "query_id", F.col("doc_id").alias("id"), "score", "rank"
     )
-    return [docs.join(F.broadcast(b), "id") for b in (near, lexical)]
+    # k rows for each question at most.
+    return [docs.join(bounded_broadcast(b, asked, k), "id") for b in (near, lexical)]
 
 
 def _fused(merge):
@@ -122,8 +124,8 @@ def hybrid_allowed(spark, folder):
 
 def rerank_boost(spark, folder):
     ranked = bm25.bm25_topk(documents(spark, folder), questions(spark, folder), k=10)
-    texts = documents(spark, folder).select("doc_id", "text").join(F.broadcast(ranked), "doc_id")
-    pairs = texts.join(F.broadcast(questions(spark, folder)), "query_id")
+    texts = documents(spark, folder).select("doc_id", "text").join(bounded_broadcast(ranked, questions(spark, folder), 10), "doc_id")
+    pairs = texts.join(bounded_broadcast(*[questions(spark, folder)] * 2), "query_id")
     return pairs.select(
         "query_id", "doc_id", F.round(rerank.lexical_boost(F.col("query"), F.col("text")), 6).alias("boost")
     )
@@ -133,7 +135,7 @@ def rerank_topk(spark, folder):
     """Rerank the hybrid top 15 with the fused score standing in for the model score."""
     asked = _vector_questions(spark, folder)
     found = retrieval.hybrid_search(_chunks(spark, folder), asked, top_k=15)
-    pairs = found.join(F.broadcast(asked.select("query_id", "query")), "query_id")
+    pairs = found.join(bounded_broadcast(asked.select("query_id", "query"), asked), "query_id")
     out = rerank.rerank(pairs, F.col("score"), k=4)
     return _long_rank(out).select("query_id", "rank", "id", "rerank_score")
 

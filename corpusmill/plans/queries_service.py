@@ -62,22 +62,6 @@ def rate_limit(spark, folder):
     )
 
 
-def cache_replay(spark, folder):
-    nothing = F.lit(None).cast("string")
-    key = service.cache_key(
-        F.get_json_object("props", "$.k"), F.col("event_type"), F.lit(5), nothing, F.lit(None).cast("array<string>")
-    )
-    rows = events(spark, folder).select(
-        F.lit("answers").alias("cache"),
-        service.seconds(F.col("ts")).alias("t"),
-        F.col("event_id").alias("request_id"),
-        key.alias("key"),
-    )
-    return service.cache_replay(rows, ttl=6 * 3600.0, capacity=100, segment_seconds=4 * 86_400.0).select(
-        "request_id", "hit"
-    )
-
-
 def _messages(spark, folder):
     return messages(spark, folder).select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content")
@@ -212,7 +196,6 @@ QUERIES = {
     "daily_quota": daily_quota,
     "quota_admitted": quota_admitted,
     "rate_limit": rate_limit,
-    "cache_replay": cache_replay,
     "session_list": session_list,
     "session_evict": session_evict,
     "session_state": session_state,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill import fixed
@@ -73,12 +74,12 @@ def _questions(spark, folder):
         "điều 5 là gì ", "",
     ]
     opener = F.element_at(F.array(*[F.lit(o) for o in openers]), (F.col("conv_id") % len(openers) + 1).cast("int"))
-    short = F.substring("text", 1, 12)
-    return messages(spark, folder).select(
-        "conv_id", "turn",
-        F.concat(opener, F.when(F.col("turn") % 2 == 0, short).otherwise(F.col("text"))).alias("question"),
-        (F.col("turn") > 0).alias("has_history"),
+    # Nation names are the short questions.
+    short = table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("conv_id"), F.lit(-1).alias("turn"), F.col("n_name").alias("text")
     )
+    said = messages(spark, folder).select("conv_id", "turn", "text").unionByName(short)
+    return said.select("conv_id", "turn", F.concat(opener, "text").alias("question"), (F.col("turn") > 0).alias("has_history"))
 
 
 def style_route(spark, folder):
@@ -116,15 +117,12 @@ def route(spark, folder):
 
 
 def rewrite_fallback(spark, folder):
-    said = messages(spark, folder).select(
-        F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content")
-    )
-    # The stored history of a session is its last 100 messages, so this list is bounded.
-    history = service.prepared_history(said, threshold=fixed.STORED_HISTORY, window=fixed.STORED_HISTORY)
-    asked = _questions(spark, folder).where("turn = 2").join(history, F.col("conv_id") == F.col("session_id"))
-    return asked.select(
-        "conv_id", _md5(routing.rewrite_with_history(F.col("question"), F.col("history"))).alias("md5")
-    )
+    """Every question a user asked, with what was said before it (as much as a session stores)."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-fixed.STORED_HISTORY, -1)
+    entry = F.struct("role", F.col("text").alias("content"))
+    said = messages(spark, folder).select("conv_id", "turn", "role", F.collect_list(entry).over(before).alias("history"))
+    asked = _questions(spark, folder).join(said.where("role = 'user'"), ["conv_id", "turn"])
+    return asked.select("conv_id", "turn", _md5(routing.rewrite_with_history(F.col("question"), F.col("history"))).alias("md5"))
 
 
 def file_intent(spark, folder):
@@ -199,16 +197,27 @@ def calc_words(spark, folder):
     def digit(expr):
         return F.element_at(names, (expr + 1).cast("int"))
 
-    n = F.col("p_partkey") % 1000
-    h, t, u = F.floor(n / 100), F.floor(n / 10) % 10, n % 10
-    tens = F.when((t == 0) & (u == 0), "").when(t == 0, F.concat(F.lit(" linh "), digit(u))).when(
-        t == 1, F.concat(F.lit(" mười"), F.when(u == 5, " lăm").when(u > 0, F.concat(F.lit(" "), digit(u))).otherwise(""))
-    ).otherwise(F.concat(F.lit(" "), digit(t), F.lit(" mươi"), F.when(u == 1, " mốt").when(u > 0, F.concat(F.lit(" "), digit(u))).otherwise("")))
-    thousands = F.floor(F.col("p_partkey") / 1000)
-    phrase = F.concat(F.when(thousands.between(1, 9), F.concat(digit(thousands % 10), F.lit(" nghìn "))).otherwise(""), digit(h), F.lit(" trăm"), tens)
-    return table(spark, folder, "part").where("p_partkey < 10000").select(
-        "p_partkey", calc.replace_number_words(phrase).cast("long").alias("value")
+    def spelled(n, lead):
+        """A group of three digits; ``lead``: nothing stands before it, so zeros in front are not spoken."""
+        h, t, u = F.floor(n / 100), F.floor(n / 10) % 10, n % 10
+        unit = F.when(u == 0, "").when((t > 0) & (u == 5), " lăm").when((t > 1) & (u == 1), " mốt").otherwise(F.concat(F.lit(" "), digit(u)))
+        bare = lead & (h == 0)
+        ten = (
+            F.when((t == 0) & (u > 0) & ~bare, " linh").when(t == 0, "").when(t == 1, " mười")
+            .otherwise(F.concat(F.lit(" "), digit(t), F.lit(" mươi")))
+        )
+        return F.trim(F.concat(F.when(bare, "").otherwise(F.concat(digit(h), F.lit(" trăm"))), ten, unit))
+
+    n = F.col("p_partkey")
+    millions, thousands = F.floor(n / 1_000_000), F.floor(n / 1000) % 1000
+    phrase = F.concat_ws(
+        " ",
+        F.when(millions > 0, F.concat(spelled(millions, F.lit(True)), F.lit(" triệu"))),
+        F.when(thousands > 0, F.concat(spelled(thousands, millions == 0), F.lit(" nghìn"))),
+        F.when(n == 0, digit(n)),
+        F.when(n % 1000 > 0, spelled(n % 1000, (millions == 0) & (thousands == 0))),
     )
+    return table(spark, folder, "part").select("p_partkey", calc.replace_number_words(phrase).cast("long").alias("value"))
 
 
 def calc_compare(spark, folder):
@@ -267,7 +276,8 @@ INJECTION_SQL = "(?i)" + (
 )
 ASKED_SQL = """
 q AS (SELECT conv_id, turn, ['giải thích chi tiết ', 'nó là gì ', 'quy định đó ', 'xin chào ', 'vừa hỏi gì ', 'hãy trả lời ngắn gọn, ',
-    'điều 5 là gì ', ''][conv_id % 8 + 1] || CASE WHEN turn % 2 = 0 THEN left(text, 12) ELSE text END AS question, turn > 0 AS hist FROM conversations)"""
+    'điều 5 là gì ', ''][conv_id % 8 + 1] || text AS question, turn > 0 AS hist
+  FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT n_nationkey, -1, n_name FROM nation))"""
 
 
 def _any(words: list[str]) -> str:
@@ -331,7 +341,7 @@ SELECT conv_id, turn, reason IN ('ok', 'admitted_lack') AS sufficient, reason FR
     "calc": """
 SELECT l_orderkey, sum(l_quantity::INT * l_linenumber + l_suppkey)::BIGINT AS total, count(*) AS solved FROM lineitem GROUP BY 1""",
     "calc_numbers": "SELECT o_orderkey, round(o_totalprice, 2) AS value FROM orders",
-    "vn_numbers": "SELECT p_partkey, p_partkey AS value FROM part WHERE p_partkey < 10000",
+    "vn_numbers": "SELECT p_partkey, p_partkey AS value FROM part",
     "compare": """
 SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '>' WHEN 1 THEN '<' ELSE '==' END AS op,
   CASE WHEN o_custkey > o_orderkey THEN '>' WHEN o_custkey < o_orderkey THEN '<' ELSE '==' END AS relation,
