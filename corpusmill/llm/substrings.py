@@ -21,7 +21,9 @@ Marking. Ranges of bytes meet their document once more, are merged, and the rest
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -239,6 +241,12 @@ def _meet(wide: int):
 # ---- the run-length index --------------------------------------------------------------------------------------
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros behind the end."""
+    padded = np.concatenate((data, np.zeros(7, np.uint8)))
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
+
+
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of texts with owners.
 
@@ -249,65 +257,65 @@ class RunIndex:
 
     def __init__(self, texts: list[bytes], owners: np.ndarray) -> None:
         size = np.array([len(t) + 1 for t in texts])
-        self.text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int16) + 1
+        data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         ends = np.cumsum(size) - 1
+        self.text = data.astype(np.int16) + 1
         self.text[ends] = 0
         n = len(self.text)
-        rows = self._suffixes(int(size.max()))
+        self.words = _words(data)
+        self.left = np.repeat(ends, size) - np.arange(n)  # symbols up to the end of the text
+        rows, alike = self._suffixes()
         before = self.text[rows - 1]
         head = np.flatnonzero(np.diff(before, prepend=-1))
         self.run_start, self.run_symbol = head, before[head]
         tail = np.append(head[1:], n) - 1
         self.first_sample, self.last_sample = rows[head], rows[tail]
         lengths = tail - head + 1
+        self.run_of = np.repeat(np.arange(len(head), dtype=np.int32), lengths)  # rank support: a row's run in one step
         order = np.argsort(self.run_symbol, kind="stable")
-        seen = np.cumsum(lengths[order]) - lengths[order]
-        symbols = self.run_symbol[order]
-        starts = np.flatnonzero(np.diff(symbols, prepend=-1))
+        # Where a run's first row goes in one step back: behind smaller symbols, and this one's runs above.
         self.run_rank = np.empty(len(head), np.int64)
-        # Place of a run's first row after one step back: smaller symbols, then the runs of this one above.
-        self.run_rank[order] = seen
+        self.run_rank[order] = np.cumsum(lengths[order]) - lengths[order]
         # Runs of each symbol, to find the nearest ones: (symbol, run) in order.
-        self.by_symbol = symbols.astype(np.int64) * (len(head) + 1) + order
+        self.by_symbol = self.run_symbol[order].astype(np.int64) * (len(head) + 1) + order
         self.ordered_runs = order
-        del starts
-        # Neighbouring rows whose first LENGTH symbols agree.
-        owner = np.repeat(np.asarray(owners, np.int64), size)[rows]
-        self.class_start, self.class_owner = self._classes(rows, owner)
+        # Neighbouring rows whose first LENGTH symbols agree, and the smallest owner of each such class.
+        self.class_start = np.flatnonzero(~alike)
+        self.class_owner = np.minimum.reduceat(np.repeat(np.asarray(owners, np.int64), size)[rows], self.class_start)
+
+    def _suffixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix order by doubling from seven symbols on; whether a row agrees with the one above in LENGTH symbols.
 
-    def _suffixes(self, longest: int) -> np.ndarray:
-        """Suffix order by doubling; ends of texts differ by their place, so no comparison crosses one."""
+        No text stands in the index twice, so suffixes differ after two texts at the latest.
+        """
         n = len(self.text)
-        rank = self.text.astype(np.int64) + n
-        rank[self.text == 0] = np.arange(np.count_nonzero(self.text == 0))
-        rank = np.unique(rank, return_inverse=True)[1]
-        depth = 1
+        padded = np.concatenate((self.text, np.zeros(7, np.int16))).astype(np.int64)
+        key = np.zeros(n, np.int64)
+        for k in range(7):
+            key = key << 9 | padded[k : k + n]
+        depth, half = 7, None
         while True:
-            follow = np.zeros(n, np.int64)
-            follow[: n - depth] = rank[depth:] + 1
-            pair = rank * (n + 2) + follow
-            rows = np.argsort(pair, kind="stable")
-            new = np.diff(pair[rows], prepend=-1) != 0
+            rows = np.argsort(key)
+            new = np.diff(key[rows], prepend=-1) != 0
             rank = np.empty(n, np.int64)
             rank[rows] = np.cumsum(new) - 1
+            if depth <= LENGTH <= 2 * depth:
+                half = depth, rank
+            if new.all() and half is not None:
+                break
+            follow = np.zeros(n, np.int64)
+            follow[: max(0, n - depth)] = rank[depth:] + 1
+            key = rank * (n + 2) + follow
             depth *= 2
-            if depth >= longest or new.all():
-                return rows
-
-    def _classes(self, rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.text)
-        padded = np.concatenate((self.text, np.full(LENGTH, -1, np.int16)))
-        same = np.ones(n, bool)
-        same[0] = False
-        for k in range(LENGTH):
-            x = padded[rows[1:] + k]
-            same[1:] &= (x == padded[rows[:-1] + k]) & (x > 0)
-        start = np.flatnonzero(~same)
-        return start, np.minimum.reduceat(owner, start)
+        depth, rank = half
+        second = np.minimum(rows + LENGTH - depth, n - 1)
+        alike = np.zeros(n, bool)
+        alike[1:] = (rank[rows[1:]] == rank[rows[:-1]]) & (rank[second[1:]] == rank[second[:-1]])
+        return rows, alike
 
     def _above_below(self, row: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nearest runs of ``symbol`` not below and below ``row``'s run; -1 where there is none."""
-        run = np.searchsorted(self.run_start, row, side="right") - 1
+        run = self.run_of[row]
         width = len(self.run_start) + 1
         at = np.searchsorted(self.by_symbol, symbol.astype(np.int64) * width + run, side="right")
         above, below = at - 1, at
@@ -319,17 +327,18 @@ class RunIndex:
             np.where(has_below, self.ordered_runs[np.minimum(below, last)], -1),
         )
 
-    def _common(self, place: np.ndarray, queries: np.ndarray, which: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Length (LENGTH at most) of what the index has at ``place`` and a query has from ``at`` on."""
-        length, live = np.zeros(len(place), np.int64), np.ones(len(place), bool)
-        for k in range(LENGTH):
-            i, j = np.minimum(place + k, len(self.text) - 1), np.minimum(at + k, queries.shape[1] - 1)
-            live &= (place + k < len(self.text)) & (at + k < queries.shape[1])
-            live &= (self.text[i] == queries[which, j]) & (self.text[i] > 0)
-            if not live.any():
+    def _common(self, place: np.ndarray, words: np.ndarray, spot: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Length (LENGTH at most) of what the text has at ``place`` and a query, as ``words``, from ``spot`` on; ``left`` is its rest."""
+        length, live = np.zeros(len(place), np.int64), np.arange(len(place))
+        for k in range(0, LENGTH, 8):
+            i = np.minimum(place[live] + k, len(self.words) - 1)
+            differ = self.words[i] ^ words[np.minimum(spot[live] + k, len(words) - 1)]
+            # Bytes before the first that differs: the zero bytes at the low end.
+            length[live] += (np.bitwise_count((differ & -differ) - np.uint64(1)) >> 3).astype(np.int64)
+            live = live[differ == 0]
+            if not len(live):
                 break
-            length += live
-        return length
+        return np.minimum(np.minimum(length, LENGTH), np.minimum(self.left[place], left))
 
     def stream(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of all texts at once, from their ends: (length, row) for each text and place.
@@ -339,9 +348,10 @@ class RunIndex:
         by the samples at their ends.
         """
         width = max(map(len, texts))
-        queries = np.full((len(texts), width), -2, np.int16)  # to the right
-        for i, t in enumerate(texts):
-            queries[i, width - len(t) :] = np.frombuffer(t, np.uint8).astype(np.int16) + 1
+        flat = np.frombuffer(b"".join(t.rjust(width, b"\0") for t in texts), np.uint8)  # to the right
+        words = _words(flat)
+        queries = flat.reshape(len(texts), width).astype(np.int16) + 1
+        queries[np.arange(width) < width - np.array([len(t) for t in texts])[:, None]] = 0
         lengths, rows = np.zeros(queries.shape, np.int16), np.zeros(queries.shape, np.int64)
         row = np.zeros(len(texts), np.int64)  # any row: the empty match
         length = np.zeros(len(texts), np.int64)
@@ -350,7 +360,7 @@ class RunIndex:
             if not len(live):
                 break
             symbol = queries[live, at].astype(np.int64)
-            run = np.searchsorted(self.run_start, row[live], side="right") - 1
+            run = self.run_of[row[live]]
             hit = self.run_symbol[run] == symbol
             miss = np.flatnonzero(~hit)
             if len(miss):
@@ -358,7 +368,7 @@ class RunIndex:
                 best, to = np.full(len(miss), -1), np.zeros(len(miss), np.int64)
                 for runs, samples, end in ((above, self.last_sample, True), (below, self.first_sample, False)):
                     has = np.flatnonzero(runs >= 0)
-                    common = self._common(samples[runs[has]], queries, live[miss[has]], np.full(len(has), at + 1))
+                    common = self._common(samples[runs[has]], words, live[miss[has]] * width + at + 1, width - at - 1)
                     better = common > best[has]
                     use = has[better]
                     best[use] = common[better]
@@ -367,7 +377,7 @@ class RunIndex:
                 lost = live[miss[best < 0]]
                 row[live[miss]], length[live[miss]] = to, np.minimum(length[live[miss]], np.maximum(best, 0))
                 length[lost] = -1  # the symbol is nowhere: start over behind it
-                run = np.searchsorted(self.run_start, row[live], side="right") - 1
+                run = self.run_of[row[live]]
             step = self.run_rank[run] + row[live] - self.run_start[run]
             row[live] = np.where(length[live] < 0, 0, step)
             length[live] = np.minimum(length[live] + 1, LENGTH)
@@ -398,10 +408,13 @@ def repeated_starts(texts: list[bytes], groups: np.ndarray, owners: np.ndarray)
     for at in range(0, len(asked), 16384):
         part = asked[at : at + 16384]
         lengths, rows = index.stream([texts[i] for i in part])
-        for k, i in enumerate(part):
-            pad = lengths.shape[1] - len(texts[i])
-            there = np.flatnonzero(lengths[k] >= LENGTH)
-            out[i] = there[index.smallest_owner(rows[k, there]) < owners[i]] - pad
+        which, there = np.nonzero(lengths >= LENGTH)
+        covered = index.smallest_owner(rows[which, there]) < owners[part][which]
+        which, there = which[covered], there[covered]
+        bounds = np.searchsorted(which, np.arange(len(part) + 1))
+        for k in np.unique(which).tolist():
+            pad = lengths.shape[1] - len(texts[part[k]])
+            out[part[k]] = there[bounds[k] : bounds[k + 1]] - pad
     return out
 
 
@@ -484,8 +497,15 @@ def _indexed(rows: DataFrame, parsed: DataFrame, partitions: int, lot: int) -> D
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose results are stored (it does so when the driver collects garbage)."""
-    spark._jvm.System.gc()
+    """Let Spark drop the shuffle files of steps whose results are stored.
+
+    It does so when the driver's JVM finds nothing that refers to them; Python's references to its
+    objects are given up by a thread of their own, shortly after they go here.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.4)
+        spark._jvm.System.gc()
 
 
 def without_repeats(

@@ -39,7 +39,7 @@ def result(df, **more):
 @pytest.mark.parametrize("seed", range(8))
 def test_index_against_plain_search(seed, monkeypatch):
     rng = random.Random(seed)
-    length = rng.choice([3, 5, 8])
+    length = rng.choice([7, 9, 15])
     monkeypatch.setattr(S, "LENGTH", length)
     letters = b"ab" if seed % 2 else b"abcd"
     texts = list({bytes(rng.choice(letters) for _ in range(rng.randrange(length, length + 9))) for _ in range(rng.randrange(2, 40))})
