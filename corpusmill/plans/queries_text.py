@@ -284,6 +284,38 @@ def _any(words: list[str]) -> str:
     return "regexp_matches(q, '" + "|".join(words) + "')"
 
 
+def _quoted(word: str) -> str:
+    return "'" + word.replace("'", "''") + "'"
+
+
+def _holds(column: str, words: list[str]) -> str:
+    """One of the words stands in the column, by plain search."""
+    return "(" + " OR ".join(f"contains({column}, {_quoted(w)})" for w in words) + ")"
+
+
+def _word(column: str, words: list[str]) -> str:
+    """One of the words stands in the column as a whole word."""
+    edge = "[^\\p{L}\\p{N}_]"
+    alternatives = "|".join(w.strip() for w in words).replace("'", "''")
+    return f"regexp_matches({column}, '(?:^|{edge})(?:{alternatives})(?:$|{edge})')"
+
+
+_BLANK = "E' \\n\\t\\r\\f\\x0B'"
+_TRIPLE = " AND ".join(_holds("q", group) for group in fixed.RECALL_TRIPLE)
+_JOINERS = ["và", "rồi", ",", ";", "và cho", "và hãy"]
+_STYLE_ORDER = [w for group in fixed.STYLE_WORDS.values() for w in group]
+# Small talk, recall and dependence on history of the questions above.
+INTENT_SQL = ASKED_SQL + f""",
+w AS (SELECT conv_id, turn, hist, question, lower(question) AS q, lower(trim(question, {_BLANK})) AS low,
+  strip_accents(lower(trim(question, {_BLANK}))) AS plain,
+  list_filter(regexp_split_to_array(lower(trim(question, {_BLANK})), '\\s+'), lambda x: x <> '') AS toks FROM q),
+i AS (SELECT *, ({_holds("q", fixed.RECALL_WORDS)} OR ({_TRIPLE})) AS recall,
+  hist AND (length(low) < 15 OR {" OR ".join(f"starts_with(low, {_quoted(x)})" for x in fixed.SHORT_FOLLOW_UPS)}
+    OR {_holds("low", fixed.PRONOUN_WORDS)} OR len(toks) <= 4
+    OR len(list_filter(toks, lambda x: trim(x, '.,?:;!"''') IN ('nó', 'no'))) > 0) AS rewrite FROM w),
+so AS (SELECT *, low <> '' AND NOT recall AND NOT rewrite
+  AND NOT ({_holds("low", fixed.PROFESSIONAL_WORDS)} OR {_holds("plain", routing._plain(fixed.PROFESSIONAL_WORDS))})
+  AND ({_word("low", fixed.SOCIAL_WORDS)} OR {_word("plain", routing._plain(fixed.SOCIAL_WORDS))}) AS social FROM i)"""
 _STYLE_CASES = " ".join(f"WHEN {_any(words)} THEN '{style}'" for style, words in fixed.STYLE_WORDS.items())
 ORACLES = {
     "style_route": "WITH" + ASKED_SQL + f""",
@@ -291,6 +323,27 @@ l AS (SELECT conv_id, turn, lower(question) AS q FROM q)
 SELECT conv_id, turn, coalesce(CASE WHEN {_any(fixed.STYLE_CLAUSE_WORDS)} AND {_any(fixed.STYLE_CLAUSE_DETAIL)} THEN 'detailed'
   WHEN {_any(fixed.STYLE_INTENT)} THEN CASE {_STYLE_CASES} END
   WHEN {_any(fixed.STYLE_PLAIN_ALONE)} THEN 'plain' WHEN {_any(fixed.STYLE_CLAUSE_WORDS)} THEN 'detailed' END, '-') AS style FROM l""",
+    "intent_flags": "WITH" + INTENT_SQL + "\nSELECT conv_id, turn, recall, rewrite, social FROM so",
+    "style_strip": "WITH" + ASKED_SQL + f""",
+f AS (SELECT *, coalesce({", ".join(f"CASE WHEN contains(lower(question), {_quoted(x)}) THEN {_quoted(x)} END" for x in _STYLE_ORDER)}) AS w FROM q),
+r AS (SELECT *, trim(substr(question, instr(lower(question), w) + length(w)), ' :,-.') AS rest FROM f),
+c AS (SELECT *, lower(rest) AS low FROM r)
+SELECT conv_id, turn, md5(CASE WHEN w IS NULL THEN question ELSE coalesce({", ".join(
+    f"CASE WHEN contains(low, {_quoted(j)}) AND length(trim(substr(rest, instr(low, {_quoted(j)}) + {len(j)}), {_BLANK})) > 5 "
+    f"THEN trim(substr(rest, instr(low, {_quoted(j)}) + {len(j)}), {_BLANK}) END" for j in _JOINERS)},
+  CASE WHEN length(rest) < 15 OR regexp_matches(low, '^(đi|nhé|nha)') THEN '' END, question) END) AS md5 FROM c""",
+    "truncated": f"""
+WITH s AS (SELECT doc_id, trim(coalesce(text, ''), {_BLANK}) AS s FROM documents),
+f AS (SELECT *, lower(right(s, 80)) AS tail, right(s, 1) = ']' AS cited, regexp_matches(s, '[.!?。！？"''”’)\\]]$') AS closed,
+  regexp_matches(right(s, 30), '[.!?。]') AS stop30, regexp_matches(right(s, 40), '[.!?。]') AS stop40,
+  regexp_matches(s, '[\\p{{L}}\\p{{N}}]$') AND NOT regexp_matches(right(s, 60), '[.!?。！？]') AS open_end,
+  len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) AS words FROM s)
+SELECT doc_id, CASE WHEN s = '' THEN false
+  WHEN cited AND contains(string_split(s, E'\\n')[-1], '[') THEN NOT stop40 AND length(s) > 1500 AND regexp_matches(tail, 'thuộc|khối|đảng')
+  WHEN closed AND NOT cited THEN false WHEN cited AND stop30 THEN false
+  ELSE regexp_matches(tail, '(?:{"|".join(w.strip() for w in fixed.DANGLING_ENDINGS)})$')
+    OR (open_end AND (length(s) > 50 OR (len(regexp_extract_all(s, '\\|')) % 2 = 1 AND contains(s, E'\\n|'))
+      OR (length(s) > 20 AND regexp_matches(s, '\\p{{L}}$') AND words > 3))) END AS truncated FROM f""",
     "sanitize": "WITH" + NOTED_SQL + """,
 a AS (SELECT conv_id, turn, regexp_replace(text, '(?i)\\b(rerank|top_k|top-k|use_rerank|use_history|show_context|category)\\s*[:=]\\s*(true|false|\\d+|[a-z_]+)', '', 'g') AS t FROM n),
 b AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(t, '(?i)[•|]\\s*(rerank|top_k).*', '', 'g'), '\\s+', ' ', 'g')) AS t FROM a),
