@@ -302,6 +302,7 @@ def _word(column: str, words: list[str]) -> str:
 
 _BLANK = "E' \\n\\t\\r\\f\\x0B'"
 _TRIPLE = " AND ".join(_holds("q", group) for group in fixed.RECALL_TRIPLE)
+_IMPERATIVE = list(dict.fromkeys(fixed.IMPERATIVE_WORDS + routing._plain(fixed.IMPERATIVE_WORDS)))
 _JOINERS = ["và", "rồi", ",", ";", "và cho", "và hãy"]
 _STYLE_ORDER = [w for group in fixed.STYLE_WORDS.values() for w in group]
 # Small talk, recall and dependence on history of the questions above.
@@ -323,6 +324,36 @@ l AS (SELECT conv_id, turn, lower(question) AS q FROM q)
 SELECT conv_id, turn, coalesce(CASE WHEN {_any(fixed.STYLE_CLAUSE_WORDS)} AND {_any(fixed.STYLE_CLAUSE_DETAIL)} THEN 'detailed'
   WHEN {_any(fixed.STYLE_INTENT)} THEN CASE {_STYLE_CASES} END
   WHEN {_any(fixed.STYLE_PLAIN_ALONE)} THEN 'plain' WHEN {_any(fixed.STYLE_CLAUSE_WORDS)} THEN 'detailed' END, '-') AS style FROM l""",
+    "file_intent": f"""
+WITH t AS (SELECT doc_id, trim(CASE doc_id % 3 WHEN 0 THEN 'Hãy tóm tắt: ' WHEN 1 THEN 'Why? How? ' ELSE '' END || text, {_BLANK}) AS t FROM documents),
+l AS (SELECT *, lower(t) AS low, strip_accents(lower(t)) AS plain, instr(t, '?') - 1 AS mark, length(t) - length(replace(t, '?', '')) AS marks,
+  len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) AS words FROM t),
+k AS (SELECT *, {_holds("low", _IMPERATIVE)} OR {_holds("plain", _IMPERATIVE)} AS keyword,
+  {_holds("low", fixed.STRONG_IMPERATIVES)} OR {_holds("plain", fixed.STRONG_IMPERATIVES)} AS strong,
+  coalesce({", ".join(f"CASE WHEN contains(low, {_quoted(x)}) THEN instr(low, {_quoted(x)}) WHEN contains(plain, {_quoted(x)}) THEN instr(plain, {_quoted(x)}) END" for x in _IMPERATIVE)}, 1) AS pos,
+  CASE WHEN mark >= 200 THEN mark - 200 ELSE greatest(length(t) + mark - 200, 0) END AS edge,
+  array_to_string(list_filter(regexp_split_to_array(t, '[?。\\n]'), lambda x: trim(x, {_BLANK}) <> '')[1:3], E'\\n') AS lead FROM l),
+e AS (SELECT *, CASE WHEN marks >= 2 THEN coalesce(nullif(trim(substr(t, edge + 1, greatest(mark + 200 - edge, 0)), {_BLANK}), ''), left(lead, 1000))
+  WHEN strong THEN trim(substr(t, greatest(pos - 200, 1), 800), {_BLANK})
+  WHEN keyword AND marks >= 1 THEN trim(substr(t, greatest(pos - 200, 1), least(pos - 1, 200) + 500), {_BLANK}) ELSE '' END AS query FROM k)
+SELECT doc_id, CASE WHEN t = '' THEN 'false' WHEN marks >= 2 OR strong OR (keyword AND marks >= 1) THEN 'true'
+  WHEN NOT (keyword OR marks = 1 OR words < 50) THEN 'false' ELSE 'ask' END AS has_request, length(query) AS chars FROM e""",
+    "rewrite_fallback": "WITH" + INTENT_SQL + f""",
+h AS (SELECT conv_id, turn, role, list({{'role': role, 'text': trim(text, {_BLANK})}}) OVER (PARTITION BY conv_id ORDER BY turn
+  ROWS BETWEEN {fixed.STORED_HISTORY} PRECEDING AND 1 PRECEDING) AS said FROM conversations),
+u AS (SELECT i.conv_id, i.turn, i.question, i.low, len(i.toks) AS words, i.rewrite AND len(coalesce(h.said, [])) > 0 AS dependent,
+  [x.text FOR x IN coalesce(h.said, []) IF x.role = 'user' AND x.text <> ''] AS asked
+  FROM i JOIN h USING (conv_id, turn) WHERE h.role = 'user'),
+o AS (SELECT *, asked[1] AS opening, list_filter(asked, lambda x: lower(x) <> low)[-1] AS latest,
+  regexp_matches(low, ' nó|cái đó|cái này|trong đó|ở trên|như trên') AS vague,
+  coalesce({", ".join(f"CASE WHEN contains(low, {_quoted(x)}) THEN {_quoted(x)} END" for x in fixed.REWRITE_PRONOUNS)}) AS pronoun FROM u),
+r AS (SELECT *, CASE WHEN vague THEN coalesce(opening, latest) ELSE coalesce(latest, opening) END AS referent FROM o),
+sw AS (SELECT *, trim(replace(lower(question), pronoun, regexp_replace(left(referent, 80), '[?.]+$', '')), {_BLANK}) AS swapped,
+  replace(replace(question, 'nó', left(referent, 60)), 'Nó', left(referent, 60)) AS inline FROM r),
+rp AS (SELECT *, CASE WHEN pronoun IS NULL THEN question WHEN words <= 4 THEN upper(left(swapped, 1)) || substr(swapped, 2) ELSE inline END AS replaced FROM sw)
+SELECT conv_id, turn, md5(CASE WHEN NOT dependent OR referent IS NULL THEN question
+  WHEN lower(trim(replaced, {_BLANK})) <> low AND length(replaced) > length(question) THEN replaced
+  WHEN words <= 6 AND opening IS NOT NULL THEN question || ' (liên quan đến: ' || left(opening, 80) || ')' ELSE question END) AS md5 FROM rp""",
     "intent_flags": "WITH" + INTENT_SQL + "\nSELECT conv_id, turn, recall, rewrite, social FROM so",
     "style_strip": "WITH" + ASKED_SQL + f""",
 f AS (SELECT *, coalesce({", ".join(f"CASE WHEN contains(lower(question), {_quoted(x)}) THEN {_quoted(x)} END" for x in _STYLE_ORDER)}) AS w FROM q),
