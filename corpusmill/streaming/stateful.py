@@ -1,7 +1,9 @@
 """Keyed state over request streams: rate limit, daily quota, answer cache, session state.
 
 Each identity's state is small and bounded; Spark keeps it in the state store of the partition that
-owns the key and expires it by time to live, so nothing is held in one process.
+owns the key, so nothing is held in one process. With ``expire`` a key's state goes when its time to live is
+over without a new row. That is for queries that run on: one with the availableNow trigger would wait for the
+last time to live to end.
 """
 
 from __future__ import annotations
@@ -17,56 +19,89 @@ from corpusmill import fixed
 from corpusmill.session import ship_package
 
 
+#: Days whose quota a user's state remembers; requests of older days are refused.
+KEPT_DAYS = 40
+
+
+def _ordered(batches: Iterator[pd.DataFrame], order: list[str], state: GroupState) -> pd.DataFrame | None:
+    """All rows of a key in this micro-batch, in order; None (and no state any more) if the key's time to live is over.
+
+    Arrow may hand over a key's rows in several pieces, so they are put together before they are ordered.
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return None
+    return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+
+
+def _timeout(expire: bool) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+
+
+def _keep(state: GroupState, milliseconds: int, expire: bool) -> None:
+    if expire:
+        state.setTimeoutDuration(milliseconds)
+
+
 def rate_limit_stream(
-    requests: DataFrame, limit: int = fixed.RATE_LIMIT_MAX, window: float = fixed.RATE_LIMIT_WINDOW
+    requests: DataFrame, limit: int = fixed.RATE_LIMIT_MAX, window: float = fixed.RATE_LIMIT_WINDOW, expire: bool = False
 ) -> DataFrame:
     """(identity, request_id, t, admitted) of a stream of (identity, request_id, t)."""
     ship_package(requests.sparkSession)
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else []
-        for rows in batches:
-            rows = rows.sort_values(["t", "request_id"], kind="stable")
-            verdicts = []
-            for now in rows["t"]:
-                recent = [t for t in recent if now - t < window]
-                verdicts.append(len(recent) < limit)
-                if verdicts[-1]:
-                    recent.append(now)
-            yield rows.assign(admitted=verdicts)[["identity", "request_id", "t", "admitted"]]
+        rows = _ordered(batches, ["t", "request_id"], state)
+        if rows is None:
+            return
+        verdicts = []
+        for now in rows["t"]:
+            recent = [t for t in recent if now - t < window]
+            verdicts.append(len(recent) < limit)
+            if verdicts[-1]:
+                recent.append(now)
         state.update((recent,))
+        _keep(state, int(window * 1000) + 1, expire)
+        yield rows.assign(admitted=verdicts)[["identity", "request_id", "t", "admitted"]]
 
     return requests.select("identity", "request_id", "t").groupBy("identity").applyInPandasWithState(
         decide, "identity string, request_id long, t double, admitted boolean", "recent array<double>", "append",
-        GroupStateTimeout.NoTimeout,
+        _timeout(expire),
     )
 
 
-def daily_quota_stream(requests: DataFrame, limit: int = fixed.CHAT_DAILY_LIMIT) -> DataFrame:
+def daily_quota_stream(requests: DataFrame, limit: int = fixed.CHAT_DAILY_LIMIT, expire: bool = False) -> DataFrame:
     """(user, request_id, day, admitted) of a stream of (user, request_id, day); ``day`` is a date text."""
     ship_package(requests.sparkSession)
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, used = state.get if state.exists else ("", 0)
-        for rows in batches:
-            rows = rows.sort_values(["day", "request_id"], kind="stable")
-            verdicts = []
-            for today in rows["day"]:
-                if today != day:
-                    day, used = today, 0
-                verdicts.append(used < limit)
-                used += verdicts[-1]
-            yield rows.assign(admitted=verdicts)[["user", "request_id", "day", "admitted"]]
-        state.update((day, int(used)))
+        days, counts = state.get if state.exists else ([], [])
+        used = dict(zip(days, counts))
+        rows = _ordered(batches, ["day", "request_id"], state)
+        if rows is None:
+            return
+        verdicts = []
+        for day in rows["day"]:
+            # A day that fell out of the state had its quota once; nothing of it can be admitted any more.
+            forgotten = len(used) >= KEPT_DAYS and day not in used and day < min(used)
+            verdicts.append(not forgotten and used.get(day, 0) < limit)
+            if not forgotten:
+                used[day] = used.get(day, 0) + int(verdicts[-1])
+            if len(used) > KEPT_DAYS:
+                del used[min(used)]
+        state.update((list(used), list(used.values())))
+        _keep(state, KEPT_DAYS * 86_400_000, expire)
+        yield rows.assign(admitted=verdicts)[["user", "request_id", "day", "admitted"]]
 
     return requests.select("user", "request_id", "day").groupBy("user").applyInPandasWithState(
-        decide, "user string, request_id long, day string, admitted boolean", "day string, used int", "append",
-        GroupStateTimeout.NoTimeout,
+        decide, "user string, request_id long, day string, admitted boolean", "days array<string>, used array<int>", "append",
+        _timeout(expire),
     )
 
 
 def cache_stream(
-    lookups: DataFrame, ttl: float = fixed.CACHE_TTL_SECONDS, capacity: int = fixed.CACHE_MAX_ITEMS
+    lookups: DataFrame, ttl: float = fixed.CACHE_TTL_SECONDS, capacity: int = fixed.CACHE_MAX_ITEMS,
+    expire: bool = False,
 ) -> DataFrame:
     """(cache, request_id, hit) of a stream of (cache, request_id, t, key)."""
     ship_package(lookups.sparkSession)
@@ -74,26 +109,28 @@ def cache_stream(
     def look_up(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names, expiry = state.get if state.exists else ([], [])
         entries = OrderedDict(zip(names, expiry))
-        for rows in batches:
-            rows = rows.sort_values(["t", "request_id"], kind="stable")
-            hits = []
-            for now, name in zip(rows["t"], rows["key"]):
-                hits.append(entries.get(name, float("-inf")) >= now)
-                if not hits[-1]:
-                    entries[name] = now + max(1.0, ttl)
-                entries.move_to_end(name)
-                if len(entries) > max(1, capacity):
-                    entries.popitem(last=False)
-            yield rows.assign(hit=hits)[["cache", "request_id", "hit"]]
+        rows = _ordered(batches, ["t", "request_id"], state)
+        if rows is None:
+            return
+        hits = []
+        for now, name in zip(rows["t"], rows["key"]):
+            hits.append(entries.get(name, float("-inf")) >= now)
+            if not hits[-1]:
+                entries[name] = now + max(1.0, ttl)
+            entries.move_to_end(name)
+            if len(entries) > max(1, capacity):
+                entries.popitem(last=False)
         state.update((list(entries), list(entries.values())))
+        _keep(state, int(max(1.0, ttl) * 1000), expire)
+        yield rows.assign(hit=hits)[["cache", "request_id", "hit"]]
 
     return lookups.select("cache", "request_id", "t", "key").groupBy("cache").applyInPandasWithState(
         look_up, "cache string, request_id long, hit boolean", "names array<string>, expiry array<double>", "append",
-        GroupStateTimeout.NoTimeout,
+        _timeout(expire),
     )
 
 
-def session_stream(turns: DataFrame) -> DataFrame:
+def session_stream(turns: DataFrame, expire: bool = False) -> DataFrame:
     """Latest session row per change, from a stream of (session_id, seq, t, question, style, summary, math_result)."""
     ship_package(turns.sparkSession)
     fields = "title string, summary string, style string, last_math_result string, created_at double, updated_at double, messages int"
@@ -102,16 +139,21 @@ def session_stream(turns: DataFrame) -> DataFrame:
         title, summary, style, result, created, updated, count = (
             state.get if state.exists else (None, None, fixed.DEFAULT_STYLE, None, None, None, 0)
         )
-        for rows in batches:
-            for row in rows.sort_values("seq", kind="stable").itertuples():
-                if not title and isinstance(row.question, str) and row.question.strip():
-                    title = row.question.strip()[:50]
-                summary = row.summary if isinstance(row.summary, str) and row.summary else summary
-                style = row.style if row.style in fixed.STYLES else style
-                result = row.math_result if isinstance(row.math_result, str) else result
-                created = float(row.t) if created is None else created
-                updated = float(row.t)
-                count = min(count + 2, fixed.STORED_HISTORY)
+        rows = _ordered(batches, ["seq"], state)
+        if rows is None:
+            return
+        for question in rows["question"]:
+            if not title and isinstance(question, str) and question.strip():
+                title = question.strip()[:50]
+        last = lambda column, good: next((v for v in reversed(rows[column].tolist()) if good(v)), None)
+        summary = last("summary", lambda v: isinstance(v, str) and v) or summary
+        style = last("style", lambda v: v in fixed.STYLES) or style
+        found = last("math_result", lambda v: isinstance(v, str))
+        result = result if found is None else found
+        created = float(rows["t"].iloc[0]) if created is None else created
+        updated = max(float(rows["t"].max()), float("-inf") if updated is None else updated)
+        count = min(count + 2 * len(rows), fixed.STORED_HISTORY)
+        _keep(state, fixed.SESSION_TTL_SECONDS * 1000, expire)
         state.update((title, summary, style, result, created, updated, int(count)))
         yield pd.DataFrame(
             [[key[0], title, summary, style, result, created, updated, count]],
@@ -119,5 +161,5 @@ def session_stream(turns: DataFrame) -> DataFrame:
         )
 
     return turns.groupBy("session_id").applyInPandasWithState(
-        append, "session_id string, " + fields, fields, "update", GroupStateTimeout.NoTimeout
+        append, "session_id string, " + fields, fields, "update", _timeout(expire)
     )

@@ -161,6 +161,33 @@ def test_streaming_quota(spark, tmp_path):
     assert {r.request_id: r.admitted for r in out} == {0: True, 1: True, 2: False, 3: True}
 
 
+def test_streaming_order_does_not_depend_on_arrow_pieces(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        times = [5.0, 61.0, 0.0, 62.0, 1.0, 2.0, 63.0]
+        df = spark.createDataFrame([("u", i, t) for i, t in enumerate(times)], "identity string, request_id long, t double")
+        out = run_stream(spark, tmp_path, df.coalesce(1), lambda s: stateful.rate_limit_stream(s, 2, 60.0))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # By time: 0, 1 admitted; 2, 5 refused; 61 (0 and 1 are gone) and 62 admitted; 63 refused.
+    assert {r.t: r.admitted for r in out} == {0.0: True, 1.0: True, 2.0: False, 5.0: False, 61.0: True, 62.0: True, 63.0: False}
+
+
+def test_streaming_quota_of_late_days(spark, tmp_path):
+    first = [("u", 0, "d2"), ("u", 1, "d1"), ("u", 2, "d2")]
+    source, name = str(tmp_path / "in"), "late_days"
+    schema_ = "user string, request_id long, day string"
+    out = {}
+    for rows in (first, [("u", 3, "d1"), ("u", 4, "d2"), ("u", 5, "d1")]):
+        spark.createDataFrame(rows, schema_).coalesce(1).write.mode("append").parquet(source)
+        stream = stateful.daily_quota_stream(spark.readStream.schema(schema_).parquet(source), 2)
+        folder = str(tmp_path / name)
+        query = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", str(tmp_path / "ck"))
+        query.outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+        out = {r.request_id: r.admitted for r in spark.read.parquet(folder).collect()}
+    assert out == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False}
+
+
 def test_streaming_cache(spark, tmp_path):
     df = spark.createDataFrame([("c", i, float(t), k) for i, (t, k) in enumerate([(0, "a"), (1, "a"), (2, "b"), (3, "c"), (4, "a"), (99, "c")])], "cache string, request_id long, t double, key string")
     out = run_stream(spark, tmp_path, df, lambda s: stateful.cache_stream(s, 50.0, 2))
