@@ -147,3 +147,12 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [[1.0, 1.0], [3.0, 5.0]])], "a array<float>, m array<array<double>>")
     got = df.select(vector.l2_normalize(F.col("a")), vector.mean_pool(F.col("m")), vector.cosine_distance(F.col("a"), F.col("a"))).first()
     assert got[0] == [0.6, 0.8] and got[1] == [2.0, 3.0] and abs(got[2]) < 1e-12
+
+
+def test_bare_comparison_words_and_natural_logarithm(spark):
+    asked = ["4 lớn 1 hay không", "4 nhỏ 1 không?", "2 bé 3 không", "4 lon hon 1 khong?", "5 lớn hơn hoặc bằng 5 không"]
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    got = {r.q: (r.op, r.verdict) for r in calc.compare(df, "q").collect()}
+    assert got == dict(zip(asked, [(">", True), ("<", False), ("<", True), (">", True), (">=", True)]))
+    one = calc.calculate(spark.createDataFrame([("log(100)",)], "q string"), "q").first()
+    assert abs(float(one.result) - 4.605170185988) < 1e-9
