@@ -15,7 +15,6 @@ is sorted or sent anywhere to be placed, and a length that a third of all docume
 
 from __future__ import annotations
 
-import base64
 import itertools
 import zlib
 from collections.abc import Iterator
