@@ -73,16 +73,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat an id and a text, one."""
-    digest = F.sha2(F.translate(text_of(text_col), SPACES, ""), 256)
+    def key(digest, number, length):
+        return F.concat_ws(":", digest, F.coalesce(number.cast("string"), F.lit("null")), length.cast("string"))
+
     kept = exact_groups(docs, id_col, text_col, salts).where("kept")
-    stay = kept.select(F.col("keep_id").alias("_id"), F.col("text_sha256").alias("_digest"), F.col("keep_n").alias("_n")).distinct()
-    marked = docs.select(*docs.columns, digest.alias("_mark"), F.length(text_of(text_col)).alias("_length"))
-    joined = marked.join(
-        stay,
-        (F.col("_mark") == F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_length") == F.col("_n")),
-        "left_semi",
-    )
-    return joined.dropDuplicates([id_col, "_mark"]).select(docs.columns)
+    stay = kept.select(key(F.col("text_sha256"), F.col("keep_id"), F.col("keep_n")).alias("_stay")).distinct()
+    digest = F.sha2(F.translate(text_of(text_col), SPACES, ""), 256)
+    marked = docs.withColumn("_key", key(digest, F.col(id_col), F.length(text_of(text_col))))
+    # One key, so that the rows that meet here for the join are where the last step wants them.
+    return marked.join(stay, F.col("_key") == F.col("_stay"), "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
