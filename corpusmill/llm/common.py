@@ -38,22 +38,26 @@ def digest_number(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
-def running(values: Column, fold: Callable[[Column, Column], Column], zero: Column, block: int = 128) -> Column:
-    """Fold of all earlier elements, for every element of an array (exclusive scan).
+def with_running(df: DataFrame, values: str, out: str, fold: Callable[[Column, Column], Column], zero: Column, block: int = 128) -> DataFrame:
+    """Add ``out``: the fold of all earlier elements, for every element of the array column ``values`` (exclusive scan).
 
     Blocks of ``block`` elements are folded first, so an array of n elements costs about
-    n * block + (n / block)^2 steps instead of n^2.
+    n * block + (n / block)^2 steps instead of n^2. Every intermediate array is a column of its own which is
+    referred to twice: the optimizer then leaves it where it is, and no lambda computes it again per element.
     """
+    blocks, heads = f"{out}_blocks", f"{out}_heads"
     last = F.greatest(F.ceil(F.size(values) / block).cast("int") - 1, F.lit(0))
-    blocks = F.transform(
-        F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(values, b * block + 1, F.lit(block)), zero, fold)
-    )
-    heads = F.transform(blocks, lambda _, i: F.aggregate(F.slice(blocks, F.lit(1), i), zero, fold))
-    return F.transform(
-        values,
-        lambda _, i: F.aggregate(
-            F.slice(values, (i - i % block) + 1, i % block), F.get(heads, F.floor(i / block).cast("int")), fold
-        ),
+    return (
+        df.withColumn(blocks, F.transform(
+            F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(values, b * block + 1, F.lit(block)), zero, fold)
+        ))
+        .withColumn(heads, F.transform(blocks, lambda _, i: F.aggregate(F.slice(blocks, F.lit(1), i), zero, fold)))
+        .withColumn(out, F.transform(values, lambda _, i: F.aggregate(
+            F.slice(values, (i - i % block) + 1, i % block),
+            F.coalesce(F.get(heads, F.floor(i / block).cast("int")), F.get(heads, F.lit(0))),
+            fold,
+        )))
+        .drop(blocks, heads)
     )
 
 

@@ -11,7 +11,6 @@ rule without mandatory trigrams (a run of hexadecimal digits) is verified on eve
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -19,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import running, table, text_of
+from corpusmill.llm.common import table, text_of, with_running
 
 # Python's parser of regular expressions; only its parse tree is used.
 from re import _constants as K  # noqa: I001
@@ -123,26 +122,34 @@ def candidates(index: DataFrame, trigrams: Sequence[str], asked: dict[int, list[
     return held.select("doc", F.array_compact(F.array(*passed)).alias("rules")).where(F.size("rules") > 0)
 
 
-def _matches(rule: Rule, number: int, text: Column) -> Column:
-    """Spans of all leftmost non-overlapping matches that are long enough, in code points.
+def _matched(df: DataFrame, rule: Rule, number: int, due: Column) -> DataFrame:
+    """Add ``_found<number>``: spans of all leftmost non-overlapping matches in ``_text`` that are long enough, in code points.
 
     The pieces between the matches and the matches alternate, so their lengths add up to positions.
     """
-    pattern = F.lit(rule.pattern)
-    between = F.transform(F.split(text, rule.pattern, -1), lambda p: F.length(p))
-    whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.length(m))
-    judged = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda m: F.length(m)) if rule.group else whole
-    steps = F.zip_with(between, whole, lambda p, m: F.coalesce(p, F.lit(0)) + F.coalesce(m, F.lit(0)))
-    heads = running(steps, lambda a, b: a + b, F.lit(0))
+    pattern, text, none = F.lit(rule.pattern), F.col("_text"), F.array().cast("array<int>")
+
+    def lengths(pieces: Column) -> Column:
+        return F.when(due, F.transform(pieces, lambda p: F.length(p))).otherwise(none)
+
+    df = df.withColumn("_between", lengths(F.split(text, rule.pattern, -1))).withColumn(
+        "_whole", lengths(F.regexp_extract_all(text, pattern, F.lit(0)))
+    )
+    judged = lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group))) if rule.group else F.col("_whole")
+    df = df.withColumn("_judged", judged).withColumn(
+        "_steps", F.zip_with("_between", "_whole", lambda p, m: F.coalesce(p, F.lit(0)) + F.coalesce(m, F.lit(0)))
+    )
+    df = with_running(df, "_steps", "_heads", lambda a, b: a + b, F.lit(0))
     spans = F.zip_with(
-        F.zip_with(heads, between, lambda h, p: h + p),
-        F.zip_with(whole, judged, lambda m, g: F.struct(m.alias("m"), g.alias("g"))),
+        F.zip_with("_heads", "_between", lambda h, p: h + p),
+        F.zip_with("_whole", "_judged", lambda m, g: F.struct(m.alias("m"), g.alias("g"))),
         lambda s, x: F.struct(
             s.alias("start"), F.lit(number).alias("rule"), (s + x["m"]).alias("end"), (x["g"] >= rule.least).alias("good")
         ),
     )
     good = F.filter(spans, lambda s: F.coalesce(s["good"], F.lit(False)))
-    return F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["rule"].alias("rule"), s["end"].alias("end")))
+    found = F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["rule"].alias("rule"), s["end"].alias("end")))
+    return df.withColumn(f"_found{number}", found.cast(SPAN)).drop("_between", "_whole", "_judged", "_steps", "_heads")
 
 
 SPAN = "array<struct<start:int,rule:int,end:int>>"
@@ -163,31 +170,31 @@ def secret_spans(
     index = trigram_index(docs, trigrams, id_col, text_col)
     passed = candidates(index, trigrams, asked).select(F.col("doc").alias("_doc"), F.col("rules").alias("_rules"))
     rest = [F.col(c) for c in docs.columns if c != "secret_spans"]
-    none = F.array().cast(SPAN)
     joined = docs.join(passed, F.col(id_col).eqNullSafe(F.col("_doc")), "left").withColumn("_text", text_of(text_col))
-    found = []
     for i, rule in enumerate(rules):
         if i in asked:
             due = F.coalesce(F.array_contains("_rules", i), F.lit(False))
         else:
             due = F.col("_text").rlike(rule.pattern)
-        found.append(F.when(due, _matches(rule, i, F.col("_text"))).otherwise(none))
+        joined = _matched(joined, rule, i, due)
+    found = [F.col(f"_found{i}") for i in range(len(rules))]
     return joined.select(*rest, F.sort_array(F.concat(*found)).alias("secret_spans"))
 
 
 def redacted(found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replace every stretch covered by ``secret_spans`` by ``mark``; a null text stays null. The spans are dropped."""
-    spans, text = F.col("secret_spans"), F.col(text_col)
-    ends = F.transform(spans, lambda s: s["end"])
-    before = running(ends, lambda a, b: F.greatest(a, b), F.lit(0))
+    text = F.col(text_col)
+    columns = [c for c in found.columns if c != "secret_spans"]
+    marked = found.withColumn("_ends", F.transform("secret_spans", lambda s: s["end"]))
+    marked = with_running(marked, "_ends", "_before", lambda a, b: F.greatest(a, b), F.lit(0))
     # From the end of all earlier spans to the start of this one; nothing (not even a mark) where they overlap.
     parts = F.zip_with(
-        spans, before,
+        "secret_spans", "_before",
         lambda s, e: F.when(s["start"] >= e, F.concat(F.substr(text, e + 1, s["start"] - e), F.lit(mark))).otherwise(F.lit("")),
     )
-    tail = F.substr(text, F.array_max(ends) + 1)
-    clean = F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(parts, ""), tail))
-    return found.withColumn(text_col, clean).drop("secret_spans")
+    tail = F.substr(text, F.array_max("_ends") + 1)
+    clean = F.when(F.size("secret_spans") == 0, text).otherwise(F.concat(F.array_join(parts, ""), tail))
+    return marked.withColumn(text_col, clean).select(columns)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
