@@ -28,7 +28,7 @@ from pyspark.core.files import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import table
+from corpusmill.llm.common import stored, table
 from corpusmill.session import ensure_checkpoint_dir, ship_package
 
 #: Frequent words in the lexicon. They are the top of counts over all words of all texts.
@@ -71,7 +71,7 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.added.items()}
         longest_first = sorted(self.added, key=len, reverse=True)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
+        self.special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         # \s of the file means the White_Space property, in which Python's own \s differs.
         self.split = regex.compile(split.replace(r"[^\s", r"[^\p{White_Space}").replace(r"[\s", r"[\p{White_Space}"))
@@ -288,7 +288,10 @@ class Lexicon:
 
 
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", top: int = LEXICON) -> list[str]:
-    """The most frequent words of all texts, counted in every task before the counts are summed; ``top`` at most."""
+    """The most frequent words of all texts, ``top`` at most: those from some frequency on, however many share it.
+
+    Words are counted in every task before the counts are summed; words seen once are never frequent.
+    """
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,8 +311,15 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", top: int
         yield flush()
 
     counts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "w string, n long")
-    best = counts.where(F.octet_length("w") <= LONGEST).groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(top)
-    return [r.w for r in best.collect()]
+    counts = counts.where(F.octet_length("w") <= LONGEST).groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+    # Sixteen steps to a doubling: a bounded histogram tells from which step on the words fit the lexicon.
+    words = stored(counts.select("w", F.floor(F.log2("n") * 16).cast("int").alias("step")))
+    fit, least = 0, None
+    for r in words.groupBy("step").count().orderBy(F.desc("step")).collect():
+        if fit + r["count"] > top:
+            break
+        fit, least = fit + r["count"], r.step
+    return [] if least is None else [r.w for r in words.where(F.col("step") >= least).collect()]
 
 
 def ship_lexicon(spark: SparkSession, data: np.ndarray) -> str:
@@ -343,44 +353,41 @@ class Coder:
 
     def __init__(self, path: str, lexicon: Lexicon) -> None:
         self.vocab, self.lexicon = vocabulary(path), lexicon
-        self.known: dict[str, tuple[int, str, str]] = {}
-
-    def entry(self, ids: list[int]) -> tuple[int, str, str]:
-        """Number of ids, ids as text, tokens as text."""
-        number, token = self.vocab.id_text, self.vocab.token_text
-        if len(ids) == 1:
-            return 1, number[ids[0]], token[ids[0]]
-        return len(ids), " ".join([number[i] for i in ids]), " ".join([token[i] for i in ids])
+        self.ids: dict[str, str] = {}
+        self.tokens: dict[str, str] = {}
 
     def learn(self, words: set[str]) -> None:
         """Make sure that all of ``words`` are known; what is not asked for may be forgotten."""
-        new = list(words - self.known.keys())
-        if len(self.known) + len(new) > HELD:
-            self.known.clear()
+        new = list(words - self.ids.keys())
+        if len(self.ids) + len(new) > HELD:
+            self.ids.clear()
+            self.tokens.clear()
             new = list(words)
         place = self.lexicon.find([w.encode() for w in new]).tolist()
         unseen = [w for w, at in zip(new, place) if at < 0]
-        self.known.update((w, self.entry(self.lexicon.output(at))) for w, at in zip(new, place) if at >= 0)
-        self.known.update(zip(unseen, map(self.entry, self.vocab.merge_all(unseen))))
+        seen = [w for w, at in zip(new, place) if at >= 0]
+        made = [*(self.lexicon.output(at) for at in place if at >= 0), *self.vocab.merge_all(unseen)]
+        number, token = self.vocab.id_text, self.vocab.token_text
+        new = seen + unseen
+        self.ids.update(zip(new, [" ".join([number[i] for i in ids]) for ids in made]))
+        self.tokens.update(zip(new, [" ".join([token[i] for i in ids]) for ids in made]))
 
     def code(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by spaces, tokens joined by spaces) of whole texts, whose words are learned together."""
         split = [list(self.vocab.pieces(t or "")) for t in texts]
         self.learn({w for pieces in split for words, _ in pieces for w in words})
-        out, known = [], self.known.__getitem__
+        out = []
         for pieces in split:
-            total, ids, tokens = 0, [], []
+            ids, tokens = [], []
             for words, added in pieces:
                 if words:
-                    n, i, t = zip(*map(known, words))
-                    total += sum(n)
-                    ids.append(" ".join(i))
-                    tokens.append(" ".join(t))
+                    ids.append(" ".join(map(self.ids.__getitem__, words)))
+                    tokens.append(" ".join(map(self.tokens.__getitem__, words)))
                 if added is not None:
-                    total += 1
                     ids.append(str(self.vocab.added[added]))
                     tokens.append(added)
-            out.append((total, " ".join(ids), " ".join(tokens)))
+            joined = " ".join(ids)
+            out.append((joined.count(" ") + 1 if ids else 0, joined, " ".join(tokens)))
         return out
 
 

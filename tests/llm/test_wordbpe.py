@@ -70,7 +70,7 @@ def test_bound_on_remembered_words(monkeypatch):
     coder = W.Coder(PATH, W.Lexicon(W.compile_words([])))
     for k in range(6):
         text = f"one two three{k} four"
-        assert coder.code([text]) == [plain(text)] and len(coder.known) <= 5
+        assert coder.code([text]) == [plain(text)] and len(coder.ids) <= 5
 
 
 def test_table(spark):
@@ -88,3 +88,10 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b", 1), (1, None, 2), (1, None, 2)], "doc_id long, text string, n_tokens int")
     assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in W.encode(df, PATH).collect()) == [(0, 2, "a</w> b</w>"), (1, 0, ""), (1, 0, "")]
     assert W.encode(df.limit(0), PATH).count() == 0
+
+
+def test_frequent_words(spark):
+    df = spark.createDataFrame([("a a a b b c",), ("A d d d",), (None,)], "text string")
+    assert sorted(W.frequent_words(df, PATH)) == ["a", "b", "d"]
+    assert W.frequent_words(df, PATH, top=1) == ["a"]
+    assert W.frequent_words(df.limit(0), PATH) == []
