@@ -70,6 +70,21 @@ NAMES = regex.compile(
     regex.VERBOSE,
 )
 _DIGIT = re.compile(r"[0-9]")
+_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\w)")
+#: Where a rejected number is left off or taken up again: in front of its separators and behind them.
+_CUT = re.compile(r"[ .()+-]+")
+# Length of an IBAN by country, and of a payment card by its first digits.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+CARD_LENGTHS = re.compile(r"4(?:.{12}|.{15}|.{18})|(?:5[1-5]|2[2-7]).{14}|3[47].{13}|3[0689].{12}|(?:6|5[0678]|35).*")
 #: Where a name can begin, as plain strings: far cheaper to look for than the pattern.
 _CUES = tuple(f"{t}{end}" for t in MALE_TITLES + FEMALE_TITLES + OPEN_TITLES for end in (" ", ". ")) + tuple(
     f"{n} " for n in MALE_NAMES + FEMALE_NAMES
@@ -96,7 +111,7 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
     if _DIGIT.search(text):
-        found += filter(None, map(_number_mention, NUMBERS.finditer(text)))
+        found += _number_mentions(text)
     if any(cue in text for cue in _CUES):
         for m in NAMES.finditer(text):
             found += _name_words(m)
@@ -108,24 +123,88 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def _number_mention(m: re.Match) -> tuple[int, int, str, str] | None:
-    kind, s = m.lastgroup, m[0]
-    digits = "".join(c for c in s if c.isdigit())
+def _number_mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Numbers that pass the checks of their kind. What fails is tried with earlier ends, then from its next group on.
+
+    A card that is only part of a failed run is written in groups of four digits or more, as any table of small numbers
+    holds some run that passes the check digit.
+    """
+    at = failed = 0
+    while m := NUMBERS.search(text, at):
+        mention = _number_mention(text, m.start(), m.end(), m.lastgroup, m.start() < failed)
+        if not mention and m.start() >= failed:
+            failed = m.end()
+        if mention:
+            yield mention
+            at = mention[1]
+        else:
+            cut = _CUT.search(text, m.start() + 1, m.end())
+            at = cut.end() if cut else m.end()
+
+
+def _ends(text: str, start: int, end: int) -> list[int]:
+    """``end`` and the ends of the groups before it, longest first."""
+    return [end, *reversed([c.start() for c in _CUT.finditer(text, start + 1, end) if c.end() < end])]
+
+
+def _digits(text: str) -> str:
+    return "".join(c for c in text if c.isdigit())
+
+
+def _is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and luhn(digits[:-1]) == int(digits[-1])
+
+
+def _issued(text: str) -> bool:
+    return bool(CARD_LENGTHS.fullmatch(_digits(text)))
+
+
+def _card_from(text: str, start: int) -> list[int]:
+    """Ends of the cards written from ``start`` in groups of four digits or more, of which the last may be shorter."""
+    m, out = NUMBERS.match(text, start), []
+    if m and m.lastgroup == "card":
+        for end in _ends(text, start, m.end()):
+            if all(len(g) >= 4 for g in _CUT.split(text[start:end])[:-1]) and _is_card(_digits(text[start:end])):
+                out.append(end)
+    return out
+
+
+def _number_mention(text: str, start: int, end: int, kind: str, part: bool = False) -> tuple[int, int, str, str] | None:
+    s = text[start:end]
+    digits = _digits(s)
     if kind == "iban":
-        flat = s.replace(" ", "")
-        if 15 <= len(flat) <= 34 and iban_check(flat[:2], flat[4:]) == flat[2:4]:
-            return m.start(), m.end(), kind, flat
+        ends, length = _ends(text, start, end), IBAN_LENGTHS.get(s[:2])
+        flat = {e: text[start:e].replace(" ", "") for e in ends}
+        # The length of the country comes first, then the longest.
+        for e in sorted(ends, key=lambda e: len(flat[e]) != length):
+            if 15 <= len(flat[e]) <= 34 and iban_check(flat[e][:2], flat[e][4:]) == flat[e][2:4]:
+                return start, e, kind, flat[e]
     elif kind == "ip":
         if all(int(p) < 256 and (p == "0" or p[0] != "0") for p in s.split(".")):
-            return m.start(), m.end(), kind, s
+            return start, end, kind, s
     elif kind == "phone":
-        if 8 <= len(digits) <= 15:
-            code = re.match(r"\+([0-9]{1,3})", s)
-            # The country code stays; without a separator after it, only its first digit is sure to belong to it.
-            code = code[1] if code and not s[code.end() : code.end() + 1].isdigit() else code[1][:1] if code else ""
-            return m.start(), m.end(), kind, f"{code}/{digits[len(code):]}"
-    elif kind == "ssn" or (len(digits) >= 13 and luhn(digits[:-1]) == int(digits[-1])):
-        return m.start(), m.end(), kind, digits
+        # A card of a known issuer that begins inside and goes on behind is not part of the number.
+        inside = [c.start() for c in _CUT.finditer(text, start + 1, end) if any(e > end and _issued(text[c.end() : e]) for e in _card_from(text, c.end()))]
+        for e in _ends(text, start, min(inside, default=end)):
+            digits = _digits(text[start:e])
+            if 8 <= len(digits) <= 15:
+                code = re.match(r"\+([0-9]{1,3})", s)
+                # The country code stays; without a separator after it, only its first digit is sure to belong to it.
+                code = code[1] if code and not s[code.end() : code.end() + 1].isdigit() else code[1][:1] if code else ""
+                return start, e, kind, f"{code}/{digits[len(code):]}"
+    elif kind == "ssn" or (_is_card(digits) and not part):
+        return start, end, kind, digits
+    else:
+        if _SSN.match(s):
+            return start, start + 11, "ssn", digits[:9]
+        # Parts of the run: of cards that overlap one of a known issuer's length is taken, then the longest.
+        ends = _card_from(text, start)
+        parts = [(start, e) for e in ends]
+        for c in _CUT.finditer(text, start + 1, max(ends, default=start + 1)):
+            parts += [(c.end(), e) for e in _card_from(text, c.end())]
+        if parts:
+            first, last = max(parts, key=lambda p: (_issued(text[p[0] : p[1]]), p[1] - p[0], -p[0]))
+            return first, last, kind, _digits(text[first:last])
     return None
 
 
