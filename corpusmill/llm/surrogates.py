@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import stored, table
@@ -212,6 +212,9 @@ def _name_words(m: regex.Match) -> Iterator[tuple[int, int, str, str]]:
     if m["title"]:
         gender = "m" if m["title"] in MALE_TITLES else "f" if m["title"] in FEMALE_TITLES else "x"
         words = [(w.start() + m.start("titled"), w[0]) for w in regex.finditer(r"[^ ]+", m["titled"])]
+        if gender == "x":  # an open title: the first given name of the lists tells
+            told = [n for _, n in words[:-1] if n in MALE_NAMES or n in FEMALE_NAMES]
+            gender = "x" if not told else "m" if told[0] in MALE_NAMES else "f"
     else:
         gender = "m" if m["given"] in MALE_NAMES else "f"
         words = [(m.start("given"), m["given"]), (m.start("family"), m["family"])]
@@ -344,6 +347,23 @@ def dressed(original: str, kind: str, surrogate: str) -> str:
 # ---- the operator ----------------------------------------------------------------------------------------------
 
 
+def _space() -> Column:
+    """Given names of all genders share one space, so that no surrogate stands for two people's names."""
+    return F.when(F.col("kind").startswith("given"), F.lit("given")).otherwise(F.col("kind"))
+
+
+def resolved(mentions: DataFrame) -> DataFrame:
+    """Distinct entities ``space``, ``kind``, ``form`` of mentions (``kind``, ``form``).
+
+    A given name is one entity whatever stood before it. Its gender is the one of most mentions that tell one;
+    without any, or with as many of both, it is open.
+    """
+    told = lambda g: F.count(F.when(F.col("kind") == f"given-{g}", 1))
+    counted = mentions.groupBy(_space().alias("space"), "form").agg(told("m").alias("m"), told("f").alias("f"))
+    gender = F.when(F.col("m") > F.col("f"), "given-m").when(F.col("m") < F.col("f"), "given-f").otherwise("given-x")
+    return counted.select("space", F.when(F.col("space") == "given", gender).otherwise(F.col("space")).alias("kind"), "form")
+
+
 def settle(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``kind``, ``form`` and ``surrogate`` for distinct entities (``kind``, ``form``): distinct and never a real entity."""
     ship_package(entities.sparkSession)
@@ -356,8 +376,7 @@ def settle(entities: DataFrame, key: str = KEY) -> DataFrame:
 
         return run
 
-    # Given names of all genders share one space, so that no surrogate stands for two people's names.
-    space = F.when(F.col("kind").startswith("given"), F.lit("given")).otherwise(F.col("kind"))
+    space = _space()
     real = entities.select(space.alias("space"), F.col("form").alias("surrogate"))
     pending, settled = entities, None
     for attempt in range(ATTEMPTS):
@@ -407,8 +426,10 @@ def replace_personal(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", te
     # Written once: the row numbers drawn here must not be drawn again.
     private = stored(rows.mapInArrow(found, "row string, doc_id long, text string, found array<struct<s:int,e:int,kind:string,form:string>>"))
     each = private.select("row", F.explode("found").alias("m")).select("row", "m.s", "m.e", "m.kind", "m.form")
-    names = settle(stored(each.groupBy("kind", "form").agg(F.count("*").alias("n")).drop("n")), key)
-    swaps = each.join(names, ["kind", "form"]).groupBy("row").agg(
+    entities = stored(resolved(each))
+    names = settle(entities.select("kind", "form"), key).join(entities, ["kind", "form"]).select("space", "kind", "form", "surrogate")
+    each = each.withColumn("space", _space()).drop("kind")
+    swaps = each.join(names, ["space", "form"]).groupBy("row").agg(
         F.collect_list(F.struct("s", "e", "kind", "surrogate")).alias("swaps")
     )
 

@@ -123,6 +123,18 @@ def test_collisions_are_settled(spark, monkeypatch):
     assert not {(space(r.kind), r.surrogate) for r in got} & {(space(k), f) for k, f in forms}
 
 
+def test_a_given_name_is_one_entity_of_one_gender(spark):
+    rows = [(1, "Dr Mary Smith"), (2, "Mary Smith"), (3, "Mrs Mary Smith"), (4, "Prof. Tove Hall"), (5, "Frau Tove Hall"), (6, "Dr Kim Lee"), (7, "Mr Robin Hood"), (8, "Ms Robin Hood")]
+    got = {r.doc_id: r for r in P.replace_personal(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [m[2] for m in P.mentions("Dr Mary Smith")] == ["given-f", "family"]
+    given = {i: r.text.split()[-2] for i, r in got.items()}
+    assert given[1] == given[2] == given[3] and given[4] == given[5] and given[7] == given[8]
+    assert len({given[i] for i in (1, 4, 6, 7)}) == 4
+    kinds = {i: r.spans.split(":")[0] for i, r in got.items()}
+    assert [kinds[i] for i in range(1, 9)] == ["given-f"] * 5 + ["given-x"] * 3
+    assert given[1].endswith(P.ENDINGS["latin", "f"]) and given[4].endswith(P.ENDINGS["latin", "f"])
+
+
 def test_given_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     got = {r.doc_id: r for r in P.op2_surrogates(spark, DATA).collect()}
