@@ -84,6 +84,8 @@ IBAN_LENGTHS = {
     }.items()
     for c in countries.split()
 }
+#: Calling codes of two digits; 1 and 7 have one, all others three, and no code begins another.
+CALLING_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 CARD_LENGTHS = re.compile(r"4(?:.{12}|.{15}|.{18})|(?:5[1-5]|2[2-7]).{14}|3[47].{13}|3[0689].{12}|(?:6|5[0678]|35).*")
 #: Where a name can begin, as plain strings: far cheaper to look for than the pattern.
 _CUES = tuple(f"{t}{end}" for t in MALE_TITLES + FEMALE_TITLES + OPEN_TITLES for end in (" ", ". ")) + tuple(
@@ -155,6 +157,13 @@ def _is_card(digits: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits[:-1]) == int(digits[-1])
 
 
+def calling_code(form: str) -> str:
+    """The country code of a canonical phone form: '+' and all digits; without '+' there is none."""
+    if form[0] != "+":
+        return ""
+    return form[1 : 2 if form[1] in "17" else 3 if form[1:3] in CALLING_CODES else 4]
+
+
 def _issued(text: str) -> bool:
     return bool(CARD_LENGTHS.fullmatch(_digits(text)))
 
@@ -188,10 +197,9 @@ def _number_mention(text: str, start: int, end: int, kind: str, part: bool = Fal
         for e in _ends(text, start, min(inside, default=end)):
             digits = _digits(text[start:e])
             if 8 <= len(digits) <= 15:
-                code = re.match(r"\+([0-9]{1,3})", s)
-                # The country code stays; without a separator after it, only its first digit is sure to belong to it.
-                code = code[1] if code and not s[code.end() : code.end() + 1].isdigit() else code[1][:1] if code else ""
-                return start, e, kind, f"{code}/{digits[len(code):]}"
+                plus = "+" if s[0] == "+" else ""
+                # A trunk zero is written in one country and left out from abroad: it is not part of the number.
+                return start, e, kind, plus + _digits(text[start:e].replace("(0)", "") if plus else text[start:e])
     elif kind == "ssn" or (_is_card(digits) and not part):
         return start, end, kind, digits
     else:
@@ -295,9 +303,10 @@ def propose(kind: str, form: str, attempt: int, key: str = KEY) -> str:
         # The domain by itself, so that addresses of one house stay together.
         return f"{permuted(local, key, kind, attempt)}@{permuted(labels, key, 'domain')}.{top}"
     if kind == "phone":
-        code, rest = form.split("/")
+        head = form[: form.startswith("+") + len(calling_code(form))]
+        rest = form[len(head) :]
         lead = rest[0] in "01"
-        return f"{code}/{_walk(rest, lambda x: (x[0] in '01') == lead, key, kind, attempt)}"
+        return head + _walk(rest, lambda x: (x[0] in "01") == lead, key, kind, attempt)
     if kind == "card":
         middle = permuted(form[1:-1], key, kind, form[0], attempt)
         return form[0] + middle + str(luhn(form[0] + middle))
@@ -333,7 +342,9 @@ def propose(kind: str, form: str, attempt: int, key: str = KEY) -> str:
 def dressed(original: str, kind: str, surrogate: str) -> str:
     """The surrogate written the way the original is: separators, groups, and capitals."""
     if kind in ("phone", "card", "iban", "ssn"):
-        fresh = iter(surrogate.replace("/", ""))
+        fresh = iter(surrogate.removeprefix("+"))
+        if kind == "phone" and original[0] == "+" and "(0)" in original:
+            return "(0)".join("".join(next(fresh) if c.isalnum() else c for c in part) for part in original.split("(0)"))
         return "".join(next(fresh) if c.isalnum() else c for c in original)
     if kind == "email":
         if original.isupper():

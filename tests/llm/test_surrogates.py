@@ -123,6 +123,29 @@ def test_collisions_are_settled(spark, monkeypatch):
     assert not {(space(r.kind), r.surrogate) for r in got} & {(space(k), f) for k, f in forms}
 
 
+@pytest.mark.parametrize(
+    "code,writings",
+    [
+        ("49", ["+49 30 1234567", "+49301234567", "+49-30-123-4567", "+49 (0)30 1234567", "+49 (30) 1234567"]),
+        ("33", ["+33 14 268 5300", "+33142685300"]),
+        ("44", ["+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958"]),
+        ("351", ["+351 21 123 4567", "+351211234567"]),
+        ("1", ["+1 (375) 555-4393", "+13755554393", "+1-375-555-4393"]),
+        ("7", ["+7 (495) 123-4567", "+74951234567"]),
+    ],
+)
+def test_a_phone_number_is_one_entity_however_written(code, writings):
+    made = set()
+    for text in writings:
+        ((start, end, kind, form),) = P.mentions(text)
+        assert (start, end, kind) == (0, len(text), "phone") and P.calling_code(form) == code
+        new = P.dressed(text, kind, P.propose(kind, form, 0))
+        assert new.startswith("+" + code) and [c for c in new if not c.isdigit()] == [c for c in text if not c.isdigit()]
+        assert ("(0)" in new) == ("(0)" in text)
+        made.add(P.mentions(new)[0][3])
+    assert len(made) == 1 and not made & {P.mentions(t)[0][3] for t in writings}
+
+
 def test_a_given_name_is_one_entity_of_one_gender(spark):
     rows = [(1, "Dr Mary Smith"), (2, "Mary Smith"), (3, "Mrs Mary Smith"), (4, "Prof. Tove Hall"), (5, "Frau Tove Hall"), (6, "Dr Kim Lee"), (7, "Mr Robin Hood"), (8, "Ms Robin Hood")]
     got = {r.doc_id: r for r in P.replace_personal(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
