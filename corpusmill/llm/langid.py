@@ -4,7 +4,7 @@ A text is the average of the embeddings of its letter n-grams, hashed to ``BUCKE
 layer and a softmax give a probability per language. Embeddings and layer are trained together by
 stochastic gradient descent in numpy, on a bounded sample of labelled documents. Part of the sample
 is set aside to calibrate the probabilities by one temperature; a prediction whose calibrated
-probability hardly beats guessing is rejected. As averaging and the layer are linear, every bucket's
+probability is lower than that of nearly all right ones on texts of that size is rejected. As averaging and the layer are linear, every bucket's
 embedding is multiplied with the layer once, and predicting is one table look-up per n-gram.
 """
 
@@ -35,9 +35,9 @@ LANGUAGES = 100
 PIECES, PIECE = 4, 240
 EPOCHS = 6
 RATE = 0.5
-#: A prediction is rejected below the least of: an even chance of being right; so many times what guessing gives; the
-#: probability that all but one in a thousand right calibration examples reach.
-EVEN, GUESS, LOST = 0.5, 1.15, 0.001
+#: A prediction is rejected below the probability that all but one in a thousand right calibration examples reach, and below
+#: so many times what guessing gives. See ``thresholds``.
+GUESS, LOST = 1.15, 0.001
 #: A text is also rejected if its share of n-grams met in training is below so much of what right calibration examples have.
 FAMILIAR = 0.6
 UNKNOWN = "und"
@@ -75,8 +75,8 @@ def buckets(text: str | None) -> Iterator[np.ndarray]:
         yield np.concatenate(grams)
 
 
-def bags(text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, shares) of a whole text and of pieces of it, as training examples of bounded size."""
+def bags(text: str | None) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(buckets, shares, number of n-grams) of a whole text and of pieces of it, as training examples of bounded size."""
     total, order = np.zeros(BUCKETS, np.int64), []
     for part in buckets(text):
         total += np.bincount(part, minlength=BUCKETS)
@@ -88,10 +88,10 @@ def bags(text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for x in examples:
         where = np.flatnonzero(x)
-        out.append((where.astype(np.uint32), (x[where] / x.sum()).astype(np.float32)))
+        out.append((where.astype(np.uint32), (x[where] / x.sum()).astype(np.float32), int(x.sum())))
     for x in order[::step][:PIECES]:
         where, count = np.unique(x, return_counts=True)
-        out.append((where.astype(np.uint32), (count / count.sum()).astype(np.float32)))
+        out.append((where.astype(np.uint32), (count / count.sum()).astype(np.float32), len(x)))
     return out
 
 
@@ -101,7 +101,7 @@ class Model:
     table: np.ndarray  # (BUCKETS, languages): embedding times layer
     bias: np.ndarray
     temperature: float
-    reject: float
+    reject: tuple[np.ndarray, np.ndarray]  # sizes, and the least probability at each; in between by the logarithm
     known: np.ndarray  # (BUCKETS,): met in training
     familiar: float
 
@@ -117,7 +117,24 @@ class Model:
         p = _softmax((total / max(1, n) + self.bias) / self.temperature)
         best = int(np.argmax(p))
         score = float(p[best])
-        return self.languages[best], score, score < self.reject or met < self.familiar * n
+        return self.languages[best], score, score < self.least(n) or met < self.familiar * n
+
+
+    def least(self, n: int) -> float:
+        return float(np.interp(np.log(max(1, n)), np.log(self.reject[0]), self.reject[1]))
+
+
+def thresholds(p: np.ndarray, size: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes in n-grams and the least probability accepted at each, from right calibration examples.
+
+    Long texts are judged by the long examples and pieces by the pieces, as a piece is never as certain as a document.
+    Towards a single n-gram the threshold falls to ``floor``, which also holds where there are no examples.
+    """
+    points = [(1.0, floor)]
+    for these in (size <= PIECE, size > PIECE):
+        if these.any():
+            points.append((max(float(np.median(size[these])), points[-1][0] + 1), max(floor, float(np.quantile(p[these], LOST)))))
+    return np.array([x for x, _ in points]), np.array([y for _, y in points])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -125,8 +142,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(examples: list[tuple[int, np.ndarray, np.ndarray, bool]], languages: list[str], seed: int = 0) -> Model:
-    """Fit on (language number, buckets, shares, for calibration?)."""
+def train(examples: list[tuple[int, np.ndarray, np.ndarray, bool, int]], languages: list[str], seed: int = 0) -> Model:
+    """Fit on (language number, buckets, shares, for calibration?, number of n-grams)."""
     rng, k = np.random.default_rng(seed), len(languages)
     emb = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
     seen = np.zeros(BUCKETS, bool)
@@ -136,7 +153,7 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray, bool]], languages: l
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for i in rng.permutation(len(fit)).tolist():
-            y, where, share, _ = fit[i]
+            y, where, share, *_ = fit[i]
             mean = share @ emb[where]
             g = _softmax(mean @ layer + bias)
             g[y] -= 1
@@ -147,19 +164,20 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray, bool]], languages: l
             emb[where] -= rate * 10 * share[:, None] * back[None, :]
             seen[where] = True
     emb[~seen] = 0  # n-grams that were never met say nothing
-    logits = np.array([s @ emb[w] @ layer + bias for _, w, s, c in examples if c])
-    truth = np.array([y for y, _, _, c in examples if c], int)
+    logits = np.array([s @ emb[w] @ layer + bias for _, w, s, c, _ in examples if c])
+    truth = np.array([y for y, _, _, c, _ in examples if c], int)
     temperature = 1.0
     if len(truth):
         scales = np.geomspace(0.05, 5, 90)
         loss = [-np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in scales]
         temperature = float(scales[int(np.argmin(loss))])
-    reject, familiar = min(EVEN, GUESS / max(1, k)), 0.0
+    floor, familiar = GUESS / max(1, k), 0.0
+    p, right, size = np.zeros(0), np.zeros(0, bool), np.array([n for *_, c, n in examples if c], int)
     if len(truth):
-        p = _softmax(logits / temperature)[np.arange(len(truth)), truth]
-        if (p > EVEN).any():
-            reject = min(reject, float(np.quantile(p[p > EVEN], LOST)))
-        familiar = FAMILIAR * float(np.quantile([s[seen[w]].sum() for _, w, s, c in examples if c], LOST))
+        said = _softmax(logits / temperature)
+        p, right = said[np.arange(len(truth)), truth], said.argmax(axis=1) == truth
+        familiar = FAMILIAR * float(np.quantile([s[seen[w]].sum() for _, w, s, c, _ in examples if c], LOST))
+    reject = thresholds(p[right], size[right], min(0.5, floor))
     return Model(
         languages, (emb @ layer).astype(np.float32), bias.astype(np.float64), temperature, reject, seen, familiar
     )
@@ -190,16 +208,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for batch in batches:
             out = []
             for lang, n, text in zip(*(c.to_pylist() for c in batch.columns)):
-                out += [(lang, n, i, w.tobytes(), s.tobytes()) for i, (w, s) in enumerate(bags(text))]
-            cols = list(zip(*out)) or [()] * 5
-            types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["lang", "n", "i", "w", "s"])
+                out += [(lang, n, i, w.tobytes(), s.tobytes(), size) for i, (w, s, size) in enumerate(bags(text))]
+            cols = list(zip(*out)) or [()] * 6
+            types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["lang", "n", "i", "w", "s", "size"])
 
-    made = sample.select("lang", "n", "text").mapInArrow(run, "lang string, n int, i int, w binary, s binary").collect()
+    made = sample.select("lang", "n", "text").mapInArrow(run, "lang string, n int, i int, w binary, s binary, size long").collect()
     languages = sorted({r.lang for r in made})
     number = {x: i for i, x in enumerate(languages)}
     examples = [
-        (number[r.lang], np.frombuffer(r.w, np.uint32), np.frombuffer(r.s, np.float32), r.n % 5 == 0)
+        (number[r.lang], np.frombuffer(r.w, np.uint32), np.frombuffer(r.s, np.float32), r.n % 5 == 0, r.size)
         for r in sorted(made, key=lambda r: (r.lang, r.n, r.i))
     ]
     return train(examples, languages)

@@ -54,3 +54,23 @@ def test_slices_see_the_whole_text(monkeypatch):
     monkeypatch.setattr(L, "_SLICE", 100)
     cut = np.bincount(np.concatenate(list(L.buckets(text))), minlength=L.BUCKETS)
     assert np.abs(cut - whole).sum() < 0.1 * whole.sum()
+
+
+def test_a_language_left_out_is_rejected_and_clean_documents_stay(docs, model):
+    from pyspark.sql import functions as F
+
+    clean = L.identify(docs, model).where(L.held_out("doc_id"))
+    lost = clean.select(F.avg(F.col("rejected").cast("int"))).first()[0]
+    assert lost <= 0.01
+    less = L.fit(docs.where("lang <> 'en'"))
+    assert "en" not in less.languages
+    said = L.identify(docs.where("lang = 'en'"), less)
+    assert said.select(F.avg(F.col("rejected").cast("int"))).first()[0] > 0.5
+
+
+def test_thresholds_follow_the_size():
+    size = np.array([240] * 1000 + [7000] * 1000)
+    p = np.concatenate([np.linspace(0.6, 1, 1000), np.linspace(0.9, 1, 1000)])
+    at, least = L.thresholds(p, size, 0.29)
+    assert at.tolist() == [1, 240, 7000] and least[0] == 0.29 and 0.6 <= least[1] < 0.61 and 0.9 <= least[2] < 0.91
+    assert [x.tolist() for x in L.thresholds(np.zeros(0), np.zeros(0, int), 0.5)] == [[1], [0.5]]
