@@ -15,6 +15,17 @@ from corpusmill.session import ensure_checkpoint_dir
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new name below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def gone_at_end(spark: SparkSession, folder: str) -> None:
+    """Have an existing folder removed when the session ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
@@ -22,10 +33,9 @@ def stored(df: DataFrame) -> DataFrame:
     the files, so a lost executor costs only the task it was running. The files go when the session ends.
     """
     spark = df.sparkSession
-    target = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    target = shared_folder(spark, "table")
     df.write.parquet(target)
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    gone_at_end(spark, target)
     return spark.read.schema(df.schema).parquet(target)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import exactdedup, gridjoin, langid, packing, secrets, sharding, simhash, substrings, surrogates, wordbpe
+from corpusmill.llm import (
+    exactdedup, gridjoin, langid, packing, resampling, secrets, sharding, simhash, substrings, surrogates, tokenfile, wordbpe,
+)
 
 QUERIES = {
     "op1_repeated_passages": substrings.op1_repeated_passages,
@@ -15,10 +17,13 @@ QUERIES = {
     "op8_exact_dedup": exactdedup.op8_exact_dedup,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_packing": packing.op10_packing,
+    "op12_token_files": tokenfile.op12_token_files,
+    "op13_resampling": resampling.op13_resampling,
 }
 
 ORACLES = {
     "op3_shard_table": sharding.OP3_SQL,
     "op8_exact_dedup": exactdedup.OP8_SQL,
     "op9_secret_scan": secrets.OP9_SQL,
+    "op13_resampling": resampling.OP13_SQL,
 }
