@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusmill.llm import (
-    exactdedup, gridjoin, langid, packing, resampling, secrets, sharding, simhash, substrings, surrogates, tokenfile, wordbpe,
+    exactdedup, gridjoin, hardneg, langid, packing, resampling, secrets, sharding, simhash, substrings, surrogates, tokenfile, wordbpe,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_exact_dedup": exactdedup.op8_exact_dedup,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_packing": packing.op10_packing,
+    "op11_hard_negatives": hardneg.op11_hard_negatives,
     "op12_token_files": tokenfile.op12_token_files,
     "op13_resampling": resampling.op13_resampling,
 }
@@ -25,5 +26,6 @@ ORACLES = {
     "op3_shard_table": sharding.OP3_SQL,
     "op8_exact_dedup": exactdedup.OP8_SQL,
     "op9_secret_scan": secrets.OP9_SQL,
+    "op11_hard_negatives": hardneg.OP11_SQL,
     "op13_resampling": resampling.OP13_SQL,
 }
