@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +26,7 @@ def gone_at_end(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     This cuts the lineage like ``checkpoint()`` but keeps columns compressed. Every executor can read
@@ -34,11 +34,30 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     target = shared_folder(spark, "table")
-    df.write.parquet(target)
+    df.write.parquet(target, compression=compression)
     gone_at_end(spark, target)
     return spark.read.schema(df.schema).parquet(target)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(docs: DataFrame, step: Callable[[DataFrame], DataFrame], named: dict[str, str], added: Sequence[str] = ()) -> DataFrame:
+    """Apply ``step`` to the columns that it needs (``named``: its name for each) and return the columns of ``docs`` as they were.
+
+    All other columns travel as one struct, so no name of theirs meets a name that the step uses. Columns ``added`` by the
+    step come last and replace input columns of these names. A needed column that the step drops is not returned.
+    """
+    theirs, new = set(named.values()), {a.lower() for a in added}
+    others = [c for c in docs.columns if c not in theirs and c.lower() not in new]
+    rest = F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others))) if others else F.lit(0)
+    made = step(docs.select(*(F.col(quoted(c)).alias(n) for n, c in named.items()), rest.alias("_rest")))
+    back = {c: F.col(n) for n, c in named.items() if n in made.columns and c.lower() not in new}
+    back |= {c: F.col(f"_rest.c{i}") for i, c in enumerate(others)}
+    return made.select(*(back[c].alias(c) for c in docs.columns if c in back), *added)
+
+
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import SPACES, table, text_of
+from corpusmill.llm.common import SPACES, carried, table, text_of
 
 SALTS = 16
 
@@ -72,16 +72,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat an id and a text, one."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; of rows that repeat an id and a text, one."""
+
     def key(digest, number, length):
         return F.concat_ws(":", digest, F.coalesce(number.cast("string"), F.lit("null")), length.cast("string"))
 
-    kept = exact_groups(docs, id_col, text_col, salts).where("kept")
-    stay = kept.select(key(F.col("text_sha256"), F.col("keep_id"), F.col("keep_n")).alias("_stay")).distinct()
-    digest = F.sha2(F.translate(text_of(text_col), SPACES, ""), 256)
-    marked = docs.withColumn("_key", key(digest, F.col(id_col), F.length(text_of(text_col))))
-    # One key, so that the rows that meet here for the join are where the last step wants them.
-    return marked.join(stay, F.col("_key") == F.col("_stay"), "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    def step(rows: DataFrame) -> DataFrame:
+        kept = exact_groups(rows, salts=salts).where("kept")
+        stay = kept.select(key(F.col("text_sha256"), F.col("keep_id"), F.col("keep_n")).alias("_stay")).distinct()
+        digest = F.sha2(F.translate(text_of("text"), SPACES, ""), 256)
+        marked = rows.withColumn("_key", key(digest, F.col("doc_id"), F.length(text_of("text"))))
+        # One key, so that the rows that meet here for the join are where the last step wants them.
+        return marked.join(stay, F.col("_key") == F.col("_stay"), "left_semi").dropDuplicates(["_key"])
+
+    return carried(docs, step, {"doc_id": id_col, "text": text_col})
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import table, text_of, with_running
+from corpusmill.llm.common import carried, table, text_of, with_running
 
 # Python's parser of regular expressions; only its parse tree is used.
 from re import _constants as K  # noqa: I001
@@ -167,34 +167,39 @@ def secret_spans(
     queries = {i: trigram_query(r.pattern) for i, r in enumerate(rules)}
     asked = {i: q for i, q in queries.items() if q is not None}
     trigrams = sorted(set(itertools.chain.from_iterable(s for q in asked.values() for s in q)))
-    index = trigram_index(docs, trigrams, id_col, text_col)
-    passed = candidates(index, trigrams, asked).select(F.col("doc").alias("_doc"), F.col("rules").alias("_rules"))
-    rest = [F.col(c) for c in docs.columns if c != "secret_spans"]
-    joined = docs.join(passed, F.col(id_col).eqNullSafe(F.col("_doc")), "left").withColumn("_text", text_of(text_col))
-    for i, rule in enumerate(rules):
-        if i in asked:
-            due = F.coalesce(F.array_contains("_rules", i), F.lit(False))
-        else:
-            due = F.col("_text").rlike(rule.pattern)
-        joined = _matched(joined, rule, i, due)
-    found = [F.col(f"_found{i}") for i in range(len(rules))]
-    return joined.select(*rest, F.sort_array(F.concat(*found)).alias("secret_spans"))
+
+    def step(rows: DataFrame) -> DataFrame:
+        passed = candidates(trigram_index(rows, trigrams, "doc_id", "text"), trigrams, asked)
+        passed = passed.select(F.col("doc").alias("_doc"), F.col("rules").alias("_rules"))
+        joined = rows.join(passed, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("_text", text_of("text"))
+        for i, rule in enumerate(rules):
+            if i in asked:
+                due = F.coalesce(F.array_contains("_rules", i), F.lit(False))
+            else:
+                due = F.col("_text").rlike(rule.pattern)
+            joined = _matched(joined, rule, i, due)
+        found = [F.col(f"_found{i}") for i in range(len(rules))]
+        return joined.select("doc_id", "text", "_rest", F.sort_array(F.concat(*found)).alias("secret_spans"))
+
+    return carried(docs, step, {"doc_id": id_col, "text": text_col}, ["secret_spans"])
 
 
 def redacted(found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replace every stretch covered by ``secret_spans`` by ``mark``; a null text stays null. The spans are dropped."""
-    text = F.col(text_col)
-    columns = [c for c in found.columns if c != "secret_spans"]
-    marked = found.withColumn("_ends", F.transform("secret_spans", lambda s: s["end"]))
-    marked = with_running(marked, "_ends", "_before", lambda a, b: F.greatest(a, b), F.lit(0))
-    # From the end of all earlier spans to the start of this one; nothing (not even a mark) where they overlap.
-    parts = F.zip_with(
-        "secret_spans", "_before",
-        lambda s, e: F.when(s["start"] >= e, F.concat(F.substr(text, e + 1, s["start"] - e), F.lit(mark))).otherwise(F.lit("")),
-    )
-    tail = F.substr(text, F.array_max("_ends") + 1)
-    clean = F.when(F.size("secret_spans") == 0, text).otherwise(F.concat(F.array_join(parts, ""), tail))
-    return marked.withColumn(text_col, clean).select(columns)
+    def step(rows: DataFrame) -> DataFrame:
+        text, spans = F.col("text"), F.col("spans")
+        marked = rows.withColumn("_ends", F.transform(spans, lambda s: s["end"]))
+        marked = with_running(marked, "_ends", "_before", lambda a, b: F.greatest(a, b), F.lit(0))
+        # From the end of all earlier spans to the start of this one; nothing (not even a mark) where they overlap.
+        parts = F.zip_with(
+            spans, "_before",
+            lambda s, e: F.when(s["start"] >= e, F.concat(F.substr(text, e + 1, s["start"] - e), F.lit(mark))).otherwise(F.lit("")),
+        )
+        tail = F.substr(text, F.array_max("_ends") + 1)
+        clean = F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(parts, ""), tail))
+        return marked.withColumn("text", clean).drop("spans")
+
+    return carried(found, step, {"text": text_col, "spans": "secret_spans"})
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

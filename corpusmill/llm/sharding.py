@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import digest_number, table
+from corpusmill.llm.common import carried, digest_number, table
 
 #: Slots: prime, and over a hundred for each shard, so that no shard owns one per cent more than another.
 SLOTS = 2053
@@ -56,7 +56,7 @@ def shard_rows(docs: DataFrame, shards: Sequence[str] = SHARDS, slots: int = SLO
     """Add ``slot`` and ``shard`` to the rows of ``docs``.
 
     A null key counts as an empty string. Equal keys always meet in one shard; repeated rows stay. An
-    input column named ``slot`` or ``shard`` is replaced. Nothing but the key is read to place a row.
+    input column named ``slot`` or ``shard``, in any case, is replaced; all others keep their names and values. Nothing but the key is read to place a row.
     """
     owner = fill_table(shards, slots)
     spark = docs.sparkSession
@@ -65,12 +65,13 @@ def shard_rows(docs: DataFrame, shards: Sequence[str] = SHARDS, slots: int = SLO
         .select(F.posexplode(F.split(F.lit(",".join(map(str, owner))), ",")).alias("_slot", "_owner"))
         .select("_slot", F.get(F.split(F.lit("\n".join(shards)), "\n"), F.col("_owner").cast("int")).alias("_shard"))
     )
-    key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
-    placed = docs.withColumn("_at", F.pmod(digest_number(key), F.lit(slots)).cast("int"))
-    kept = [F.col(c) for c in docs.columns if c not in ("slot", "shard")]
-    return placed.join(F.broadcast(lookup), F.col("_at") == F.col("_slot"), "left").select(
-        *kept, F.col("_at").alias("slot"), F.col("_shard").alias("shard")
-    )
+    def step(rows: DataFrame) -> DataFrame:
+        key = F.coalesce(F.col("key").cast("string"), F.lit(""))
+        placed = rows.withColumn("_at", F.pmod(digest_number(key), F.lit(slots)).cast("int"))
+        joined = placed.join(F.broadcast(lookup), F.col("_at") == F.col("_slot"), "left")
+        return joined.select("key", "_rest", F.col("_at").alias("slot"), F.col("_shard").alias("shard"))
+
+    return carried(docs, step, {"key": key_col}, ["slot", "shard"])
 
 
 def op3_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:

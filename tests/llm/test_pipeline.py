@@ -1,11 +1,13 @@
 """Each stage of the pipeline against a plain program on what the stage before kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from corpusmill.llm import langid
+from corpusmill.llm import langid, sharding
 from tests.conftest import DATA
 from tests.llm.test_native import SPACE, plain_groups, plain_spans
+from tests.llm.test_nearcopies import plain_stay
 from tests.llm.test_packing import judge, names
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 
 def redacted(text):
@@ -51,9 +53,7 @@ def test_stages(spark, tmp_path):
             assert after == sorted(stay)
             assert len({SPACE.sub("", t) for _, t in after}) == len(after)
         elif name == "near":
-            rows = sorted(before)
-            parts = plain_components([plain_fingerprint(t) for _, t in rows])
-            assert after == [r for k, r in enumerate(rows) if parts[k] == k]
+            assert after == plain_stay([(i, t, None) for i, t in before])
         else:
             assert after == sorted((i, redacted(t)) for i, t in before)
             assert all(r.n_chars == len(r.text) for r in docs_after.collect())
@@ -66,3 +66,28 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty_out = stage(spark, empty, DATA)
         assert empty_out.count() == 0
+
+
+#: Names that the stages use themselves, and names that differ from these or from the documents' by nothing but case.
+CLASHES = (
+    "_id _text _n _norm _digest _salt _key _stay _d _s _doc _rules _ends _before _found0 _between _whole _judged _steps _heads "
+    "_own _rest _slot _shard _at Slot SHARD id digest n keys key a b x y set component node score lang_pred rejected doc row "
+    "secret_spans spans start rule end kind task nr p Rejected weird.name"
+).split()
+
+
+def test_extra_columns_keep_names_and_values(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    names = [c for c in dict.fromkeys(CLASHES) if c not in ("Rejected", "rejected")] + ["Rejected"]
+    wide = docs.select("doc_id", "text", *(F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in names), "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = {r.doc_id: r.text for r in stage(spark, docs, DATA).select("doc_id", "text").collect()}
+        out = stage(spark, wide, DATA)
+        assert out.columns == wide.columns
+        rows = [r.asDict() for r in out.collect()]
+        assert {r["doc_id"]: r["text"] for r in rows} == plain and len(rows) == len(plain)
+        assert all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in names)
+    placed = sharding.shard_rows(wide).collect()
+    kept = [c for c in names if c.lower() not in ("slot", "shard")]
+    assert all(r.asDict()[c] == f"{c}-{r.doc_id}" for r in placed for c in kept)
+    assert {(r.doc_id, r.slot, r.shard) for r in placed} == {(r.doc_id, r.slot, r.shard) for r in sharding.shard_rows(docs).collect()}
