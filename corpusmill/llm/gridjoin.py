@@ -4,13 +4,17 @@ Vectors of unit length are rotated onto the principal axes of the table and cut
 epsilon on the leading axes; epsilon is the distance of two unit vectors at the cosine threshold. In
 the order of (label, cell, ...) the vectors form one sequence, which is cut into blocks of bounded
 size. Two blocks can hold a linked pair only if the boxes around them on the leading axes are no more than
-epsilon apart, so most pairs of blocks are never formed. Within a pair of blocks the sequence intervals are
+epsilon apart. Blocks meet on the cells of several leading axes which their boxes cover, each pair in one cell only, so
+most pairs of blocks are never formed. Within a pair of blocks the sequence intervals are
 halved recursively, and intervals whose boxes are too far apart are skipped; what is left is compared by
 full dot products in double precision. Rotation only serves to skip, it never decides about a link.
 
 Equal vectors of one label are one row with a weight, so a vector that is repeated in a third of
 all rows costs nothing in the join. Each pair of blocks is a task's work of bounded size; a label
 that holds everything is cut into blocks like any other.
+
+Vectors of different lengths cannot be compared, so the length is part of the label. The axes are those of
+the most frequent length; vectors of other lengths use their leading components, which skip less but as safely.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ from corpusmill.llm.common import Forest, connected_components, stored, table
 from corpusmill.session import ship_package
 
 THRESHOLD = 0.93
-#: Leading principal axes with cells, and with boxes.
-CELLS, BOXES = 4, 12
+#: Leading axes with cells for the order, with boxes, and with cells on which blocks meet.
+CELLS, BOXES, MEET = 4, 12, 3
 #: Vectors of a block, and of an interval that is compared without further halving.
 BLOCK, LEAF = 1024, 128
 #: Slack for rounding in distances used to skip.
@@ -73,6 +77,24 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def _rows(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(positions, unit vectors) of the rows of each length."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, starts = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(size) - size
+    found = ((w, np.flatnonzero(size == w)) for w in np.unique(size))
+    return [(at, _unit(flat[starts[at][:, None] + np.arange(w)])) for w, at in found]
+
+
+def _on_axes(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Coordinates on the leading axes; a vector of another length than theirs gives its leading components."""
+    if x.shape[1] == len(axes):
+        return x @ axes
+    out = np.zeros((len(x), axes.shape[1]))
+    n = min(out.shape[1], x.shape[1])
+    out[:, :n] = x[:, :n]
+    return out
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
@@ -109,13 +131,15 @@ def join_intervals(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray
             todo += [(i, j, k, g), (i, j, g, m)]
 
 
-def _blocks(classes: DataFrame, width: int, axes: Broadcast, eps: float) -> DataFrame:
+def _blocks(classes: DataFrame, axes: Broadcast, eps: float) -> DataFrame:
     """Blocks of the sequence: block, label, lo, hi (boxes), reps, weights, vectors (bytes)."""
-    spark, cells = classes.sparkSession, min(CELLS, width)
+    spark, cells = classes.sparkSession, min(CELLS, axes.value.shape[1])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.floor(_unit(_matrix(batch.column(3), width)) @ axes.value[:, :cells] / eps).astype(np.int32)
+            at = np.zeros((batch.num_rows, cells), np.int32)
+            for rows, x in _rows(batch.column(3)):
+                at[rows] = np.floor(_on_axes(x, axes.value)[:, :cells] / eps)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * cells), pa.array(at.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, flat], [*batch.schema.names, "cell"])
 
@@ -130,7 +154,7 @@ def _blocks(classes: DataFrame, width: int, axes: Broadcast, eps: float) -> Data
         types = [pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), *[pa.binary()] * 3]
 
         def block(label: str, reps: np.ndarray, weights: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-            p = x @ axes.value
+            p = _on_axes(x, axes.value)
             row = (
                 uuid.uuid4().hex, label, p.min(0), p.max(0),
                 reps.tobytes(), weights.tobytes(), x.tobytes(),
@@ -141,7 +165,7 @@ def _blocks(classes: DataFrame, width: int, axes: Broadcast, eps: float) -> Data
         for batch in batches:
             labels = batch.column(0).to_numpy(zero_copy_only=False)
             reps, weights = (batch.column(i).to_numpy() for i in (1, 2))
-            x = _unit(_matrix(batch.column(3), width))
+            vectors = batch.column(3)
             ends = [*(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), len(labels)]
             at = 0
             for end in ends:
@@ -151,10 +175,11 @@ def _blocks(classes: DataFrame, width: int, axes: Broadcast, eps: float) -> Data
                     yield block(label, *map(np.concatenate, zip(*held)))
                     held = []
                 label = labels[at]
+                x, first = _rows(vectors.slice(at, end - at))[0][1], at  # one length, as it is part of the label
                 while at < end:
                     room = BLOCK - sum(len(h[0]) for h in held)
                     to = min(end, at + room)
-                    held.append((reps[at:to], weights[at:to], x[at:to]))
+                    held.append((reps[at:to], weights[at:to], x[at - first : to - first]))
                     if to - at == room:
                         yield block(label, *map(np.concatenate, zip(*held)))
                         held = []
@@ -168,29 +193,33 @@ def _blocks(classes: DataFrame, width: int, axes: Broadcast, eps: float) -> Data
     )
 
 
-def _pairs(blocks: DataFrame, eps: float) -> DataFrame:
+def _pairs(blocks: DataFrame, eps: float, axes: int) -> DataFrame:
     """Pairs of blocks of one label (each once, and each block with itself) whose boxes are within epsilon.
 
-    Boxes meet on the cells of the first axis that they cover, one wider on one side, so blocks far
-    apart on that axis do not meet at all.
+    A box covers cells of the leading ``axes``; that of the second block is one cell wider on either side. A pair
+    is formed only in the first cell that both cover, so it needs no removal of repetitions, and blocks that are
+    apart on any of these axes do not meet.
     """
     box = blocks.select("block", "label", "lo", "hi")
-    cell = lambda x: F.floor(x / eps).cast("long")
-    left = box.select("block", "label", "lo", "hi", F.explode(F.sequence(cell(F.get("lo", F.lit(0))), cell(F.get("hi", F.lit(0))))).alias("c"))
-    right = box.select(
-        F.col("block").alias("block2"), F.col("label").alias("label2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"),
-        F.explode(F.sequence(cell(F.get("lo", F.lit(0))) - 1, cell(F.get("hi", F.lit(0))) + 1)).alias("c2"),
-    )
+
+    def covered(suffix: str, wider: int) -> DataFrame:
+        out = box.select(*(F.col(c).alias(f"{c}{suffix}") for c in box.columns))
+        for i in range(axes):
+            low, high = (F.floor(F.get(f"{c}{suffix}", F.lit(i)) / eps).cast("long") for c in ("lo", "hi"))
+            out = out.withColumn(f"from{suffix}{i}", low - wider).withColumn(f"c{i}", F.explode(F.sequence(low - wider, high + wider)))
+        return out
+
+    left, right = covered("", 0), covered("2", 1)
+    met = left.withColumnRenamed("label", "label2").join(right, ["label2", *(f"c{i}" for i in range(axes))])
+    first = F.col("block") <= F.col("block2")
+    for i in range(axes):
+        first &= F.col(f"c{i}") == F.greatest(f"from{i}", f"from2{i}")
     gaps = F.zip_with(
         F.zip_with("lo", "hi2", lambda a, b: a - b), F.zip_with("lo2", "hi", lambda a, b: a - b),
         lambda a, b: F.greatest(F.lit(0.0), a, b),
     )
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
-    return (
-        left.join(right, (F.col("label") == F.col("label2")) & (F.col("c") == F.col("c2")) & (F.col("block") <= F.col("block2")))
-        .where(apart <= (eps + SLACK) ** 2)
-        .select("block", "block2").distinct()
-    )
+    return met.where(first & (apart <= (eps + SLACK) ** 2)).select("block", "block2")
 
 
 def near_vectors(
@@ -198,9 +227,8 @@ def near_vectors(
 ) -> DataFrame:
     """One row per row of ``rows``: vec_id, n_links (other rows linked directly), component_id, kept.
 
-    Only rows of one label that is not null are compared. A vector that is null, zero or holds a null or
-    non-finite component links with nothing, nor does one of another length than most (ties: the
-    longer), which cannot be compared. Rows without an id link with nothing and have no component.
+    Only rows of one label that is not null and of one length are compared. A vector that is null, zero or holds a null or
+    non-finite component links with nothing. Rows without an id link with nothing and have no component.
     Rows that repeat an id and vector link with each other like any copies; each counts and each is
     returned. Other columns are not looked at; an empty table gives an empty result.
     """
@@ -211,19 +239,19 @@ def near_vectors(
     width = widths[0].w if widths else 1
     # -0.0 and 0.0 are one number here, so that equal vectors are one class.
     every = every.select(
-        "id", F.col("label").cast("string").alias("label"),
-        F.transform("v", lambda x: x + F.lit(0.0)).alias("v"), (F.col("good") & (F.size("v") == width)).alias("good"),
+        "id", F.concat_ws("/", F.size("v"), F.col("label").cast("string")).alias("label"),
+        F.transform("v", lambda x: x + F.lit(0.0)).alias("v"), "good",
     )
     classes = stored(
         every.where("good").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     )
     eps = float(np.sqrt(2 - 2 * threshold))
-    axes = spark.sparkContext.broadcast(np.ascontiguousarray(principal_axes(classes, width)[:, : min(BOXES, width)]))
-    blocks = stored(_blocks(classes, width, axes, eps))
+    axes = spark.sparkContext.broadcast(np.ascontiguousarray(principal_axes(classes.where(F.size("v") == width), width)[:, : min(BOXES, width)]))
+    blocks = stored(_blocks(classes, axes, eps))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = ("reps", "weights", "vectors")
     both = (
-        _pairs(blocks, eps)
+        _pairs(blocks, eps, min(MEET, axes.value.shape[1]))
         .join(blocks.select("block", *(F.col(p).alias(f"{p}1") for p in parts)), "block")
         .join(blocks.select(F.col("block").alias("block2"), *(F.col(p).alias(f"{p}2") for p in parts)), "block2")
         .repartition(partitions)
@@ -238,11 +266,11 @@ def near_vectors(
                     [np.frombuffer(at[f"{p}{side}"][i].as_py(), kind) for side in (1, 2)]
                     for p, kind in zip(parts, (np.int64, np.int64, np.float64))
                 )
-                a, b = (v.reshape(-1, width) for v in vectors)
+                a, b = (v.reshape(len(r), -1) for r, v in zip(reps, vectors))
                 offset = 0 if same else len(a)  # numbers of b's vectors among the items of both
                 ids = reps[0] if same else np.concatenate(reps)
                 count, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
-                for x, y in join_intervals(a, b, a @ axes.value, b @ axes.value, same, threshold):
+                for x, y in join_intervals(a, b, _on_axes(a, axes.value), _on_axes(b, axes.value), same, threshold):
                     np.add.at(count, x, weights[1][y])
                     np.add.at(count, y + offset, weights[0][x])
                     forest.link(x, y + offset)
