@@ -127,7 +127,7 @@ def encoded(docs: DataFrame, path: str, end: int, id_col: str, text_col: str) ->
             yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "crc", "n", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return stored(rows.mapInArrow(run, "row long, doc_id long, crc long, n long, ids binary"))
+    return stored(rows.mapInArrow(run, "row long, doc_id long, crc long, n long, ids binary"), "zstd")
 
 
 def _numbers(raw: bytes, n: int) -> np.ndarray:
