@@ -11,8 +11,8 @@ On Spark the list is dealt out by chunks:
 * Candidates are one row per distinct (label, vector), with the smallest ids of its rows (as many as a result can hold). They lie in
   chunks of ``CHUNK`` rows at most, anchors in blocks of ``BLOCK``, both in order of (centroid, angle to it).
   Centroids are fitted on a bounded sample of anchors; they steer the order and never decide about a result.
-* Head: each block walks the chunk of its own centroid that is nearest in angle. The k-th best
-  score found there is a floor of the final one.
+* Head: each block walks the nearest chunks (of its own centroid and the ``NEIGHBOURS`` next to it) until they hold ``HEAD``
+  candidates. The k-th best score found there is a floor of the final one.
 * Rest: a chunk is visited by an anchor only if the bound for the chunk (angle between the centroids less both
   spreads, longest vector) reaches the anchor's floor. Chunks further down the list are never sent.
 * A task holds one chunk and streams blocks of anchors past it. A chunk that very many anchors ask for is dealt
@@ -40,6 +40,8 @@ POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90
 #: Rows of a chunk (as a power of two) and of a block; candidates per stride of a walk; anchors in a slice.
 CHUNK_BITS, BLOCK_BITS, STRIDE, SLICE = 16, 8, 1024, 1 << 15
+#: Candidates and centroids of the head of a list, which gives the first floors.
+HEAD, NEIGHBOURS = 1 << 13, 4
 #: Centroids, and the most vectors they are fitted on.
 CENTROIDS, SAMPLE = 64, 4096
 #: Slack of angles.
@@ -97,10 +99,13 @@ def _scores(a: np.ndarray, x: np.ndarray, longest: float) -> np.ndarray:
     return (a.astype(float) @ x.astype(float).T).astype(np.int64) if longest < 2**53 else a @ x.T
 
 
-def walk(block: Block, labels: np.ndarray, x: np.ndarray, norm: np.ndarray, first_id: np.ndarray, same: bool, k: int) -> tuple[np.ndarray, ...]:
-    """(window, score, candidate) of the first ``k`` candidates of each window, by score and then ``first_id``.
+def walk(
+    block: Block, labels: np.ndarray, x: np.ndarray, norm: np.ndarray, first_id: np.ndarray, copies: np.ndarray, same: bool, k: int
+) -> tuple[np.ndarray, ...]:
+    """(window, score, candidate) of the candidates among which are the first ``k`` rows of each window, by score and id.
 
-    ``labels`` are codes shared with ``block.labels``. ``block.need`` rises while walking.
+    A candidate stands for ``copies`` rows, of which ``first_id`` is the smallest id. ``labels`` are codes shared with
+    ``block.labels``. ``block.need`` rises while walking.
     """
     if block.centre is None:
         bound = norm
@@ -134,11 +139,17 @@ def walk(block: Block, labels: np.ndarray, x: np.ndarray, norm: np.ndarray, firs
             held = tuple(np.concatenate(p) for p in zip(held, (windows[w], score[w, j], part[j])))
             by = np.lexsort((first_id[held[2]], -held[1], held[0]))
             held = tuple(h[by] for h in held)
-            starts = np.flatnonzero(np.append(True, held[0][1:] != held[0][:-1]))
-            place = np.arange(len(by)) - np.repeat(starts, np.diff(np.append(starts, len(by))))
-            last = place == k - 1
-            need[held[0][last]] = np.maximum(need[held[0][last]], held[1][last])
-            held = tuple(h[place < k] for h in held)
+            window, value, rows = held[0], held[1], copies[held[2]]
+            upto = np.cumsum(rows)
+            fresh = np.append(True, window[1:] != window[:-1])
+            level = fresh | np.append(True, value[1:] != value[:-1])
+            of, step = np.cumsum(fresh) - 1, np.cumsum(level) - 1
+            upto -= (upto - rows)[fresh][of]  # rows of the window up to here
+            full = upto >= k
+            np.maximum.at(need, window[full], value[full])
+            # Before a candidate come all rows with a higher score, and of those with its own the first of each candidate.
+            before = (upto - rows)[level][step] + np.arange(len(by)) - np.flatnonzero(level)[step]
+            held = tuple(h[before < k] for h in held)
     return held
 
 
@@ -197,7 +208,7 @@ def _placed(rows: DataFrame, centres: np.ndarray, bits: int) -> DataFrame:
 def _extent(placed: DataFrame, lot: str) -> DataFrame:
     return placed.groupBy(F.col("lot").alias(lot), "width", "cluster").agg(
         F.min("angle").alias(f"{lot}_near"), F.max("angle").alias(f"{lot}_far"),
-        F.min("norm").alias(f"{lot}_short"), F.max("norm").alias(f"{lot}_long"),
+        F.min("norm").alias(f"{lot}_short"), F.max("norm").alias(f"{lot}_long"), F.count("*").alias(f"{lot}_rows"),
     )
 
 
@@ -240,11 +251,12 @@ def _visits(asked: DataFrame, places: DataFrame, same: bool, k: int, low: int, h
                 first = ids.flatten().to_numpy(zero_copy_only=False)[ids.offsets.to_numpy()[:-1] - ids.offsets.to_numpy()[0]]
                 norm = np.sqrt(np.einsum("ij,ij->i", *[x.astype(float)] * 2))
                 chunk |= {"code": {n: i for i, n in enumerate(names)}, "labels": codes, "x": x, "norm": norm, "ids": ids, "first": first}
+                chunk["copies"] = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             members = Block(
                 rows.column(4).to_numpy(zero_copy_only=False), np.array([chunk["code"].get(n, -1) for n in rows.column(5).to_pylist()]),
                 _matrix(rows.column(6)), rows.column(8).to_pylist(), rows.column(9).to_pylist(), same, low, high,
             )
-            window, score, found = walk(members, chunk["labels"], chunk["x"], chunk["norm"], chunk["first"], same, k)
+            window, score, found = walk(members, chunk["labels"], chunk["x"], chunk["norm"], chunk["first"], chunk["copies"], same, k)
             own = (score == np.einsum("ij,ij->i", *[members.x] * 2)[members.member[window]]) & same
             own &= np.einsum("ij,ij->i", *[chunk["x"][found]] * 2) == score
             cols = [
@@ -301,10 +313,10 @@ def _search(anchors: DataFrame, places: DataFrame, angles: DataFrame, same: bool
     chunks, blocks = stored(_extent(places, "chunk")), _extent(anchors, "block")
     named = anchors.withColumnRenamed("lot", "block")
     gap = F.greatest(F.lit(0.0), F.col("chunk_near") - F.col("block_far"), F.col("block_near") - F.col("chunk_far"))
-    nearest = Window.partitionBy("block").orderBy(gap, "chunk")
-    head = stored(
-        blocks.join(chunks, ["width", "cluster"]).withColumn("n", F.row_number().over(nearest)).where("n = 1").select("block", "chunk")
-    )
+    nearest = Window.partitionBy("block").orderBy("apart", gap, "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    met = blocks.join(angles.where(F.col("place") <= NEIGHBOURS), "cluster").join(chunks.withColumnRenamed("cluster", "other"), ["width", "other"])
+    head = met.withColumn("before", F.coalesce(F.sum("chunk_rows").over(nearest), F.lit(0))).where(F.col("before") < HEAD)
+    head = stored(head.select("block", "chunk"))
     unknown = named.withColumn("floors", F.transform("targets", lambda t: F.lit(None).cast("long")))
     first = stored(_visits(unknown.join(head, "block"), places, same, k, low, high))
 
@@ -370,10 +382,12 @@ def hard_negatives(
     centres = _centres(distinct)
     places, anchors = _placed(classes, centres, CHUNK_BITS), _placed(distinct, centres, BLOCK_BITS)
     # Angles between centroids; nothing is known about a cluster without one. At most (CENTROIDS + 1)^2 rows.
-    between = np.arccos(np.clip(centres @ centres.T, -1, 1))
-    known = range(-1, len(centres))
+    between = np.zeros((len(centres) + 1, len(centres) + 1))
+    between[1:, 1:] = np.arccos(np.clip(centres @ centres.T, -1, 1))
+    place = np.argsort(np.argsort(between, axis=1, kind="stable"), axis=1)
     angles = F.broadcast(spark.createDataFrame(
-        [(i, j, float(between[i, j]) if i >= 0 and j >= 0 else 0.0) for i in known for j in known], "cluster int, other int, apart double"
+        [(i - 1, j - 1, float(between[i, j]), int(place[i, j])) for i, j in np.ndindex(between.shape)],
+        "cluster int, other int, apart double, place int",
     ))
 
     one = anchors.withColumn("targets", F.array(F.lit(0).cast("long")))

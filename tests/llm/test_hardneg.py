@@ -42,6 +42,7 @@ def test_clusters_copies_ties_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(H, "BLOCK_BITS", 2)
     monkeypatch.setattr(H, "SLICE", 3)
     monkeypatch.setattr(H, "CENTROIDS", 6)
+    monkeypatch.setattr(H, "HEAD", 20)
     rng = np.random.default_rng(4)
     rows = []
     for c in range(12):
@@ -86,7 +87,7 @@ def test_walk_is_certified(monkeypatch, same):
     steps = []
     scores = H._scores
     monkeypatch.setattr(H, "_scores", lambda *args: steps.append(len(args[1])) or scores(*args))
-    window, score, found = H.walk(block, labels, x, norm, first, same, 4)
+    window, score, found = H.walk(block, labels, x, norm, first, np.ones(4000, np.int64), same, 4)
     assert sum(steps) < 3000
     for w in range(7):
         s = x @ a[w]
