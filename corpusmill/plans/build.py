@@ -12,7 +12,7 @@ from corpusmill.operators.knn import assert_uniform_dimension
 from corpusmill.session import ensure_checkpoint_dir
 from corpusmill.sources import files as file_source
 from corpusmill.sources import manifest as manifests
-from corpusmill.sources import store, vectortable
+from corpusmill.sources import buckettable, store, vectortable
 
 # embed(text column) -> array<float> column, normally a pandas UDF around the caller's model
 Embedder = Callable[[Column], Column]
@@ -31,13 +31,13 @@ def file_times(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def vector_rows(chunks: DataFrame, embed: Embedder, model: str) -> DataFrame:
+def vector_rows(chunks: DataFrame, embed: Embedder, model: str, build: str | None = None) -> DataFrame:
     """Chunks as rows of the vector table."""
     embedded = chunks.withColumn("embedding", embed(F.col("text")))
     session = F.col("session_id") if "session_id" in chunks.columns else F.lit(None).cast("string")
     return embedded.select(
         "id", "text", F.col("embedding").cast("array<float>").alias("embedding"),
-        vectortable.metadata_json(chunks, model, F.size("embedding")).alias("metadata"),
+        vectortable.metadata_json(chunks, model, F.size("embedding"), build=build).alias("metadata"),
         "category", session.alias("session_id"), "filename", F.current_timestamp().alias("created_at"),
     )
 
@@ -74,3 +74,30 @@ def update_index(
     ordered = fresh.withColumn("_seq", F.monotonically_increasing_id())
     merged = vectortable.upsert(left.unionByName(uploads), ordered, "_seq")
     return merged, seen
+
+
+def update_buckets(
+    spark: SparkSession, root: str, version: str, chunks: DataFrame, times: DataFrame, previous: DataFrame, embed: Embedder, model: str,
+    rebuild: bool = False, buckets: int = buckettable.BUCKETS,
+) -> tuple[list[int], DataFrame]:
+    """``update_index`` on a bucketed table: (buckets rewritten, new manifest); buckets without a change stay as they are.
+
+    Commits the table under ``version``. Save the manifest afterwards; a stop in between only repeats work.
+    """
+    seen = manifests.seen_sources(chunks, times)
+    diff = manifests.manifest_diff(previous, seen)
+    keyed = chunks.withColumn("_src", F.replace("source", F.lit("\\"), F.lit("/")))
+    if not rebuild:
+        todo = diff.where(F.col("change").isin("new", "changed")).select(F.col("source").alias("_src"))
+        keyed = keyed.join(todo, "_src", "left_semi")
+    ensure_checkpoint_dir(spark)
+    # The model runs once per changed chunk, whatever reads the rows afterwards.
+    fresh = vector_rows(keyed.drop("_src"), embed, model).checkpoint()
+    assert_uniform_dimension(fresh)
+    gone = diff.where(F.col("change") != "unchanged").select("source")
+    if rebuild:
+        held = buckettable.facts(spark, root).where("rows > 0 and coalesce(session_id, '') = ''")
+        gone = gone.unionByName(held.select("source")).distinct()
+    upload = F.coalesce(F.col("session_id"), F.lit("")) != ""
+    ordered = fresh.withColumn("_seq", F.monotonically_increasing_id())
+    return buckettable.change(spark, root, version, ordered, gone=gone, keep=upload, buckets=buckets), seen

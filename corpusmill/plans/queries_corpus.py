@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusmill import schema
@@ -9,9 +11,10 @@ from corpusmill.functions import chunking
 from corpusmill.functions.text import clean_text, normalize_text, split_sentences, text_key
 from corpusmill.operators import chunks as chunk_ops
 from corpusmill.operators import dedup
+from corpusmill.plans.queries_retrieval import fill
 from corpusmill.plans.tables import documents, table
-from corpusmill.session import widen
-from corpusmill.sources import manifest, store, vectortable
+from corpusmill.session import ensure_checkpoint_dir, widen
+from corpusmill.sources import buckettable, manifest, store, vectortable
 
 
 def _md5(col):
@@ -207,10 +210,39 @@ def uploads_by_session(spark, folder):
     return vectortable.uploads_by_session(_vector_rows(spark, folder)).withColumn("page", F.col("page").cast("long"))
 
 
-def vector_table_stats(spark, folder):
-    """Over the documents that have a vector of their number."""
+def _with_vectors(spark, folder):
+    """All rows; those of a number that a vector has get it."""
     own = table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
-    return vectortable.table_stats(_vector_rows(spark, folder).drop("embedding").join(own, "id"))
+    return _vector_rows(spark, folder).drop("embedding").join(own, "id", "left")
+
+
+def vector_table_stats(spark, folder):
+    return vectortable.table_stats(_with_vectors(spark, folder))
+
+
+def _bucket_root(spark):
+    return f"{ensure_checkpoint_dir(spark)}/buckets-{uuid.uuid4().hex}"
+
+
+def bucket_upsert(spark, folder):
+    """``upsert`` through a bucketed table: one version of existing rows, one that rewrites the buckets of the incoming."""
+    rows, root = _vector_rows(spark, folder), _bucket_root(spark)
+    buckettable.change(spark, root, "v1", rows.where(F.col("seq") % 3 != 0), "seq", buckets=16)
+    half = F.floor(F.col("seq") / 2).cast("long").cast("string")
+    incoming = rows.withColumn("id", half).withColumn("created_at", F.timestamp_seconds(F.lit(99))).withColumn(
+        "text", F.concat(F.lit("v"), F.col("seq"))
+    )
+    buckettable.change(spark, root, "v2", incoming, "seq", buckets=16)
+    return buckettable.read(spark, root).select("id", _md5(F.col("text")).alias("md5"), F.unix_seconds("created_at").alias("created"))
+
+
+def bucket_stats(spark, folder):
+    """Counts kept with the buckets, after a version that deletes sources."""
+    root = _bucket_root(spark)
+    buckettable.change(spark, root, "v1", _with_vectors(spark, folder), "seq", buckets=16)
+    gone = documents(spark, folder).where("lang = 'en'").select(F.concat(F.col("source"), F.lit("/en/f"), F.col("doc_id") % 20).alias("source"))
+    buckettable.change(spark, root, "v2", gone=gone, buckets=16)
+    return buckettable.table_stats(spark, root)
 
 
 def twin_files(spark, folder):
@@ -250,6 +282,8 @@ QUERIES = {
     "delete_by_source": delete_by_source,
     "uploads_by_session": uploads_by_session,
     "vector_table_stats": vector_table_stats,
+    "bucket_upsert": bucket_upsert,
+    "bucket_stats": bucket_stats,
     "twin_files": twin_files,
 }
 NORM = "trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g'))"
@@ -268,6 +302,17 @@ NOISE_SQL = (
     "|^(\\d{1,3}|trang|th[oô]ng b[aá]o)$|^[\\s\\x{2500}-\\x{257F}\\x{2010}-\\x{2015}¯_\\-=–—.]{3,}$')"
 )
 LINES_SQL = LEGAL_SQL.replace("<noise>", NOISE_SQL)
+UPSERT_SQL = """
+WITH e AS (SELECT doc_id::VARCHAR AS id, text, doc_id AS created FROM documents WHERE doc_id % 3 <> 0),
+i AS (SELECT (doc_id // 2)::VARCHAR AS id, 'v' || max(doc_id) AS text FROM documents GROUP BY 1)
+SELECT id, md5(coalesce(i.text, e.text)) AS md5, coalesce(e.created, 99) AS created FROM e FULL JOIN i USING (id)"""
+STATS_SQL = "WITH" + STORED_SQL + """,
+v AS (SELECT st.*, embedding FROM st LEFT JOIN embeddings ON id = vec_id::VARCHAR <where>)
+SELECT 'total' AS kind, 'all' AS value, count(*) AS rows FROM v
+UNION ALL SELECT 'dimension', len(embedding)::VARCHAR, count(*) FROM v WHERE embedding IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'category', category, count(*) FROM v GROUP BY 2
+UNION ALL SELECT 'chunk_mode', coalesce(chunk_mode, 'unknown'), count(*) FROM v GROUP BY 2
+UNION ALL SELECT 'chunk_type', 'text', count(*) FROM v"""
 ORACLES = {
     "clean_lines": "WITH" + LINES_SQL + """
 SELECT doc_id, length(array_to_string(ls, E'\\n')) AS chars, md5(array_to_string(ls, E'\\n')) AS md5 FROM ln""",
@@ -323,23 +368,16 @@ o AS (SELECT source, CASE WHEN doc_id % 7 = 0 THEN mtime - 1 ELSE mtime END AS o
 s AS (SELECT source, mtime FROM d WHERE doc_id % 11 <> 3)
 SELECT source, coalesce(mtime, old) AS mtime, CASE WHEN mtime IS NULL THEN 'removed' WHEN old IS NULL THEN 'new'
   WHEN old = mtime THEN 'unchanged' ELSE 'changed' END AS change FROM s FULL JOIN o USING (source)""",
-    "upsert": """
-WITH e AS (SELECT doc_id::VARCHAR AS id, text, doc_id AS created FROM documents WHERE doc_id % 3 <> 0),
-i AS (SELECT (doc_id // 2)::VARCHAR AS id, 'v' || max(doc_id) AS text FROM documents GROUP BY 1)
-SELECT id, md5(coalesce(i.text, e.text)) AS md5, coalesce(e.created, 99) AS created FROM e FULL JOIN i USING (id)""",
+    "upsert": UPSERT_SQL,
     "delete_by_source": "WITH" + STORED_SQL + """
 SELECT category, count(*) AS rows FROM st
 WHERE source NOT IN (SELECT source || '/en/f' || (doc_id % 20) FROM documents WHERE lang = 'en') GROUP BY 1""",
     "uploads_by_session": "WITH" + STORED_SQL + """
 SELECT 's' || (page % 3) AS session_id, filename, count(*) AS chunks, max(page::VARCHAR)::BIGINT AS page, max(category) AS category,
   max(replace(source, '/', '\\')) AS source FROM st WHERE page < 4 GROUP BY 1, 2""",
-    "vector_table_stats": "WITH" + STORED_SQL + """,
-v AS (SELECT st.*, embedding FROM st JOIN embeddings ON id = vec_id::VARCHAR)
-SELECT 'total' AS kind, 'all' AS value, count(*) AS rows FROM v
-UNION ALL SELECT 'dimension', len(embedding)::VARCHAR, count(*) FROM v GROUP BY 2
-UNION ALL SELECT 'category', category, count(*) FROM v GROUP BY 2
-UNION ALL SELECT 'chunk_mode', coalesce(chunk_mode, 'unknown'), count(*) FROM v GROUP BY 2
-UNION ALL SELECT 'chunk_type', 'text', count(*) FROM v""",
+    "vector_table_stats": fill(STATS_SQL, where=""),
+    "bucket_upsert": UPSERT_SQL,
+    "bucket_stats": fill(STATS_SQL, where="WHERE st.source NOT IN (SELECT source || '/en/f' || (doc_id % 20) FROM documents WHERE lang = 'en')"),
     "twin_files": """
 WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') || '/p' || (page_id % 60) AS stem FROM pages),
 c AS (SELECT DISTINCT stem FROM p WHERE page_id % 2 = 0), j AS (SELECT DISTINCT stem FROM p WHERE page_id % 2 = 1 OR page_id % 3 <> 0)

@@ -4,24 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import access, bm25, fusion, knn, rerank
+from corpusmill.operators import access, bm25, fusion, knn, postings, rerank
 from corpusmill.functions.text import text_key
 from corpusmill.plans import retrieval
+from corpusmill.plans.indexes import lexical_index
 from corpusmill.plans.tables import documents, questions, table, vectors
 from corpusmill.session import bounded_broadcast
 
 
+def lexical_topk(spark, folder, k):
+    """The best ``k`` documents of each question, from the stored index."""
+    return postings.search(spark, lexical_index(spark, documents(spark, folder)), questions(spark, folder), k)
+
+
 def bm25_topk(spark, folder):
-    return bm25.bm25_topk(documents(spark, folder), questions(spark, folder), k=5).select(
-        "query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank")
-    )
+    return _long_rank(lexical_topk(spark, folder, 5))
 
 
 def bm25_category(spark, folder):
-    docs = documents(spark, folder).withColumnRenamed("source", "category")
-    return bm25.bm25_topk(docs, questions(spark, folder), k=3, scope=["category"]).select(
-        "query_id", "category", "doc_id", "score", F.col("rank").cast("long").alias("rank")
-    )
+    index = lexical_index(spark, documents(spark, folder), ["source"])
+    found = postings.search(spark, index, questions(spark, folder), 3, ["source"])
+    return _long_rank(found.withColumnRenamed("source", "category"))
+
+
+def bm25_scan(spark, folder):
+    """Without an index, as for a corpus that is a filter's result: texts are tokenised and scored as they are read."""
+    return _long_rank(bm25.bm25_topk(documents(spark, folder), questions(spark, folder), k=5)).select("query_id", "doc_id", "score", "rank")
 
 
 def tokenize_stats(spark, folder):
@@ -90,7 +98,7 @@ def _branches(spark, folder, k):
     near = knn.knn(_chunks(spark, folder).where(F.col("embedding").isNotNull()), asked, k, vec_id="id").select(
         "query_id", F.col("vec_id").alias("id"), F.col("distance").alias("score"), "rank"
     )
-    lexical = bm25.bm25_topk(documents(spark, folder), questions(spark, folder), k=k).select(
+    lexical = lexical_topk(spark, folder, k).select(
         "query_id", F.col("doc_id").alias("id"), "score", "rank"
     )
     # k rows for each question at most.
@@ -123,7 +131,7 @@ def hybrid_allowed(spark, folder):
 
 
 def rerank_boost(spark, folder):
-    ranked = bm25.bm25_topk(documents(spark, folder), questions(spark, folder), k=10)
+    ranked = lexical_topk(spark, folder, 10)
     texts = documents(spark, folder).select("doc_id", "text").join(bounded_broadcast(ranked, questions(spark, folder), 10), "doc_id")
     pairs = texts.join(bounded_broadcast(*[questions(spark, folder)] * 2), "query_id")
     return pairs.select(
@@ -238,6 +246,7 @@ FROM g QUALIFY rank <= 5"""
 QUERIES = {
     "bm25_topk": bm25_topk,
     "bm25_category": bm25_category,
+    "bm25_scan": bm25_scan,
     "tokenize_stats": tokenize_stats,
     "knn_topk": knn_topk,
     "knn_filtered": knn_filtered,
@@ -251,10 +260,13 @@ QUERIES = {
     "rerank_topk": rerank_topk,
     "acl_filter": acl_filter,
 }
-ORACLES = {
-    "bm25_topk": BM25_GLOBAL + """
+BM25_TOP = BM25_GLOBAL + """
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
-FROM sc QUALIFY rank <= 5""",
+FROM sc QUALIFY rank <= 5"""
+
+ORACLES = {
+    "bm25_topk": BM25_TOP,
+    "bm25_scan": BM25_TOP,
     "bm25_category": BM25_BY_CATEGORY + """
 SELECT query_id, category, doc_id, score,
   row_number() OVER (PARTITION BY query_id, category ORDER BY score DESC, doc_id) AS rank

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import bm25, evaluation, service
-from corpusmill.plans.queries_retrieval import BM25_GLOBAL
+from corpusmill.operators import evaluation, service
+from corpusmill.plans.queries_retrieval import BM25_GLOBAL, lexical_topk
 from corpusmill.plans.tables import documents, events, messages, questions, table
 
 
@@ -115,7 +115,7 @@ def history_trim(spark, folder):
 
 
 def eval_ranking(spark, folder):
-    found = bm25.bm25_topk(documents(spark, folder), questions(spark, folder), k=5)
+    found = lexical_topk(spark, folder, 5)
     good = table(spark, folder, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("_good"))
     judged = found.join(good, "doc_id", "left").select(
         "query_id", "rank", F.coalesce("_good", F.lit(False)).alias("relevant")
