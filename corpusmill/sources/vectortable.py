@@ -170,8 +170,11 @@ def json_safe(col: Column) -> Column:
     return F.when(F.isnan(col) | (F.abs(col) == float("inf")), F.lit(None)).otherwise(col)
 
 
-def metadata_json(chunks: DataFrame, model: str, dimension: Column, cap: int = 3000) -> Column:
-    """Metadata of a chunk row as JSON text; nested extras are JSON strings of at most ``cap`` characters."""
+def metadata_json(chunks: DataFrame, model: str, dimension: Column, cap: int = 3000, build: str | None = None) -> Column:
+    """Metadata of a chunk row as JSON text; nested extras are JSON strings of at most ``cap`` characters.
+
+    ``build`` names the state of the chunk store that the row comes from.
+    """
     kinds = {f.name: f.dataType.typeName() for f in chunks.schema.fields}
 
     def extra(name: str) -> Column:
@@ -189,6 +192,6 @@ def metadata_json(chunks: DataFrame, model: str, dimension: Column, cap: int = 3
             "category", "subcategory", "filename", "source", "page", "chunk_index",
             F.coalesce("chunk_mode", F.lit("unknown")).alias("chunk_mode"),
             F.length("text").alias("text_length"), F.lit(model).alias("embedding_model"),
-            dimension.alias("embedding_dim"), *session, *extras,
+            dimension.alias("embedding_dim"), *session, *extras, *([F.lit(build).alias("build")] if build else []),
         )
     )

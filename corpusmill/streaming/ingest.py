@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill import schema
 from corpusmill.plans.build import Embedder, vector_rows
-from corpusmill.sources import vectortable
+from corpusmill.sources import buckettable, vectortable
 
 
 def chunk_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -20,31 +20,22 @@ def chunk_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def index_stream(
     chunks: DataFrame, root: str, embed: Embedder, model: str, checkpoint: str, build: str,
-    after: Callable[[int], None] | None = None,
+    after: Callable[[int], None] | None = None, buckets: int = buckettable.BUCKETS,
 ) -> StreamingQuery:
-    """Upsert arriving chunks into the vector table below ``root``; stops when the backlog is done.
+    """Upsert arriving chunks into the bucketed vector table below ``root``; stops when the backlog is done.
 
     ``build`` names the state of the chunk store that arrives and is kept with every row. A batch replaces rows
     of the sources it brings only if they come from another build, so a source whose chunks arrive in
-    several batches stays whole. The version is named after the build and the batch: a batch repeated after
-    a failure finds its version complete and only moves the pointer, or writes it again.
+    several batches stays whole. Only buckets of the batch's ids and sources are rewritten. The version is named after the build and
+    the batch: a batch repeated after a failure finds its version complete and only publishes it, or writes it again.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        version = f"v-{build}-{number:08d}"
-        spark = batch.sparkSession
-        if vectortable.is_complete(spark, root, version):
-            vectortable.publish(spark, root, version)
-        else:
-            table = vectortable.read_table(spark, root)
-            sources = batch.select("source").distinct()
-            stale = F.coalesce(vectortable.metadata_field("build"), F.lit("")) != build
-            left = table.where(~stale).unionByName(vectortable.delete_by_sources(table.where(stale), sources))
-            fresh = vector_rows(batch, embed, model)
-            named = F.from_json("metadata", "map<string,string>")
-            tagged = F.to_json(F.map_concat(named, F.create_map(F.lit("build"), F.lit(build))))
-            fresh = fresh.withColumn("metadata", tagged).withColumn("_seq", F.monotonically_increasing_id())
-            vectortable.commit(vectortable.upsert(left, fresh, "_seq"), root, version)
+        fresh = vector_rows(batch, embed, model, build).withColumn("_seq", F.monotonically_increasing_id())
+        same = F.coalesce(vectortable.metadata_field("build"), F.lit("")) == build
+        buckettable.change(
+            batch.sparkSession, root, f"v-{build}-{number:08d}", fresh, gone=batch.select("source").distinct(), keep=same, buckets=buckets
+        )
         if after:
             after(number)
 

@@ -1,3 +1,4 @@
+import json
 import zipfile
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import schema
 from corpusmill.plans import build
-from corpusmill.sources import files, manifest, store, vectortable
+from corpusmill.sources import buckettable, files, manifest, store, vectortable
 from corpusmill.streaming import ingest, stateful
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -132,6 +133,34 @@ def test_manifest_changes_and_missing_file(spark):
     assert got == {"a/x": (2.0, "changed"), "b": (1.0, "new"), "gone": (0.0, "new"), "same": (5.0, "unchanged"), "left": (9.0, "removed")}
 
 
+def test_incremental_build_of_buckets(spark, tmp_path):
+    """Only buckets of changed and removed sources are rewritten; uploads stay."""
+    root = str(tmp_path / "bt")
+
+    def chunks(texts):
+        return spark.createDataFrame(
+            [{"id": f"{n}-0-0", "text": t, "category": "c", "subcategory": "", "filename": n, "source": n, "page": 0, "chunk_index": 0, "chunk_mode": "contextual"} for n, t in texts.items()],
+            schema.CHUNK,
+        )
+
+    def times(names):
+        return spark.createDataFrame([(n, t) for n, t in names.items()], "path string, mtime double")
+
+    empty = spark.createDataFrame([], schema.MANIFEST)
+    texts = {f"d{i}": f"chữ {i}" for i in range(6)}
+    touched, seen = build.update_buckets(spark, root, "v1", chunks(texts), times({n: 1.0 for n in texts}), empty, embed, "m", buckets=32)
+    assert {r.id: r.text for r in buckettable.read(spark, root).collect()} == {f"{n}-0-0": t for n, t in texts.items()}
+    manifest.save_manifest(seen, str(tmp_path / "m1"))
+    upload = buckettable.read(spark, root).where("id = 'd1-0-0'").withColumn("id", F.lit("d1-9-9")).withColumn("session_id", F.lit("s")).withColumn("_seq", F.lit(0))
+    buckettable.change(spark, root, "up", upload, buckets=32)
+    changed = {n: t for n, t in texts.items() if n != "d1"} | {"d2": "khác"}
+    old = manifest.load_manifest(spark, str(tmp_path / "m1"))
+    touched, _ = build.update_buckets(spark, root, "v2", chunks(changed), times({n: 1.0 + (n == "d2") for n in changed}), old, embed, "m", buckets=32)
+    assert len(touched) <= 2
+    want = {f"{n}-0-0": t for n, t in changed.items()} | {"d1-9-9": texts["d1"]}
+    assert {r.id: r.text for r in buckettable.read(spark, root).collect()} == want
+
+
 def test_json_metadata(spark):
     df = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.5,)], "x double")
     assert [r[0] for r in df.select(vectortable.json_safe(F.col("x"))).collect()] == [None, None, 1.5]
@@ -212,12 +241,15 @@ def test_streaming_index(spark, tmp_path):
     def arrive(build, *items):
         spark.createDataFrame(list(items), schema.CHUNK).coalesce(1).write.mode("append").parquet(stored)
         ingest.index_stream(ingest.chunk_stream(spark, stored), root, embed, "m", str(tmp_path / "ck"), build).awaitTermination(120)
-        return {r.id: r.text for r in vectortable.read_table(spark, root).collect()}
+        return {r.id: r.text for r in buckettable.read(spark, root).collect()}
 
     assert arrive("b1", chunk("f-0-0", "một")) == {"f-0-0": "một"}
     # The same source in a second batch of the same build stays whole; another build replaces it.
     assert arrive("b1", chunk("f-0-1", "hai")) == {"f-0-0": "một", "f-0-1": "hai"}
     assert arrive("b2", chunk("f-0-0", "một mới")) == {"f-0-0": "một mới"}
+    # Metadata keep their types beside the build.
+    told = json.loads(buckettable.read(spark, root).first().metadata)
+    assert told["page"] == 0 and told["build"] == "b2" and told["embedding_dim"] > 0
 
 
 def test_commit_survives_stops(spark, tmp_path):
