@@ -286,7 +286,9 @@ class RunIndex:
     def _suffixes(self) -> tuple[np.ndarray, np.ndarray]:
         """Suffix order by doubling from seven symbols on; whether a row agrees with the one above in LENGTH symbols.
 
-        No text stands in the index twice, so suffixes differ after two texts at the latest.
+        Doubling ends with an order by more than LENGTH symbols. Suffixes that agree in that many are in any order: a
+        step back from one of them leads to a row that agrees with the right one in as many symbols, and matches
+        are counted up to LENGTH only.
         """
         n = len(self.text)
         padded = np.concatenate((self.text, np.zeros(7, np.int16))).astype(np.int64)
@@ -301,7 +303,7 @@ class RunIndex:
             rank[rows] = np.cumsum(new) - 1
             if depth <= LENGTH <= 2 * depth:
                 half = depth, rank
-            if new.all() and half is not None:
+            if half is not None and (depth > LENGTH or new.all()):
                 break
             follow = np.zeros(n, np.int64)
             follow[: max(0, n - depth)] = rank[depth:] + 1
