@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill import fixed
 from corpusmill.functions.arrays import pick
-from corpusmill.functions.similarity import RecentTexts, greedy_positions, kept_positions, set_jaccard, shingles
+from corpusmill.functions.similarity import RecentTexts, greedy_positions, kept_positions, shingles
 from corpusmill.functions.text import normalize_text
 from corpusmill.operators.replay import ordered_replay
 from corpusmill.session import ship_package, widen
@@ -168,34 +171,73 @@ def near_pairs(
 ) -> DataFrame:
     """Pairs at most ``look_back`` positions apart in a group whose shingle Jaccard reaches the threshold.
 
-    Positions are cut into blocks of ``look_back``; a row meets only its own and the previous block,
-    so each row has at most 2 x look_back partners however large its group is, and a hot group is
-    spread over as many tasks as it has blocks.
+    Positions are cut into blocks of ``look_back``; a row goes to its own block and the next, so each meets at most
+    2 x look_back others however large its group is, and a hot group is spread over as many tasks as it has
+    blocks. Shingles travel as 64-bit hashes, once per block, and a block's common shingles are counted in one
+    matrix product over those rows that have a partner of fitting length and set size at all. Rows with a null key meet nobody.
     """
-    norm = df.select(*keys, F.col(order).alias("_id"), F.col(position).alias("_p"), normalize_text(F.col(text)).alias("_n"))
-    # Shingles are built once per row, not once per pair.
-    norm = norm.where(F.col("_n") != "").select(
-        *keys, "_id", "_p", F.md5(F.col("_n").cast("binary")).alias("_h"), F.length("_n").alias("_len"),
-        shingles(F.col("_n")).alias("_g"),
-    )
-    block = F.floor(F.col("_p") / F.lit(look_back))
-    left = norm.withColumn("_b", F.explode(F.array(block, block + 1)))
-    right = norm.withColumn("_b", block)
-    a, b = left.alias("a"), right.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "_b"]]
-    near = (
-        (F.col("a._p") < F.col("b._p"))
-        & (F.col("b._p") - F.col("a._p") <= look_back)
-        & (F.abs(F.col("a._len") - F.col("b._len")) <= gate)
-        & (F.least("a._len", "b._len").cast("double") / F.greatest("a._len", "b._len") >= fixed.DEDUP_LENGTH_RATIO)
+    spark = df.sparkSession
+    ship_package(spark)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    norm = df.select(*keys, F.col(order).alias("_id"), F.col(position).cast("long").alias("_p"), normalize_text(F.col(text)).alias("_n"))
+    norm = norm.where(F.col("_n") != "").dropna(subset=keys or None).select(
+        *keys, "_id", "_p", F.xxhash64("_n").alias("_h"), F.length("_n").alias("_len"),
+        F.transform(shingles(F.col("_n")), lambda g: F.xxhash64(g)).alias("_g"), F.floor(F.col("_p") / look_back).alias("_block"),
     )
+    met = norm.withColumn("_b", F.explode(F.array(F.col("_block"), F.col("_block") + 1)))
+    met = met.repartition(partitions, *keys, "_b").sortWithinPartitions(*keys, "_b", "_p")
+    n, names = len(keys), [*keys, "first_id", "second_id", "jaccard"]
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            marks = list(zip(*(batch.column(c).to_pylist() for c in [*keys, "_b"])))
+            cuts = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
+            for at, end in zip(cuts, cuts[1:]):
+                if at == end:
+                    continue
+                if held and marks[at] != now:
+                    yield found(held)
+                    held = []
+                now = marks[at]
+                held.append(batch.slice(at, end - at))
+        if held:
+            yield found(held)
+
+    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        place, digest, length, block, b = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("_p", "_h", "_len", "_block", "_b"))
+        i, j, score = close_pairs(place, digest, length, [np.asarray(g.values) for g in rows.column("_g")], block == b, look_back, gate, threshold)
+        cols = [*(rows.column(c).take(pa.array(i)) for c in keys), rows.column("_id").take(pa.array(i)), rows.column("_id").take(pa.array(j))]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(score)], names)
+
+    kinds = {f.name: f.dataType for f in norm.schema.fields}
+    fields = [T.StructField(k, kinds[k]) for k in keys] + [T.StructField(c, kinds["_id"]) for c in names[n : n + 2]]
+    return met.mapInArrow(joined, T.StructType([*fields, T.StructField("jaccard", T.DoubleType())]))
+
+
+def close_pairs(
+    place: np.ndarray, digest: np.ndarray, length: np.ndarray, grams: list[np.ndarray], late: np.ndarray, look_back: int, gate: int, threshold: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, Jaccard) of the rows of a block: j is ``late`` and follows i by ``look_back`` positions at most."""
+    size = np.array([len(g) for g in grams])
+    lo, hi = np.minimum.outer(length, length), np.maximum.outer(length, length)
+    fits = (place[:, None] < place) & (place - place[:, None] <= look_back) & late & (hi - lo <= gate) & (lo / hi >= fixed.DEDUP_LENGTH_RATIO)
     # The ratio of two set sizes bounds their Jaccard from above.
-    sizes = F.least(F.size("a._g"), F.size("b._g")).cast("double") / F.greatest(F.size("a._g"), F.size("b._g"))
-    pairs = a.join(b, [*same, near, sizes >= threshold])
-    score = F.when(F.col("a._h") == F.col("b._h"), 1.0).otherwise(set_jaccard(F.col("a._g"), F.col("b._g")))
-    return pairs.select(
-        *[F.col(f"a.{k}").alias(k) for k in keys],
-        F.col("a._id").alias("first_id"),
-        F.col("b._id").alias("second_id"),
-        score.alias("jaccard"),
-    ).where(F.col("jaccard") >= threshold)
+    fits &= np.minimum.outer(size, size) / np.maximum.outer(size, size) >= threshold
+    use = np.flatnonzero(fits.any(axis=0) | fits.any(axis=1))
+    common = np.zeros(fits.shape)
+    if len(use):
+        every, which = np.unique(np.concatenate([grams[r] for r in use]), return_inverse=True)
+        owner = np.repeat(np.arange(len(use)), size[use])
+        counted = np.zeros((len(use), len(use)), np.float32)
+        for at in range(0, len(every), 1 << 16):  # bounded however long the texts are
+            inside = (which >= at) & (which < at + (1 << 16))
+            has = np.zeros((len(use), min(1 << 16, len(every) - at)), np.float32)
+            has[owner[inside], which[inside] - at] = 1
+            counted += has @ has.T
+        common[np.ix_(use, use)] = counted
+    score = np.where(digest[:, None] == digest, 1.0, common / (size[:, None] + size - common))
+    i, j = np.nonzero(fits & (score >= threshold))
+    return i, j, score[i, j]

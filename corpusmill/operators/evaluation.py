@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill import fixed
 from corpusmill.functions.text import ascii_tokens, fold, strip
+from corpusmill.operators.selection import values_at
 
 FAITHFUL_SHARE = 0.4
 
@@ -110,44 +111,18 @@ def refusal_rate(answers: DataFrame, answer: str = "answer") -> DataFrame:
     )
 
 
-def order_statistic(df: DataFrame, value: str, share: float, index, accuracy: int = 10_000) -> Column:
-    """Exact value at the zero-based position ``index(n)`` of the sorted column, as a scalar subquery.
-
-    ``share`` is the approximate quantile of that position. A sketch brackets it; only the values in
-    the bracket (about 1/1000 of them) are then counted and ordered, never the whole column.
-    """
-    clean = df.select(F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    margin = 5.0 / accuracy
-    bracket = [max(0.0, share - margin), min(1.0, share + margin)]
-    bounds = clean.agg(
-        F.percentile_approx("_v", bracket, accuracy).alias("b"), F.count(F.lit(1)).alias("n")
-    )
-    low = F.lit(float("-inf")) if bracket[0] == 0.0 else bounds.select(F.col("b")[0]).scalar()
-    high = F.lit(float("inf")) if bracket[1] == 1.0 else bounds.select(F.col("b")[1]).scalar()
-    total = bounds.select("n").scalar()
-    below = clean.where(F.col("_v") < low).agg(F.count(F.lit(1))).scalar()
-    inside = clean.where((F.col("_v") >= low) & (F.col("_v") <= high)).groupBy("_v").agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    running = F.sum("_c").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = inside.select("_v", running.alias("_u"))
-    return placed.where(below + F.col("_u") > index(total)).agg(F.min("_v")).scalar()
+def latency_stats(df: DataFrame, value: str) -> DataFrame:
+    """mean_ms, p50_ms (interpolated median), p95_ms (nearest rank, half to even) and n; zeros for no value."""
 
+    def positions(n: int) -> list[int]:
+        return [(n - 1) // 2, n // 2, min(n - 1, round((n - 1) * 0.95))] if n else []
 
-def latency_stats(df: DataFrame, value: str) -> DataFrame:
-    """mean_ms, p50_ms (interpolated median), p95_ms (nearest rank, half to even) and n."""
-    def upto(n: Column, position: Column) -> Column:
-        return F.least(n - 1, position.cast("long"))
-
-    lower = order_statistic(df, value, 0.5, lambda n: F.floor((n - 1) / F.lit(2)))
-    upper = order_statistic(df, value, 0.5, lambda n: F.floor(n / F.lit(2)))
-    p95 = order_statistic(df, value, 0.95, lambda n: upto(n, F.rint((n - 1) * F.lit(0.95))))
-    zero = F.lit(0.0)
+    found = values_at(df, value, positions) or [0.0, 0.0, 0.0]
     stats = df.agg(F.avg(F.col(value).cast("double")).alias("m"), F.count(value).alias("n"))
     return stats.select(
-        F.coalesce("m", zero).alias("mean_ms"),
-        F.coalesce((lower + upper) / F.lit(2.0), zero).alias("p50_ms"),
-        F.coalesce(p95, zero).alias("p95_ms"),
+        F.coalesce("m", F.lit(0.0)).alias("mean_ms"),
+        F.lit((found[0] + found[1]) / 2.0).alias("p50_ms"),
+        F.lit(found[2]).alias("p95_ms"),
         "n",
     )
 

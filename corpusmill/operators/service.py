@@ -1,11 +1,7 @@
-"""Service state as tables: request log metrics, quotas, rate limits, caches, sessions, uploads."""
+"""Service state as tables: request log metrics, quotas, rate limits, sessions, uploads."""
 
 from __future__ import annotations
 
-import json
-from collections import OrderedDict
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +9,8 @@ from pyspark.sql import types as T
 from corpusmill import fixed
 from corpusmill.functions.text import strip
 from corpusmill.operators.bm25 import rank_within
-from corpusmill.operators.evaluation import order_statistic
-from corpusmill.operators.replay import ordered_replay
+from corpusmill.operators.replay import piecewise_replay
+from corpusmill.operators.selection import values_at
 
 
 def seconds(ts: Column) -> Column:
@@ -31,15 +27,14 @@ def chat_metrics(log: DataFrame, tail: int | None = None) -> DataFrame:
     ``tail`` keeps the latest rows only (by ``ts``), which is a bounded top-k.
     """
     rows = log.orderBy(F.desc("ts")).limit(tail) if tail else log
-    p50 = order_statistic(rows, "latency", 0.5, lambda n: F.least(n - 1, F.floor(n * F.lit(0.5))))
-    p95 = order_statistic(rows, "latency", 0.95, lambda n: F.least(n - 1, F.floor(n * F.lit(0.95))))
+    p50, p95 = values_at(rows, "latency", lambda n: [min(n - 1, int(n * share)) for share in (0.5, 0.95)])
 
     def rate(flag: str) -> Column:
         return F.round(F.avg(F.coalesce(F.col(flag), F.lit(False)).cast("double")), 4).alias(f"{flag}_rate")
 
     base = rows.agg(F.count(F.lit(1)).alias("count"), rate("no_source"), rate("cached"), rate("stream"))
     return base.select(
-        "count", F.round(p50, 3).alias("latency_p50"), F.round(p95, 3).alias("latency_p95"),
+        "count", F.round(F.lit(p50).cast("double"), 3).alias("latency_p50"), F.round(F.lit(p95).cast("double"), 3).alias("latency_p95"),
         "no_source_rate", "cached_rate", "stream_rate",
     )
 
@@ -74,33 +69,25 @@ def identity(user: Column, ip: Column) -> Column:
 
 
 def rate_limit(
-    requests: DataFrame,
-    limit: int = fixed.RATE_LIMIT_MAX,
-    window: float = fixed.RATE_LIMIT_WINDOW,
-    segment_seconds: float = 86_400.0,
-    tie: str = "request_id",
+    requests: DataFrame, limit: int = fixed.RATE_LIMIT_MAX, window: float = fixed.RATE_LIMIT_WINDOW, tie: str = "request_id", pieces: int | None = None
 ) -> DataFrame:
     """(identity, t, request_id, admitted) under a sliding log that records admitted requests only.
 
-    ``t`` is in epoch seconds. The state between segments is at most ``limit`` timestamps.
+    ``t`` is in epoch seconds. What is kept of an identity is at most ``limit`` timestamps.
     """
 
-    def step(state: str, pdf: pd.DataFrame) -> tuple[pd.DataFrame, str]:
-        recent = json.loads(state) if state else []
-        verdicts = []
-        for now in pdf["t"]:
-            recent = [t for t in recent if now - t < window]
-            free = len(recent) < limit
-            if free:
-                recent.append(now)
-            verdicts.append(free)
-        return pdf.assign(admitted=verdicts), json.dumps(recent)
-
-    rows = requests.select("identity", "t", tie)
-    return ordered_replay(
-        rows, ["identity"], F.floor(F.col("t") / F.lit(segment_seconds)), ["t", tie], step,
-        [T.StructField("admitted", T.BooleanType())],
-    )
+    def verdict(recent: list[float], now: float, _) -> bool:
+        while recent and now - recent[0] >= window:
+            recent.pop(0)
+        free = len(recent) < limit
+        if free:
+            recent.append(now)
+        return free
+
+    def matters(recent: list[float], now: float) -> list[float]:
+        return [t for t in recent if now - t < window]
+
+    return piecewise_replay(requests.select("identity", "t", tie), "identity", ["t", tie], verdict, matters, "admitted", pieces)
 
 
 def cache_key(question: Column, category: Column, top_k: Column, style: Column, allowed: Column) -> Column:
@@ -117,39 +104,6 @@ def cache_key(question: Column, category: Column, top_k: Column, style: Column,
     return F.sha2(text, 256)
 
 
-def cache_replay(
-    lookups: DataFrame,
-    ttl: float = fixed.CACHE_TTL_SECONDS,
-    capacity: int = fixed.CACHE_MAX_ITEMS,
-    segment_seconds: float = 86_400.0,
-    tie: str = "request_id",
-) -> DataFrame:
-    """(cache, t, request_id, hit) for lookups of ``key`` in caches with expiry and a size limit.
-
-    A hit renews the place in the eviction order but not the expiry; a miss stores the answer. The
-    state between segments is the cache itself, at most ``capacity`` entries.
-    """
-
-    def step(state: str, pdf: pd.DataFrame) -> tuple[pd.DataFrame, str]:
-        entries = OrderedDict(json.loads(state)) if state else OrderedDict()
-        hits = []
-        for now, key in zip(pdf["t"], pdf["key"]):
-            fresh = entries.get(key, float("-inf")) >= now
-            if not fresh:
-                entries[key] = now + max(1.0, ttl)
-            entries.move_to_end(key)
-            if len(entries) > max(1, capacity):
-                entries.popitem(last=False)
-            hits.append(fresh)
-        return pdf.assign(hit=hits), json.dumps(list(entries.items()))
-
-    rows = lookups.select("cache", "t", tie, "key")
-    return ordered_replay(
-        rows, ["cache"], F.floor(F.col("t") / F.lit(segment_seconds)), ["t", tie], step,
-        [T.StructField("hit", T.BooleanType())],
-    )
-
-
 # --- sessions ----------------------------------------------------------------------------------------
 
 

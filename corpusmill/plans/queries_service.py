@@ -57,7 +57,7 @@ def rate_limit(spark, folder):
         service.seconds(F.col("ts")).alias("t"),
         F.col("event_id").alias("request_id"),
     )
-    return service.rate_limit(rows, limit=1, window=6 * 3600.0, segment_seconds=4 * 86_400.0).select(
+    return service.rate_limit(rows, limit=1, window=6 * 3600.0).select(
         "identity", "request_id", "admitted"
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from corpusmill import fixed
@@ -183,6 +183,19 @@ def calc_expression(spark, folder):
     )
 
 
+def calc_phrases(spark, folder):
+    """Ten ways to ask for a number, over all orders."""
+    a, b = (F.col("o_custkey") % 50 + 1), (F.col("o_orderkey") % 7 + 1)
+    asked = [
+        ("tính ", a, " nhân với ", b, " cộng thêm 5 bằng bao nhiêu?"), (a, "% của ", b), ("căn bậc hai của ", a * a),
+        (a, " bình phương trừ đi ", b), ("(", a, " + ", b, ") : 2"), ("lập phương của ", a, " là mấy"), ("3! + ", a),
+        ("log cơ số 2 của 8 nhân ", a), ("căn bậc 3 của ", a * a * a, " chia cho ", b), ("hai mươi mốt cộng ", a, " mũ 2"),
+    ]
+    texts = [F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts)) for parts in asked]
+    rows = table(spark, folder, "orders").select("o_orderkey", F.get(F.array(*texts), (F.col("o_orderkey") % 10).cast("int")).alias("q"))
+    return calc.calculate(rows, "q").select("o_orderkey", F.round(F.col("result").cast("double"), 6).alias("value"))
+
+
 def calc_numbers(spark, folder):
     price = F.format_number("o_totalprice", 2)
     continental = F.translate(price, ",.", ".,")
@@ -262,6 +275,7 @@ QUERIES = {
     "prompt_messages": prompt_messages,
     "calc": calc_expression,
     "calc_numbers": calc_numbers,
+    "calc_phrases": calc_phrases,
     "vn_numbers": calc_words,
     "compare": calc_compare,
     "calc_multi": calc_many,
@@ -424,6 +438,11 @@ r AS (SELECT conv_id, turn, CASE WHEN a = '' THEN 'empty_answer'
 SELECT conv_id, turn, reason IN ('ok', 'admitted_lack') AS sufficient, reason FROM r""",
     "calc": """
 SELECT l_orderkey, sum(l_quantity::INT * l_linenumber + l_suppkey)::BIGINT AS total, count(*) AS solved FROM lineitem GROUP BY 1""",
+    "calc_phrases": """
+WITH o AS (SELECT o_orderkey, o_custkey % 50 + 1 AS a, o_orderkey % 7 + 1 AS b FROM orders)
+SELECT o_orderkey, round(CASE o_orderkey % 10 WHEN 0 THEN a * b + 5 WHEN 1 THEN a * b / 100 WHEN 2 THEN a WHEN 3 THEN a * a - b
+  WHEN 4 THEN (a + b) / 2 WHEN 5 THEN a * a * a WHEN 6 THEN 6 + a WHEN 7 THEN 3 * a WHEN 8 THEN a / b ELSE 21 + a * a END::DOUBLE, 6) AS value
+FROM o""",
     "calc_numbers": "SELECT o_orderkey, round(o_totalprice, 2) AS value FROM orders",
     "vn_numbers": "SELECT p_partkey, p_partkey AS value FROM part",
     "compare": """

@@ -1,4 +1,4 @@
-"""Keyed state over request streams: rate limit, daily quota, answer cache, session state.
+"""Keyed state over request streams: rate limit, daily quota, session state.
 
 Each identity's state is small and bounded; Spark keeps it in the state store of the partition that
 owns the key, so nothing is held in one process. With ``expire`` a key's state goes when its time to live is
@@ -8,7 +8,6 @@ last time to live to end.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,37 +98,6 @@ def daily_quota_stream(requests: DataFrame, limit: int = fixed.CHAT_DAILY_LIMIT,
     )
 
 
-def cache_stream(
-    lookups: DataFrame, ttl: float = fixed.CACHE_TTL_SECONDS, capacity: int = fixed.CACHE_MAX_ITEMS,
-    expire: bool = False,
-) -> DataFrame:
-    """(cache, request_id, hit) of a stream of (cache, request_id, t, key)."""
-    ship_package(lookups.sparkSession)
-
-    def look_up(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names, expiry = state.get if state.exists else ([], [])
-        entries = OrderedDict(zip(names, expiry))
-        rows = _ordered(batches, ["t", "request_id"], state)
-        if rows is None:
-            return
-        hits = []
-        for now, name in zip(rows["t"], rows["key"]):
-            hits.append(entries.get(name, float("-inf")) >= now)
-            if not hits[-1]:
-                entries[name] = now + max(1.0, ttl)
-            entries.move_to_end(name)
-            if len(entries) > max(1, capacity):
-                entries.popitem(last=False)
-        state.update((list(entries), list(entries.values())))
-        _keep(state, int(max(1.0, ttl) * 1000), expire)
-        yield rows.assign(hit=hits)[["cache", "request_id", "hit"]]
-
-    return lookups.select("cache", "request_id", "t", "key").groupBy("cache").applyInPandasWithState(
-        look_up, "cache string, request_id long, hit boolean", "names array<string>, expiry array<double>", "append",
-        _timeout(expire),
-    )
-
-
 def session_stream(turns: DataFrame, expire: bool = False) -> DataFrame:
     """Latest session row per change, from a stream of (session_id, seq, t, question, style, summary, math_result)."""
     ship_package(turns.sparkSession)

@@ -1,6 +1,5 @@
 import random
 import statistics
-from collections import OrderedDict
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,50 +7,47 @@ from pyspark.sql import functions as F
 from corpusmill.operators import evaluation, service
 
 
-def test_rate_limit_matches_sequential_log(spark):
+def plain_log(data, limit, window):
+    want, logs = {}, {}
+    for u, t, i in sorted(data, key=lambda r: (r[1], r[2])):
+        log = logs[u] = [x for x in logs.get(u, []) if t - x < window]
+        want[i] = len(log) < limit
+        if want[i]:
+            log.append(t)
+    return want
+
+
+@pytest.mark.parametrize("limit, window, pieces", [(3, 20.0, 8), (1, 7.0, 16), (5, 400.0, 3), (2, 1.0, 1)])
+def test_rate_limit_matches_sequential_log(spark, limit, window, pieces):
     rng = random.Random(4)
-    rows = sorted((u, round(rng.uniform(0, 400), 2)) for u in ["hot"] * 160 + ["cold"] * 10 for _ in [0])
-    data = [(u, t, i) for i, (u, t) in enumerate(rows)]
-    df = spark.createDataFrame(data, "identity string, t double, request_id long")
-    got = {r.request_id: r.admitted for r in service.rate_limit(df, limit=3, window=20.0, segment_seconds=30.0).collect()}
-    want = {}
-    for user in ("hot", "cold"):
-        log = []
-        for u, t, i in data:
-            if u == user:
-                log = [x for x in log if t - x < 20.0]
-                want[i] = len(log) < 3
-                if want[i]:
-                    log.append(t)
+    users = ["hot"] * 300 + [f"cold{i % 9}" for i in range(60)] + [None] * 20
+    data = [(u, round(rng.uniform(0, 400), 1), i) for i, u in enumerate(users)]  # ties in time as well
+    df = spark.createDataFrame(data, "identity string, t double, request_id long").repartition(5)
+    got = {r.request_id: r.admitted for r in service.rate_limit(df, limit=limit, window=window, pieces=pieces).collect()}
+    want = plain_log(data, limit, window)
     assert got == want and not all(want.values())
 
 
+def test_only_pieces_that_began_wrong_are_done_again(spark, monkeypatch):
+    """Pauses longer than the window between the pieces: one pass is proven right."""
+    from corpusmill.operators import replay
+
+    data = [("u", 1000.0 * (i // 50) + i % 50, i) for i in range(400)]
+    df = spark.createDataFrame(data, "identity string, t double, request_id long")
+    starts, again = [], replay.json.loads
+    monkeypatch.setattr(replay.json, "loads", lambda x: starts.append(x) or again(x))
+    got = {r.request_id: r.admitted for r in service.rate_limit(df, limit=2, window=10.0, pieces=8).collect()}
+    assert got == plain_log(data, 2, 10.0)
+    assert sum(x.startswith("[") for x in starts) <= 16  # two passes at most, of which the second is over some pieces
+    assert service.rate_limit(df.limit(0)).count() == 0
+
+
 def test_entry_expires_exactly_at_the_window(spark):
     df = spark.createDataFrame([("u", 0.0, 1), ("u", 59.999, 2), ("u", 60.0, 3)], "identity string, t double, request_id long")
     got = {r.request_id: r.admitted for r in service.rate_limit(df, limit=1, window=60.0).collect()}
     assert got == {1: True, 2: False, 3: True}
 
 
-def test_cache_matches_sequential_cache(spark):
-    rng = random.Random(5)
-    data = [("c", float(i), i, f"k{rng.randrange(12)}") for i in range(200)]
-    df = spark.createDataFrame(data, "cache string, t double, request_id long, key string")
-    got = {r.request_id: r.hit for r in service.cache_replay(df, ttl=15.0, capacity=6, segment_seconds=25.0).collect()}
-    store, want = OrderedDict(), {}
-    for _, now, i, key in data:
-        if key in store and store[key] < now:
-            del store[key]
-        want[i] = key in store
-        if key in store:
-            store.move_to_end(key)
-        else:
-            store[key] = now + 15.0
-            store.move_to_end(key)
-            while len(store) > 6:
-                store.popitem(last=False)
-    assert got == want and any(want.values())
-
-
 @pytest.mark.parametrize("n", [1, 2, 20, 997])
 def test_percentile_rules(spark, n):
     values = [random.Random(n).choice([0.5, 1.0, 2.5]) * i for i in range(n)]

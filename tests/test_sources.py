@@ -217,12 +217,6 @@ def test_streaming_quota_of_late_days(spark, tmp_path):
     assert out == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False}
 
 
-def test_streaming_cache(spark, tmp_path):
-    df = spark.createDataFrame([("c", i, float(t), k) for i, (t, k) in enumerate([(0, "a"), (1, "a"), (2, "b"), (3, "c"), (4, "a"), (99, "c")])], "cache string, request_id long, t double, key string")
-    out = run_stream(spark, tmp_path, df, lambda s: stateful.cache_stream(s, 50.0, 2))
-    assert {r.request_id: r.hit for r in out} == {0: False, 1: True, 2: False, 3: False, 4: False, 5: False}
-
-
 def test_streaming_sessions(spark, tmp_path):
     df = spark.createDataFrame(
         [("s", 0, 1.0, "Câu đầu tiên?", "loud", None, None), ("s", 1, 2.0, "Tiếp", "concise", "tóm", "7")],
