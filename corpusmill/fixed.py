@@ -280,3 +280,15 @@ SOCIAL_REPLIES = [
 ]
 SOCIAL_WHO_WORDS = ["bạn là ai", "gioi thieu"]
 SOCIAL_OTHER = "Chào bạn! Mình ở đây để trò chuyện và hỗ trợ bạn. Bạn muốn hỏi về vấn đề gì?"
+
+# --- Replies to a change of style and to questions about the conversation (fixed texts) ---------------
+STYLE_CONFIRM_REQUEST = "Xác nhận đã đổi sang phong cách "
+STYLE_CONFIRM_WORD = "phong cách"
+STYLE_CONFIRMED = "Đã đổi sang phong cách "
+STYLE_CONFIRMED_END = ". Từ giờ mình sẽ trả lời theo phong cách này nhé. Bạn cần hỏi gì tiếp?"
+RECALL_REQUEST = " (Hãy trả lời dựa trên lịch sử hội thoại đã cung cấp, liệt kê chính xác các câu hỏi trước, đặc biệt là câu đầu tiên.)"
+RECALL_LACK = "không đủ nguồn"
+RECALL_LISTING = "Các câu hỏi bạn đã hỏi trong phiên này:\n"
+RECALL_FIRST = "\n\nCâu đầu tiên là: \""
+RECALL_NO_QUESTION = "Lịch sử hội thoại hiện tại trống, chưa có câu hỏi nào trước đó."
+RECALL_NO_HISTORY = "Chưa có lịch sử hội thoại để nhớ lại."

@@ -307,6 +307,26 @@ def social_reply(question: Column, about: str = fixed.SOCIAL_OTHER) -> Column:
     return reply.otherwise(F.lit(fixed.SOCIAL_OTHER))
 
 
+def style_reply(drafted: Column, style: Column) -> Column:
+    """A model's confirmation of a style, or the fixed one if it doesn't speak of a style."""
+    plain = F.concat(F.lit(fixed.STYLE_CONFIRMED), style, F.lit(fixed.STYLE_CONFIRMED_END))
+    return F.when(F.contains(F.lower(F.coalesce(drafted, F.lit(""))), F.lit(fixed.STYLE_CONFIRM_WORD)), drafted).otherwise(plain)
+
+
+def recall_reply(drafted: Column, history: Column) -> Column:
+    """A model's answer about the conversation, or the list of the user's questions if it found nothing."""
+    asked = F.transform(F.filter(history, lambda m: m["role"] == "user"), lambda m: F.coalesce(m["content"], F.lit("")))
+    listing = F.array_join(F.transform(asked, lambda q, i: F.concat((i + 1).cast("string"), F.lit(". "), q)), "\n")
+    told = F.concat(F.lit(fixed.RECALL_LISTING), listing, F.lit(fixed.RECALL_FIRST), F.get(asked, F.lit(0)), F.lit('"'))
+    fallback = (
+        F.when(F.coalesce(F.size(history), F.lit(0)) == 0, F.lit(fixed.RECALL_NO_HISTORY))
+        .when(F.size(asked) == 0, F.lit(fixed.RECALL_NO_QUESTION))
+        .otherwise(told)
+    )
+    said = F.coalesce(drafted, F.lit(""))
+    return F.when((said != "") & ~F.contains(F.lower(said), F.lit(fixed.RECALL_LACK)), drafted).otherwise(fallback)
+
+
 def route(
     question: Column, history: Column, math_kind: Column, parity: bool = False
 ) -> Column:

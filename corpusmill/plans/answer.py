@@ -67,6 +67,7 @@ def answer_questions(
 ) -> DataFrame:
     """(query_id, route, answer, reason, attempts) for every question.
 
+    A change of style is confirmed and a question about the conversation answered from its history, without retrieval.
     Questions routed to retrieval are answered from their context and checked; those that fail the
     check are asked again with a longer query, at most ``max_steps`` times (five at most), all of them together in
     one pass per step. A retry changes the query text only, never the access filter.
@@ -95,8 +96,19 @@ def answer_questions(
         F.array_join(F.transform("results", lambda r: F.concat_ws(" = ", r["expression"], r["result"])), "; ").alias("answer"),
         F.lit("ok").alias("reason"), F.lit(1).alias("attempts"),
     )
-    done = solved.unionByName(replied).unionByName(compared).unionByName(summed)
-    open_ = staged.where(F.col("route").isin("retrieve", "recall", "style"))
+    # Both are answered from the conversation alone; the model drafts, fixed texts stand in where it has nothing to say.
+    request = F.when(F.col("route") == "style", F.concat(F.lit(fixed.STYLE_CONFIRM_REQUEST), "style")).otherwise(
+        F.concat("question", F.lit(fixed.RECALL_REQUEST))
+    )
+    talk = staged.where(F.col("route").isin("style", "recall"))
+    bare = prompt.chat_messages(F.lit(system), F.array().cast("array<struct<text:string,filename:string>>"), request, F.col("history"))
+    drafted = talk.withColumn("_draft", guard.validate_output(generate(prompt.flat_prompt(bare))))
+    spoken = F.when(F.col("route") == "style", routing.style_reply(F.col("_draft"), F.col("style"))).otherwise(
+        routing.recall_reply(F.col("_draft"), F.col("history"))
+    )
+    recalled = drafted.select("query_id", "route", spoken.alias("answer"), F.lit("ok").alias("reason"), F.lit(1).alias("attempts"))
+    done = solved.unionByName(replied).unionByName(compared).unionByName(summed).unionByName(recalled)
+    open_ = staged.where(F.col("route") == "retrieve")
     for attempt in range(steps):
         asked = open_.withColumn("query", routing.retry_query(F.col("query"), F.col("question"), F.lit(attempt)))
         context = retrieve_context(asked, chunks, top_k, score, parity=parity, **search)

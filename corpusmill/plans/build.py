@@ -18,9 +18,19 @@ from corpusmill.sources import buckettable, store, vectortable
 Embedder = Callable[[Column], Column]
 
 
-def clean_corpus(spark: SparkSession, root: str, store_path: str, pages: DataFrame | None = None) -> None:
-    """Read every file below ``root`` and write its chunks to the store."""
-    store.save_chunks(build_chunks(file_source.load_records(spark, root, pages=pages)), store_path)
+def clean_corpus(spark: SparkSession, root: str, store_path: str, pages: DataFrame | None = None, dry_run: bool = False) -> DataFrame:
+    """Read every file below ``root`` and write its chunks to the store, unless it is a ``dry_run``.
+
+    Returns (path, chunks, error) of every file: its number of chunks, or why it has none.
+    """
+    records, failures = file_source.read_corpus(spark, root, pages=pages)
+    chunks = build_chunks(records)
+    if not dry_run:
+        store.save_chunks(chunks, store_path)
+        chunks = store.load_chunks(spark, store_path)
+    done = chunks.groupBy(F.col("source").alias("path")).agg(F.count(F.lit(1)).alias("chunks"))
+    failed = failures.select("path", F.lit(0).cast("long").alias("chunks"), "error")
+    return done.withColumn("error", F.lit(None).cast("string")).unionByName(failed)
 
 
 def file_times(spark: SparkSession, root: str) -> DataFrame:

@@ -93,7 +93,7 @@ def session_state(spark, folder):
         F.col("turn").cast("double").alias("t"),
         F.when(F.col("role") == "user", F.col("text")).alias("question"),
         F.when(F.col("turn") % 3 == 0, "concise").when(F.col("turn") % 3 == 1, "loud").alias("style"),
-        F.when(F.col("role") == "system", F.substring("text", 1, 20)).alias("summary"),
+        F.when(F.col("role") == "system", F.col("text")).alias("summary"),
         F.when(F.col("turn") % 4 == 2, F.col("turn").cast("string")).alias("math_result"),
     )
     return service.session_state(turns)
@@ -258,7 +258,7 @@ SELECT session_id, CASE WHEN expired THEN 'expired'
     "session_state": """
 SELECT conv_id AS session_id,
   arg_min(left(trim(text), 50), turn) FILTER (role = 'user' AND trim(text) <> '') AS title,
-  arg_max(left(text, 20), turn) FILTER (role = 'system') AS summary,
+  arg_max(text, turn) FILTER (role = 'system') AS summary,
   CASE WHEN count(*) FILTER (turn % 3 = 0) > 0 THEN 'concise' ELSE 'formal' END AS style,
   arg_max(turn::VARCHAR, turn) FILTER (turn % 4 = 2) AS last_math_result,
   min(turn)::DOUBLE AS created_at, max(turn)::DOUBLE AS updated_at, least(count(*) * 2, 100) AS messages

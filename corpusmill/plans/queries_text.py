@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill import fixed
 from corpusmill.functions import calc, guard, prompt, routing
 from corpusmill.functions.text import visual_type
+from corpusmill.plans.queries_retrieval import BM25_GLOBAL, lexical_topk
 from corpusmill.plans.tables import documents, messages, table
 from corpusmill.operators import service
 from corpusmill.operators.bm25 import rank_within
@@ -151,15 +152,14 @@ def picture_type(spark, folder):
 
 
 def prompt_context(spark, folder):
-    """One prompt per conversation; its first ten messages are the passages, named after their role.
-
-    Ten is the most passages a prompt takes, so the collected list is bounded.
-    """
-    entry = F.struct("turn", F.struct("text", F.col("role").alias("filename")).alias("d"))
-    top = rank_within(messages(spark, folder), 10, ["conv_id"], [F.asc("turn")])
-    docs = top.groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    """One prompt per question, from its five best documents."""
+    top = lexical_topk(spark, folder, 5).select("query_id", "doc_id", "rank")
+    entry = F.struct("rank", F.struct("text", F.col("source").alias("filename")).alias("d"))
+    docs = documents(spark, folder).select("doc_id", "text", "source").join(top, "doc_id").groupBy("query_id").agg(
+        F.array_sort(F.collect_list(entry)).alias("e")
+    )
     block = prompt.context_block(F.transform("e", lambda x: x["d"]))
-    return docs.select("conv_id", _md5(block).alias("md5"), F.length(block).cast("long").alias("chars"))
+    return docs.select("query_id", _md5(block).alias("md5"), F.length(block).cast("long").alias("chars"))
 
 
 def prompt_messages(spark, folder):
@@ -422,11 +422,11 @@ SELECT conv_id, turn, CASE WHEN s = '' THEN 'empty' WHEN n < 8 AND NOT hist THEN
     "picture_type": """
 SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'biểu đồ|bieu do|chart|graph|sơ đồ|so do') THEN 'chart_or_diagram'
   WHEN regexp_matches(lower(text), 'hình|ảnh|figure|minh họa|minh hoa') THEN 'illustration' ELSE 'image' END AS kind FROM documents""",
-    "prompt_context": """
-WITH p AS (SELECT conv_id, turn, '[' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || '] ' || left(text, 3000) || ' (Nguồn: ' || role || ')' AS p FROM conversations
-  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 10),
-b AS (SELECT conv_id, string_agg(p, E'\\n\\n' ORDER BY turn) AS b FROM p GROUP BY 1)
-SELECT conv_id, md5(b) AS md5, length(b) AS chars FROM b""",
+    "prompt_context": BM25_GLOBAL + """,
+top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 5),
+p AS (SELECT query_id, rank, '[' || rank || '] ' || left(text, 3000) || ' (Nguồn: ' || source || ')' AS p FROM top JOIN documents USING (doc_id)),
+b AS (SELECT query_id, string_agg(p, E'\\n\\n' ORDER BY rank) AS b FROM p GROUP BY 1)
+SELECT query_id, md5(b) AS md5, length(b) AS chars FROM b""",
     "self_check": """
 WITH p AS (SELECT a.conv_id, a.turn, trim(a.text, E' \\n\\t\\r') AS a, lower(a.text) AS ctx,
     list_filter(regexp_split_to_array(lower(b.text), '[^\\p{L}\\p{N}_]+'), lambda w: length(w) > 4)[1:4] AS ws

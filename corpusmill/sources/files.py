@@ -151,20 +151,44 @@ def extracted_records(files: DataFrame, extractor: Extractor, suffixes: list[str
     return result.where(F.col("error").isNull()).drop("error"), result.where(F.col("error").isNotNull()).select("path", "error")
 
 
-def load_records(
+def read_corpus(
     spark: SparkSession, root: str, suffixes: list[str] = fixed.CORPUS_SUFFIXES, pages: DataFrame | None = None
-) -> DataFrame:
-    """All records below ``root`` with source, category and file name.
+) -> tuple[DataFrame, DataFrame]:
+    """(records, failures) of every file below ``root``: records with source, category and file name; failures with path and error.
 
-    ``pages`` holds (path, page content as in schema.PAGE) for PDF files, from the caller's library.
+    ``pages`` holds (path, page content as in schema.PAGE) for PDF files, from the caller's library. A PDF file without a
+    page there is a failure, and so is a file that cannot be read or gives no record; no file goes without trace.
     """
     files = scan_files(spark, root, suffixes)
-    records = text_records(files).unionByName(extracted_records(files, read_docx, [".docx"])[0])
+    docx, broken = extracted_records(files, read_docx, [".docx"])
+    records = text_records(files).unionByName(docx)
+    known = ["path", "error"]
     if pages is not None:
         records = records.unionByName(page_records(pages))
+        unread = files.select("path").where(suffix(F.col("path")) == ".pdf").join(
+            pages.select(posix_path(F.col("path")).alias("_p")).distinct(), F.regexp_replace(posix_path(F.col("path")), "^[a-z]+:/+", "/")
+            == F.regexp_replace("_p", "^[a-z]+:/+", "/"), "left_anti",
+        )
+    else:
+        unread = files.select("path").where(suffix(F.col("path")) == ".pdf")
+    silent = files.select("path").where(suffix(F.col("path")) != ".pdf").join(records.select("path").distinct(), "path", "left_anti").join(
+        broken.select("path"), "path", "left_anti"
+    )
+    failures = (
+        broken.select(*known)
+        .unionByName(unread.withColumn("error", F.lit("no page content given")))
+        .unionByName(silent.withColumn("error", F.lit("no text")))
+    )
     return records.select(
         *[c.alias(n) for n, c in path_columns(F.col("path"), root).items()], *[f.name for f in schema.EXTRACTED.fields]
-    )
+    ), failures
+
+
+def load_records(
+    spark: SparkSession, root: str, suffixes: list[str] = fixed.CORPUS_SUFFIXES, pages: DataFrame | None = None
+) -> DataFrame:
+    """The records of ``read_corpus`` alone."""
+    return read_corpus(spark, root, suffixes, pages)[0]
 
 
 def reading_order(blocks: Column, page_width: Column) -> Column:

@@ -38,3 +38,15 @@ def test_no_question_is_lost_beyond_the_step_limit(spark):
     q = spark.createDataFrame([(1, "Điều kiện xét học bổng loại giỏi?", None, [1.0, 0.0])], SCHEMA)
     out = answer.answer_questions(q, chunks(spark), lambda p: F.rpad(F.lit("x"), 400, "x"), "sys", max_steps=7).collect()
     assert [(r.reason, r.attempts) for r in out] == [("missing_citation", 5)]
+
+
+def test_style_and_recall_are_answered_from_the_conversation(spark):
+    history = [{"role": "user", "content": "Học phí bao nhiêu?"}, {"role": "assistant", "content": "Không rõ."}, {"role": "user", "content": "Khi nào nghỉ lễ?"}]
+    q = spark.createDataFrame(
+        [(1, "trả lời ngắn gọn", None, [1.0, 0.0]), (2, "câu hỏi đầu tiên của tôi là gì", history, [1.0, 0.0])], SCHEMA)
+    out = {r.query_id: r for r in answer.answer_questions(q, chunks(spark), lambda p: F.lit("Không đủ nguồn"), "sys").collect()}
+    assert out[1].route == "style" and out[1].answer.startswith("Đã đổi sang phong cách concise.")
+    assert out[2].route == "recall"
+    assert out[2].answer == 'Các câu hỏi bạn đã hỏi trong phiên này:\n1. Học phí bao nhiêu?\n2. Khi nào nghỉ lễ?\n\nCâu đầu tiên là: "Học phí bao nhiêu?"'
+    said = {r.query_id: r.answer for r in answer.answer_questions(q, chunks(spark), lambda p: F.lit("Phong cách mới đây"), "sys").collect()}
+    assert said == {1: "Phong cách mới đây", 2: "Phong cách mới đây"}

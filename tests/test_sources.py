@@ -54,6 +54,18 @@ def test_bad_file_is_reported_alone(spark, corpus):
     assert good.count() == 2 and [r.path.endswith("bad.docx") for r in bad.collect()] == [True]
 
 
+def test_no_file_goes_without_trace(spark, corpus, tmp_path):
+    import pathlib
+
+    root = pathlib.Path(corpus)
+    (root / "quy_che" / "scan.pdf").write_bytes(b"%PDF")
+    told = {r.path.rsplit("/", 1)[-1]: r.error for r in files.read_corpus(spark, corpus)[1].collect()}
+    assert set(told) == {"bad.docx", "scan.pdf", "blank.txt"} and told["bad.docx"].startswith("BadZipFile")
+    counts = {r.path.rsplit("/", 1)[-1]: (r.chunks > 0, r.error is None) for r in build.clean_corpus(spark, corpus, str(tmp_path / "none"), dry_run=True).collect()}
+    assert counts == {n: (True, True) for n in ("a.TXT", "old.txt", "b.docx")} | {n: (False, False) for n in told}
+    assert not (tmp_path / "none").exists()
+
+
 def test_page_rules(spark):
     def block(x0, y0, x1, text, kind=0):
         return {"x0": float(x0), "y0": float(y0), "x1": float(x1), "text": text, "block_type": kind}
