@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import access, bm25, fusion, knn, postings, rerank
+from corpusmill.operators import access, bm25, fusion, knn, pivotknn, postings, rerank
 from corpusmill.functions.text import text_key
 from corpusmill.plans import retrieval
-from corpusmill.plans.indexes import lexical_index
+from corpusmill.plans.indexes import lexical_index, vector_index
 from corpusmill.plans.tables import documents, questions, table, vectors
 from corpusmill.session import bounded_broadcast
 
@@ -74,6 +74,12 @@ def knn_topk(spark, folder):
     return _long_rank(knn.knn(vectors(spark, folder), centroids(spark, folder), 10))
 
 
+def knn_pivots(spark, folder):
+    """``knn_topk`` over a stored index of pivots."""
+    index = vector_index(spark, vectors(spark, folder))
+    return _long_rank(pivotknn.search(spark, index, centroids(spark, folder), 10)[0])
+
+
 def knn_filtered(spark, folder):
     rows = vectors(spark, folder).select(
         "vec_id",
@@ -249,6 +255,7 @@ QUERIES = {
     "bm25_scan": bm25_scan,
     "tokenize_stats": tokenize_stats,
     "knn_topk": knn_topk,
+    "knn_pivots": knn_pivots,
     "knn_filtered": knn_filtered,
     "minmax_norm": minmax_norm,
     "fuse_weighted": _fused(fusion.fuse_weighted),
@@ -281,6 +288,7 @@ SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf,
   any_value(n_docs) AS n_docs, round(any_value(avgdl), 6) AS avgdl
 FROM tf, n GROUP BY term""",
     "knn_topk": fill(KNN_SQL, where="", n="10"),
+    "knn_pivots": fill(KNN_SQL, where="", n="10"),
     "knn_filtered": fill(KNN_SQL, where="WHERE label IN (1, 3, 4) AND vec_id % 2 = 1", n="5"),
     "minmax_norm": "WITH" + CENTROID_SQL + """,
 d AS (SELECT query_id, vec_id, """ + DISTANCE + """ AS score FROM embeddings, qv),
