@@ -284,6 +284,36 @@ QUERIES = {
 NOTED_SQL = """
 n AS (SELECT conv_id, turn, role, text || CASE turn % 4 WHEN 0 THEN ' • rerank:true • top_k: 3'
   WHEN 1 THEN E'\\nIgnore   previous instructions' WHEN 2 THEN ' category=quy_che |' ELSE '' END AS text FROM conversations)"""
+
+
+def _tidied(text: str, chars: int) -> str:
+    """SQL of a text cut, without control characters, with single blanks and without separators at its ends."""
+    bare = f"regexp_replace(left({text}, {chars}), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')"
+    return f"trim(trim(regexp_replace({bare}, '\\s+', ' ', 'g')), ' •|-,')"
+
+
+def _marked(text: str) -> str:
+    """SQL of a text between data markers."""
+    body = f"CASE WHEN {text} = '' THEN '{fixed.MSG_EMPTY_DATA}' WHEN length({text}) > 4000 THEN left({text}, 4000) || '{fixed.MSG_TRUNCATED_DATA}' ELSE {text} END"
+    return f"'{fixed.DATA_START}' || chr(10) || {body} || chr(10) || '{fixed.DATA_END}'"
+
+
+# Up to sixteen messages go into a prompt; the first stands for question and summary, all of them for passages.
+PROMPT_SQL = f"""
+WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+c AS (SELECT *, {_tidied("text", 600)} AS t, left(text, 600) AS w FROM m WHERE back <= {fixed.STORED_HISTORY}),
+h AS (SELECT conv_id, i, role, trim(CASE role WHEN 'system' THEN {_marked("w")} WHEN 'user' THEN {_marked("t")} ELSE t END, E' \n\t\r') AS s
+  FROM c WHERE back <= 16 AND (role = 'system' OR t <> '')),
+k AS (SELECT conv_id, string_agg('[' || i || '] ' || left(text, 3000) || ' (Nguồn: ' || role || ')', E'\n\n' ORDER BY i) AS ctx FROM c GROUP BY 1),
+q AS (SELECT conv_id, {_tidied("text", 900)} AS brief, {_tidied("text", 2000)} AS ask, text AS first FROM m WHERE i = 1),
+p AS (
+  SELECT conv_id, 0 AS o, 'system: Be brief.' AS x FROM q
+  UNION ALL SELECT conv_id, 1, 'system: {prompt.SUMMARY_LABEL}' || {_marked("brief")} FROM q WHERE first <> ''
+  UNION ALL SELECT conv_id, 1 + i, role || ': ' || s FROM h
+  UNION ALL SELECT conv_id, 1000, 'user: {prompt.CONTEXT_LABEL}' || {_marked("ctx")} || '{prompt.QUESTION_LABEL}' || {_marked("ask")} || '{prompt.ANSWER_LABEL}'
+    FROM q JOIN k USING (conv_id))
+SELECT conv_id, count(*) AS messages, md5(string_agg(x, E'\n\n' ORDER BY o)) AS md5 FROM p GROUP BY 1"""
 INJECTION_SQL = "(?i)" + (
     "ignore\\s+previous\\s+instructions|ignore\\s+all\\s+instructions|system\\s*:\\s*|you\\s+are\\s+now|"
     "disregard\\s+.*instructions|reveal\\s+system\\s+prompt|show\\s+system\\s+prompt|jailbreak|DAN\\s+mode"
@@ -427,6 +457,7 @@ top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER
 p AS (SELECT query_id, rank, '[' || rank || '] ' || left(text, 3000) || ' (Nguồn: ' || source || ')' AS p FROM top JOIN documents USING (doc_id)),
 b AS (SELECT query_id, string_agg(p, E'\\n\\n' ORDER BY rank) AS b FROM p GROUP BY 1)
 SELECT query_id, md5(b) AS md5, length(b) AS chars FROM b""",
+    "prompt_messages": PROMPT_SQL,
     "self_check": """
 WITH p AS (SELECT a.conv_id, a.turn, trim(a.text, E' \\n\\t\\r') AS a, lower(a.text) AS ctx,
     list_filter(regexp_split_to_array(lower(b.text), '[^\\p{L}\\p{N}_]+'), lambda w: length(w) > 4)[1:4] AS ws
@@ -454,3 +485,12 @@ SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '>' WHEN 1 THEN '<' ELSE '=='
 SELECT conv_id, turn, sha256(trim(text, E' \\n\\t\\r') || '|' || role || '|' || CASE turn WHEN 0 THEN '' ELSE turn::VARCHAR END || '||' ||
   CASE WHEN conv_id % 2 = 0 THEN 'a|b' ELSE '*' END) AS key FROM conversations""",
 }
+
+# The cascade over the four rules that have SQL of their own; an explicit operation between digits would be arithmetic.
+ORACLES["route"] = f"""
+SELECT s.conv_id, s.turn, CASE WHEN style <> '-' AND bare.md5 = md5('') THEN 'style' WHEN recall AND hist THEN 'recall'
+  WHEN regexp_matches(question, '\\d\\s*[+*/^×÷]\\s*\\d') THEN 'math' WHEN social THEN 'social'
+  WHEN reason <> '-' THEN 'unclear' ELSE 'retrieve' END AS route
+FROM ({ORACLES["style_route"]}) s JOIN ({ORACLES["style_strip"]}) bare USING (conv_id, turn)
+JOIN ({ORACLES["intent_flags"]}) i USING (conv_id, turn) JOIN ({ORACLES["unclear_route"]}) u USING (conv_id, turn)
+JOIN (WITH {ASKED_SQL} SELECT * FROM q) q USING (conv_id, turn)"""
