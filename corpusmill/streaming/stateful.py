@@ -18,8 +18,8 @@ from corpusmill import fixed
 from corpusmill.session import ship_package
 
 
-#: Days whose quota a user's state remembers; requests of older days are refused.
-KEPT_DAYS = 40
+#: Days after which the state of a user without requests goes, with ``expire`` and no number of days given.
+IDLE_DAYS = 40
 
 
 def _ordered(batches: Iterator[pd.DataFrame], order: list[str], state: GroupState) -> pd.DataFrame | None:
@@ -69,8 +69,14 @@ def rate_limit_stream(
     )
 
 
-def daily_quota_stream(requests: DataFrame, limit: int = fixed.CHAT_DAILY_LIMIT, expire: bool = False) -> DataFrame:
-    """(user, request_id, day, admitted) of a stream of (user, request_id, day); ``day`` is a date text."""
+def daily_quota_stream(
+    requests: DataFrame, limit: int = fixed.CHAT_DAILY_LIMIT, expire: bool = False, kept_days: int | None = None
+) -> DataFrame:
+    """(user, request_id, day, admitted) of a stream of (user, request_id, day); ``day`` is a date text.
+
+    Every day's count is kept, one small entry per user and day, so late requests are judged as in the batch form. With
+    ``kept_days`` only the latest days of a user are, and requests of a day before these are refused.
+    """
     ship_package(requests.sparkSession)
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -82,14 +88,14 @@ def daily_quota_stream(requests: DataFrame, limit: int = fixed.CHAT_DAILY_LIMIT,
         verdicts = []
         for day in rows["day"]:
             # A day that fell out of the state had its quota once; nothing of it can be admitted any more.
-            forgotten = len(used) >= KEPT_DAYS and day not in used and day < min(used)
+            forgotten = kept_days is not None and len(used) >= kept_days and day not in used and day < min(used)
             verdicts.append(not forgotten and used.get(day, 0) < limit)
             if not forgotten:
                 used[day] = used.get(day, 0) + int(verdicts[-1])
-            if len(used) > KEPT_DAYS:
+            if kept_days is not None and len(used) > kept_days:
                 del used[min(used)]
         state.update((list(used), list(used.values())))
-        _keep(state, KEPT_DAYS * 86_400_000, expire)
+        _keep(state, (kept_days or IDLE_DAYS) * 86_400_000, expire)
         yield rows.assign(admitted=verdicts)[["user", "request_id", "day", "admitted"]]
 
     return requests.select("user", "request_id", "day").groupBy("user").applyInPandasWithState(

@@ -229,6 +229,25 @@ def test_streaming_quota_of_late_days(spark, tmp_path):
     assert out == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False}
 
 
+def test_streaming_quota_equals_the_batch_form_on_old_days(spark, tmp_path):
+    from corpusmill.operators import service
+
+    days = [f"2024-{1 + i // 28:02d}-{1 + i % 28:02d}" for i in range(60)]
+    asked = [("u", 3 * i + k, d) for i, d in enumerate(days) for k in range(3)]
+    late = [("u", 1000 + i, d) for i, d in enumerate(days[:5])] + [("u", 2000, "2023-12-31")]
+    schema_, source, folder = "user string, request_id long, day string", str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in (asked, late):
+        spark.createDataFrame(rows, schema_).coalesce(1).write.mode("append").parquet(source)
+        stream = stateful.daily_quota_stream(spark.readStream.schema(schema_).parquet(source), 2)
+        query = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", str(tmp_path / "ck"))
+        query.outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    out = {r.request_id for r in spark.read.parquet(folder).where("admitted").collect()}
+    batch = spark.createDataFrame(asked + late, schema_).withColumn("ts", F.col("day").cast("timestamp"))
+    assert out == {r.request_id for r in service.admitted_requests(batch, 2).collect()}
+    few = run_stream(spark, tmp_path / "few", spark.createDataFrame(asked, schema_).coalesce(1), lambda s: stateful.daily_quota_stream(s, 2, kept_days=3))
+    assert sum(r.admitted for r in few) == 120
+
+
 def test_streaming_sessions(spark, tmp_path):
     df = spark.createDataFrame(
         [("s", 0, 1.0, "Câu đầu tiên?", "loud", None, None), ("s", 1, 2.0, "Tiếp", "concise", "tóm", "7")],
