@@ -74,6 +74,11 @@ def knn_topk(spark, folder):
     return _long_rank(knn.knn(vectors(spark, folder), centroids(spark, folder), 10))
 
 
+def knn_replicated(spark, folder):
+    """``knn_topk`` by the join of fragments with blocks that batches beyond the broadcast bound take."""
+    return _long_rank(knn.knn(vectors(spark, folder), centroids(spark, folder), 10, max_floats=1, fragment_rows=500, block_rows=4))
+
+
 def knn_pivots(spark, folder):
     """``knn_topk`` over a stored index of pivots."""
     index = vector_index(spark, vectors(spark, folder))
@@ -256,6 +261,7 @@ QUERIES = {
     "tokenize_stats": tokenize_stats,
     "knn_topk": knn_topk,
     "knn_pivots": knn_pivots,
+    "knn_replicated": knn_replicated,
     "knn_filtered": knn_filtered,
     "minmax_norm": minmax_norm,
     "fuse_weighted": _fused(fusion.fuse_weighted),
@@ -289,6 +295,7 @@ SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf,
 FROM tf, n GROUP BY term""",
     "knn_topk": fill(KNN_SQL, where="", n="10"),
     "knn_pivots": fill(KNN_SQL, where="", n="10"),
+    "knn_replicated": fill(KNN_SQL, where="", n="10"),
     "knn_filtered": fill(KNN_SQL, where="WHERE label IN (1, 3, 4) AND vec_id % 2 = 1", n="5"),
     "minmax_norm": "WITH" + CENTROID_SQL + """,
 d AS (SELECT query_id, vec_id, """ + DISTANCE + """ AS score FROM embeddings, qv),
