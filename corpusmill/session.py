@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once, compressed, below the checkpoint folder and read it back; the files go when the session ends."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate; runs no job."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()

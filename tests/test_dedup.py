@@ -80,6 +80,19 @@ def test_segments_give_the_sequential_result(spark):
     assert got == want
 
 
+def test_few_segments_are_replayed(spark, monkeypatch):
+    """Four times the same texts: after the first time nearly all are copies, so states reach far back."""
+    texts = noisy_texts(120, 5) * 4
+    df = spark.createDataFrame([("hot", i, t) for i, t in enumerate(texts)], "g string, pos long, text string")
+    tables, stored = [], dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda rows: tables.append(stored(rows)) or tables[-1])
+    got = sorted(r.pos for r in dedup.fuzzy_dedup(df, ["g"], "pos", gate=400, segment_rows=12).collect())
+    assert got == sequential(texts, 400)
+    assert len(tables) <= 36  # three of a round: 11 rounds, where each of the 40 segments could need its own
+    assert {r.g: r["count"] for r in tables[0].groupBy("g").count().collect()} == {"hot": len(texts)}  # texts are stored once
+    assert all("_n" not in t.columns for t in tables[1:])
+
+
 def test_exact_dedup_keeps_first_of_many_copies(spark):
     df = spark.createDataFrame([(i, "Same, text!" if i % 3 else f"own {i}") for i in range(60)] + [(99, " !")], "id long, text string")
     kept = sorted(r.id for r in dedup.exact_dedup(df, "id").collect())
