@@ -67,8 +67,11 @@ def _last_of(text: Column, marks: list[str]) -> Column:
     return F.greatest(*[last(m) for m in marks])
 
 
-def validate_output(answer: Column, max_len: int = fixed.MAX_ANSWER_CHARS) -> Column:
-    """Checked answer text: bounded, without leaked instructions, echoes of attacks or scripts."""
+def validate_output(answer: Column, max_len: int = fixed.MAX_ANSWER_CHARS, refuse: bool = True) -> Column:
+    """Checked answer text: bounded, without leaked instructions, echoes of attacks or scripts.
+
+    An answer that is hardly more than a leak is refused as a whole; without ``refuse`` its leak is hidden like any other.
+    """
 
     def shorten(a: Column) -> Column:
         cut = F.substring(a, 1, max_len)
@@ -84,7 +87,8 @@ def validate_output(answer: Column, max_len: int = fixed.MAX_ANSWER_CHARS) -> Co
         mostly = (found > F.length(a) * 0.5) & (F.length(a) < 500)
         bare = F.length(strip(hidden)) < 20
         blocked = bare & (mostly | (found > 100))
-        return F.when(found == 0, a).when(blocked, F.lit(fixed.MSG_NO_SYSTEM)).otherwise(hidden)
+        shown = F.when(blocked, F.lit(fixed.MSG_NO_SYSTEM)).otherwise(hidden) if refuse else hidden
+        return F.when(found == 0, a).otherwise(shown)
 
     def finish(a: Column) -> Column:
         clean = F.replace(F.replace(a, F.lit(fixed.DATA_START), F.lit("")), F.lit(fixed.DATA_END), F.lit(""))

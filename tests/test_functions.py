@@ -1,8 +1,10 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill import fixed
 from corpusmill.functions import calc, guard, prompt, routing, vector
+from corpusmill.plans import queries_text
 
 
 def one(spark, value, build):
@@ -36,6 +38,15 @@ def test_output_guard(spark, answer, want):
     assert one(spark, answer, lambda c: guard.validate_output(c, 1000)) == want.strip()
 
 
+def test_output_guard_equals_its_sql_on_short_texts(spark, tmp_path):
+    rows = [(1, "A."), (6, "Éaux."), (3, "A."), (5, "A."), (7, "x"), (11, "Longer than a word, and not refused.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in queries_text.output_guard(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(queries_text.ORACLES["output_guard"]).fetchall())
+
+
 def test_request_checks(spark):
     df = spark.createDataFrame(
         [("", 5, None, None), ("x" * 2001, 5, None, None), ("ok", 11, None, None), ("ok", 5, "uploaded", None), ("ok", 5, "quy_che", "formal")],
