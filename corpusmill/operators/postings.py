@@ -1,7 +1,7 @@
 """BM25 over a stored postings table, with score bounds.
 
 Index. Documents are numbered in order of their scope and id and cut into blocks. The postings table has
-one row per (scope, term, block): positions in the block, the part of the score each document gets for
+one row per (scope, term, block), or several with different documents: positions in the block, the part of the score each document gets for
 the term (before the term's weight), and the largest of these parts, the peak. Peaks alone, a column that parquet
 reads without the arrays, bound what a query can score in a block: the sum of weight times peak.
 
@@ -9,12 +9,12 @@ Search, for a batch of queries:
 
 1. bounds per (query, block), from peaks;
 2. the few blocks with the highest bounds are scored; the k-th best score found is the query's threshold;
-3. only blocks whose bound reaches the threshold are fetched. In a task the blocks of a query come by falling bound
-   and the threshold rises with every block; within a block, terms come by falling bound, and once the terms that are
+3. only blocks whose bound reaches the threshold are fetched. A block's postings travel once and meet all queries that
+   ask for it; terms come by falling bound, and once the terms that are
    left cannot lift a new document to the threshold, they are added to documents already met only. Words that stand
    in most documents come last, so they make no row or score of their own.
 
-Only the k best of each piece of a query's blocks leave a task. Results equal ``bm25.bm25_topk``.
+Only the k best of each query and block leave a task. Results equal ``bm25.bm25_topk``.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,8 +37,10 @@ from corpusmill.session import bounded_broadcast, ensure_checkpoint_dir, ship_pa
 BLOCK_BITS = 12
 #: Files of the postings table by hash of the term, so that a small batch of queries opens few of them.
 BUCKETS = 32
-#: Blocks scored first, and pieces into which the other blocks of a query are dealt.
-HEAD, PIECES = 4, 16
+#: Blocks scored first.
+HEAD = 4
+#: Tokens of documents whose postings are made at once.
+LOT = 4_000_000
 #: Rounding of scores, and the slack under which a bound still counts as reaching a threshold.
 DIGITS, SLACK = 6, 1e-5
 
@@ -68,23 +71,71 @@ def build_index(
     numbered.write.parquet(f"{folder}/documents")
     numbered = spark.read.parquet(f"{folder}/documents")
     means = _statistics(numbered, scope)
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    tf = numbered.select("at", "dl", *scope, F.explode("tokens").alias("term")).groupBy("at", "dl", *scope, "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
-    impact = F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
-    scored = _with(tf, means, scope).select(
-        *scope, "term", F.shiftright("at", bits).alias("block"),
-        F.struct((F.col("at") % (1 << bits)).cast("int").alias("pos"), impact.alias("impact")).alias("p"),
-    )
-    entries = F.array_sort(F.collect_list("p"))
-    blocks = scored.groupBy(*scope, "term", "block").agg(entries.alias("p")).select(
-        *scope, "term", "block", F.size("p").alias("n"), F.col("p.pos").alias("positions"), F.col("p.impact").alias("impacts"),
-        F.array_max("p.impact").alias("peak"), F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"),
-    )
-    blocks.repartitionByRange(parts, "bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy(
-        "bucket"
-    ).parquet(f"{folder}/postings")
+    ship_package(spark)
+    # Documents lie in order of their blocks, so a block's postings are made where it is read; only they are shuffled.
+    kinds = [f for f in numbered.schema.fields if f.name in scope]
+    made = T.StructType([*kinds, *(f for f in _POSTING.fields if f.name != "bucket")])
+    blocks = _with(numbered, means, scope).select("at", "dl", "avgdl", "tokens", *scope).mapInArrow(_inverter(made, len(scope), k1, b, bits), made)
+    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    share = F.pmod(F.col("block"), F.lit(max(1, 4 * parts // BUCKETS)))
+    blocks.repartition(parts, "bucket", share).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
+
+
+def _inverter(made: T.StructType, n_scope: int, k1: float, b: float, bits: int):
+    """Arrow step: documents (at, dl, avgdl, tokens, scope) in order to postings, block by block and ``LOT`` tokens at a time.
+
+    A block that is cut by the end of a lot or of a task has several rows of a term, with different documents.
+    """
+    names = made.names
+
+    def inverted(part: pa.RecordBatch) -> pa.RecordBatch:
+        at, dl = part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.float64)
+        norm = k1 * ((1.0 - b) + b * dl / part.column(2).to_numpy())
+        sizes = part.column(3).value_lengths().to_numpy(zero_copy_only=False)
+        words = part.column(3).flatten().dictionary_encode()
+        code = words.indices.to_numpy().astype(np.int64)
+        key, tf = np.unique(code * len(at) + np.repeat(np.arange(len(at)), sizes), return_counts=True)
+        term, doc = np.divmod(key, len(at))
+        impact = tf * (k1 + 1.0) / (tf + norm[doc])
+        first = np.flatnonzero(np.diff(term, prepend=-1))
+        ends = pa.array(np.append(first, len(term)).astype(np.int32))
+        n, every = np.diff(np.append(first, len(term))).astype(np.int32), len(first)
+        scope = [part.column(4 + i).take(pa.array(np.zeros(every, np.int64))) for i in range(n_scope)]
+        cols = [
+            *scope, words.dictionary.take(pa.array(term[first])), pa.array(np.full(every, at[0] >> bits)), pa.array(n),
+            pa.ListArray.from_arrays(ends, pa.array((at[doc] % (1 << bits)).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(impact)),
+            pa.array(np.maximum.reduceat(impact, first)),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now, words = None, 0
+        for batch in batches:
+            marks = list(zip((batch.column(0).to_numpy() >> bits).tolist(), *(batch.column(4 + i).to_pylist() for i in range(n_scope))))
+            total = np.cumsum(batch.column(1).to_numpy().astype(np.int64))
+            cuts = [0]
+            for i in range(1, len(marks)):
+                if marks[i] != marks[i - 1] or total[i] - total[cuts[-1]] > LOT:
+                    cuts.append(i)
+            for start, end in zip(cuts, [*cuts[1:], len(marks)]):
+                if start == end:
+                    continue
+                if held and (marks[start] != now or words > LOT):
+                    yield from made_of(held)
+                    held, words = [], 0
+                now = marks[start]
+                held.append(batch.slice(start, end - start))
+                words += int(total[end - 1] - (total[start - 1] if start else 0))
+        yield from made_of(held)
+
+    def made_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held:
+            part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            if len(part.column(3).flatten()):
+                yield inverted(part)
+
+    return run
 
 
 def _with(rows: DataFrame, means: DataFrame, scope: list[str]) -> DataFrame:
@@ -127,64 +178,34 @@ def block_bounds(weights: DataFrame, postings: DataFrame, queries: DataFrame, sc
 
 
 def _scored(pairs: DataFrame, weights: DataFrame, postings: DataFrame, scope: list[str], k: int, bits: int) -> DataFrame:
-    """The best ``k`` of each (query, scope, piece) of ``pairs`` (query_id, scope, block, bound, floor): query_id, scope, at, score."""
+    """The best ``k`` of each of ``pairs`` (query_id, scope, block, floor): query_id, scope, at, score.
+
+    A block's postings travel once and meet all its queries in one task, whatever their number is.
+    """
     spark = pairs.sparkSession
     ship_package(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = (
-        pairs.join(weights, ["query_id", *scope]).join(postings.drop("bucket", "n"), [*scope, "term", "block"])
-        .select(
-            "query_id", *scope, F.pmod(F.xxhash64("block"), F.lit(PIECES)).alias("piece"), "bound", "block", (F.col("weight") * F.col("peak")).alias("most"),
-            "weight", "floor", "positions", "impacts",
-        )
-    )
-    keys = ["query_id", *scope, "piece"]
-    rows = rows.repartition(parts, *keys).sortWithinPartitions(*keys, F.desc("bound"), "block", F.desc("most"))
-    fields = rows.schema
-    n_keys = len(keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(k, bits)
-        key = block = None
-        held: list[tuple] = []
-
-        def out() -> pa.RecordBatch:
-            at, score = best.take()
-            cols = [pa.array([key[i]] * len(at), t) for i, t in zip(range(n_keys - 1), types)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(at), pa.array(score)], [*keys[:-1], "at", "score"])
-
-        types: list = []
-        for batch in batches:
-            types = [batch.schema.field(i).type for i in range(n_keys - 1)]
-            named = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            marks = list(zip(*(named[c].to_pylist() for c in [*keys, "block"])))
-            bounds, most, weight, floor = (named[c].to_numpy() for c in ("bound", "most", "weight", "floor"))
-            positions, impacts = (_pieces(named[c]) for c in ("positions", "impacts"))
-            for i, mark in enumerate(marks):
-                if mark != (*(key or ()), block):
-                    if held:
-                        best.add(block, held)
-                    if mark[:-1] != key:
-                        if key is not None:
-                            yield out()
-                        best, key = Best(k, bits, float(floor[i])), mark[:-1]
-                    block, held = mark[-1], []
-                    if bounds[i] + SLACK < best.floor:
-                        held = []
-                if bounds[i] + SLACK >= best.floor:
-                    held.append((most[i], weight[i], positions[i], impacts[i]))
-        if held:
-            best.add(block, held)
-        if key is not None:
-            yield out()
-
-    types_out = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in keys[:-1])
-    return rows.mapInArrow(run, f"{types_out}, at long, score double")
-
-
-def _pieces(column: pa.Array) -> list[np.ndarray]:
-    values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
-    return np.split(values, ends[:-1])
+    keys, place = ["query_id", *scope], [*scope, "block"]
+    asked = weights.groupBy(*keys).agg(F.collect_list(F.struct("term", "weight")).alias("w"))
+    asked = pairs.select(*keys, "block", "floor").join(asked, keys).select(*keys, "block", "floor", F.col("w.term").alias("terms"), F.col("w.weight").alias("weights"))
+    found = postings.select(*place, "term", "peak", "positions", "impacts").join(asked.select(*place).distinct(), place, "left_semi")
+    fields = {f.name: f.dataType for f in asked.schema.fields}
+    out = T.StructType([*(T.StructField(c, fields[c]) for c in keys), T.StructField("at", T.LongType()), T.StructField("score", T.DoubleType())])
+
+    def run(postings: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        by_term: dict[str, list[tuple]] = {}
+        for row in zip(postings["term"], postings["peak"], postings["positions"], postings["impacts"]):
+            by_term.setdefault(row[0], []).append(row[1:])
+        rows = []
+        for ask in asked.itertuples(index=False):
+            terms = [(w * peak, w, at, impacts) for t, w in zip(ask.terms, ask.weights) for peak, at, impacts in by_term.get(t, ())]
+            best = Best(k, bits, float(ask.floor))
+            best.add(int(ask.block), sorted(terms, key=lambda t: -t[0]))
+            rows += [(*(getattr(ask, c) for c in keys), int(a), float(s)) for a, s in zip(*best.take())]
+        return pd.DataFrame(rows, columns=out.names)
+
+    sides = [df.repartition(parts, *place).groupBy(*place) for df in (found, asked)]
+    return sides[0].cogroup(sides[1]).applyInPandas(run, out)
 
 
 class Best:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.operators import bm25
 from corpusmill.operators import postings as P
@@ -71,6 +72,24 @@ def test_blocks_below_the_threshold_are_not_fetched(spark, tmp_path, monkeypatch
     assert fetched[0] == P.HEAD and fetched[1] <= 2  # of more than 40 blocks
 
 
+def test_a_block_travels_once_whatever_the_number_of_queries(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "LOT", 60)  # several rows of a term and block, with different documents
+    rows, queries = corpus(8)
+    docs = spark.createDataFrame(rows, "doc_id long, category string, text string")
+    folder = f"file:{tmp_path}/i"
+    P.build_index(docs.repartition(3), folder, bits=6)
+    stored = spark.read.parquet(f"{folder}/postings")
+    assert stored.count() > stored.select("term", "block").distinct().count()
+    asked = spark.createDataFrame([q for q in queries if q[1] is not None], "query_id long, query string")
+    assert found(P.search(spark, folder, asked, 5, bits=6), []) == found(bm25.bm25_topk(docs.fillna("", "text"), asked, 5), [])
+    weights, postings = P.weighted_terms(spark, folder, asked, [])
+    weights = weights.localCheckpoint()
+    pairs = P.block_bounds(weights, postings, asked, []).withColumn("floor", F.lit(0.0)).localCheckpoint()
+    plan = P._scored(pairs, weights, postings, [], 5, 6)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert len(dealt) == 2 and all("[block#" in line and "query_id" not in line for line in dealt)
+
+
 def test_words_of_most_documents_score_only_documents_already_met():
     best = P.Best(2, 3, floor=5.0)
     import numpy as np
