@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import fixed
 from corpusmill.functions.text import tokenize
-from corpusmill.session import bounded_broadcast, widen
+from corpusmill.session import bounded_broadcast, deal, widen
 
 # No token is empty, so the empty term can stand for "the document itself".
 _DOC = ""
@@ -38,7 +38,8 @@ def _matched(docs: DataFrame, vocabulary: DataFrame, doc_id: str, text: str, sco
         F.size("_tokens").alias("dl"),
         F.explode(F.concat(F.array(F.lit(_DOC)), F.col("_tokens"))).alias("term"),
     )
-    return rows.join(vocabulary, "term", "left_semi").repartition("doc_id")
+    # Each row meets every query that has its term: the number of partitions follows from the corpus, not from these narrow rows.
+    return deal(rows.join(vocabulary, "term", "left_semi"), "doc_id", docs)
 
 
 def corpus_statistics(matched: DataFrame, scope: list[str]) -> DataFrame:
@@ -117,16 +118,17 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, scope: list[str]
 
 def term_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, df, cf, idf, n_docs, avgdl) of the whole corpus: the index side of BM25."""
-    wide = widen(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
+    # Dealt by document, so that terms are counted per document without a further shuffle, in lots of bounded size.
+    wide = deal(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id", docs)
     tokens = wide.select("doc_id", tokenize(F.col("_text")).alias("_tokens"))
-    totals = tokens.agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("_tokens").cast("double")).alias("avgdl")
-    )
+    totals = docs.agg(
+        F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokenize(F.col(text))).cast("double")).alias("avgdl")
+    ).select(F.struct("n_docs", "avgdl").alias("t"))
     postings = tokens.select("doc_id", F.explode("_tokens").alias("term")).groupBy("doc_id", "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
     by_term = postings.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")
     )
-    one = totals.select("n_docs").scalar(), totals.select("avgdl").scalar()
+    one = totals.scalar()["n_docs"], totals.scalar()["avgdl"]
     return by_term.select("term", "df", "cf", idf(one[0], F.col("df")).alias("idf"), one[0].alias("n_docs"), one[1].alias("avgdl"))

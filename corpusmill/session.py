@@ -92,6 +92,21 @@ def widen(df: DataFrame, key: str, task_bytes: int = 64 * 1024 * 1024) -> DataFr
     return df.repartition(cores, key) if estimated_bytes(df) < cores * task_bytes else df
 
 
+def deal(df: DataFrame, key: str, source: DataFrame, task_bytes: int = 8 * 1024 * 1024) -> DataFrame:
+    """Hash rows by ``key`` into as many partitions as their ``source`` has lots of ``task_bytes`` (as it is stored), one per core at least.
+
+    For steps whose rows multiply inside a task: what a task holds then does not grow with the input. A given number is also
+    not merged by adaptive execution, which sees the bytes in front of the step only.
+    """
+    spark = df.sparkSession
+    # Of the leaves: Catalyst takes the product of both sides as the size of a join.
+    leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(size for size in sizes if size < 1 << 50)
+    lots = -(-known // task_bytes) if known else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(spark.sparkContext.defaultParallelism, lots), key)
+
+
 def bounded_broadcast(
     side: DataFrame, source: DataFrame, growth: float = 1.0, limit: int = BROADCAST_LIMIT_BYTES
 ) -> DataFrame:

@@ -120,3 +120,16 @@ def test_pinned_chunk_comes_first_once(spark):
     assert [r.id for r in out][0] == 2 and len(out) == 3
     hidden = retrieval.pin_rows(found, q, chunks, [("học bổng", ["nghỉ lễ"])], allowed=["quy_che"])
     assert hidden.count() == 2
+
+
+def test_lots_follow_the_corpus_not_the_session(spark, tmp_path):
+    """What a task of the scan holds must not grow with the corpus: more of it makes more partitions, also behind a join."""
+    from corpusmill.session import deal
+
+    spark.range(200_000).selectExpr("id", "uuid() AS u").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    wide = deal(rows, "id", rows, size // 20).rdd.getNumPartitions()
+    joined = rows.join(rows.withColumnRenamed("u", "v"), "id", "left")
+    assert 20 <= wide <= 22 and 40 <= deal(joined, "id", joined, size // 20).rdd.getNumPartitions() <= 44
+    assert deal(rows, "id", rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
