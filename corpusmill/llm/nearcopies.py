@@ -2,7 +2,8 @@
 
 Candidates come from banded MinHash: a pair at the threshold misses all ``BANDS`` buckets with a probability of
 (1 - 0.8^ROWS)^BANDS = 3e-6, closer pairs with less. Every candidate that could connect two groups is verified on the whole
-shingle sets, and only verified pairs form components. (SimHash cannot give these candidates: at 0.8 a pair of
+shingle sets, and only verified pairs form components. Pairs of fingerprints that op4's Gray-order index links are candidates
+as well, and come first. (They cannot be the only ones: at 0.8 a pair of
 fingerprints differs in about ten of 64 bits, and a bit index for twenty or more differing bits selects nothing.)
 
 A bucket is not compared pair by pair at first: each member is verified against the smallest one. After that
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm import simhash
 from corpusmill.llm.common import Forest, carried, connected_components, stored
 from corpusmill.session import ship_package
 
@@ -105,24 +107,30 @@ def link_members(component: np.ndarray, sets: list[np.ndarray]) -> list[tuple[in
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, want: str) -> DataFrame:
-    """id, digest of the shingle set, and ``want``: keys (of the bands, with the set's size n) or set (its bytes)."""
+    """id, digest of the shingle set, its size n, and ``want``: keys (of the bands, with op4's fingerprint fp) or set (its bytes)."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest, size, more = [], [], []
+            digest, size, more, prints = [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py())
                 digest.append(xxhash.xxh64_intdigest(found.tobytes()))
                 size.append(len(found))
                 more.append(bands(found) if want == "keys" else found.tobytes())
+                if want == "keys":
+                    prints.append(simhash.fingerprint(text.as_py()))
             digests = pa.array(np.array(digest, np.uint64).view(np.int64))
             last = pa.array(more, pa.list_(pa.int64()) if want == "keys" else pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array(size, pa.int64()), last], ["id", "digest", "n", want])
+            cols = [batch.column(0), digests, pa.array(size, pa.int64()), last]
+            if want == "keys":
+                cols.append(pa.array(np.array(prints, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = "array<long>" if want == "keys" else "binary"
-    return rows.where("id is not null").mapInArrow(run, f"id long, digest long, n long, {want} {kind}")
+    names = ["id", "digest", "n", want, *(["fp"] if want == "keys" else [])]
+    kinds = "keys array<long>, fp long" if want == "keys" else "set binary"
+    return rows.where("id is not null").mapInArrow(run, f"id long, digest long, n long, {kinds}")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +169,22 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return carried(docs, _kept, {"doc_id": id_col, "text": text_col})
 
 
+def _linked(once: DataFrame, partitions: int) -> DataFrame:
+    """Pairs (a, b: digest, id, n) of ``once`` (with fp) that op4's index connects and whose sizes allow a near copy."""
+    entry = F.struct("digest", "id", "n")
+    prints = stored(once.groupBy("fp").agg(F.min(entry).alias("e")).select("fp", "e", F.col("e.digest").alias("rep")))
+    edges = simhash.links(prints.select("fp", "rep"), partitions).distinct()
+    ends = [prints.select(F.col("rep").alias(side), F.col("e").alias(f"e{side}")) for side in "ab"]
+    apart = edges.join(ends[0], "a").join(ends[1], "b").select(F.col("ea").alias("a"), F.col("eb").alias("b"))
+    equal = once.join(prints.select("fp", F.col("e").alias("b")), "fp").select(entry.alias("a"), "b")
+    return equal.unionByName(apart).where("a.digest <> b.digest and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)")
+
+
 def _kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = stored(_marked(docs, id_col, text_col, "keys"))
-    once = every.groupBy("digest").agg(F.min(F.struct("id", "n")).alias("e"), F.first("keys").alias("keys"))
+    once = every.groupBy("digest").agg(F.min(F.struct("id", "n")).alias("e"), F.first("keys").alias("keys"), F.min("fp").alias("fp"))
     entries = once.select("digest", "e.id", "e.n", F.explode("keys").alias("key"))
     centres = entries.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
     members = stored(
@@ -173,15 +192,19 @@ def _kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         .select("key", "id", "digest", "n", F.col("c.digest").alias("centre"), F.col("c.n").alias("centre_n"))
     )
 
+    linked = stored(_linked(once.select("digest", "e.id", "e.n", "fp"), partitions))
+
     # The whole sets of all members, from one row of each.
-    wanted = members.select("digest", "id").distinct()
+    ends = [linked.select(F.col(f"{side}.digest").alias("digest"), F.col(f"{side}.id").alias("id")) for side in "ab"]
+    wanted = members.select("digest", "id").unionByName(ends[0]).unionByName(ends[1]).distinct()
     texts = docs.join(wanted.select(F.col("id").alias("_id")).distinct(), F.col(id_col).cast("long") == F.col("_id"), "left_semi")
     sets = _marked(texts, id_col, text_col, "set").join(wanted, ["id", "digest"], "left_semi")
     sets = stored(sets.groupBy("digest").agg(F.max("set").alias("set")))
 
-    # Each member with the smallest of its bucket.
+    # What the index links, and each member with the smallest of its bucket.
     star = members.where("digest <> centre and 5 * least(n, centre_n) >= 4 * greatest(n, centre_n)")
-    star = star.select(F.col("digest").alias("a"), F.col("centre").alias("b")).distinct()
+    star = linked.selectExpr("a.digest AS a", "b.digest AS b").union(star.select(F.col("digest").alias("a"), F.col("centre").alias("b")))
+    star = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     star = star.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("x")), "a")
     star = star.join(sets.select(F.col("digest").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
     links = stored(star.mapInArrow(_verified, "a long, b long"))

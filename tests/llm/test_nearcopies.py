@@ -63,6 +63,16 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     assert judged(spark, rows) == plain_stay(rows)
 
 
+def test_the_index_of_fingerprints_gives_candidates(spark, monkeypatch):
+    """Pairs within four bits come from op4's index and are verified like all others: without a bucket they are found still."""
+    monkeypatch.setattr(N, "bands", lambda found: np.arange(1, 3) * np.int64(2) + np.int64(found.sum() >> np.uint64(1)))
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = [(1, " ".join(base), "en"), (2, " ".join([*base[:-1], "other"]), "en"), (3, " ".join(reversed(base)), "en")]
+    assert N.simhash._bits(np.uint64(N.simhash.fingerprint(rows[0][1]) ^ N.simhash.fingerprint(rows[1][1]))) <= N.simhash.DISTANCE
+    assert [i for i, _ in judged(spark, rows)] == [1, 3]
+
+
 def test_threshold_is_exact():
     assert N.similar(8, 9, 9) and not N.similar(7, 8, 9) and N.similar(4, 4, 5) and not N.similar(79, 89, 89)
     sets = [np.arange(i, i + 100, dtype=np.uint64) for i in (0, 11, 22, 40)]
