@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import fixed
 from corpusmill.functions.arrays import let
-from corpusmill.functions.text import WORD, any_of, contains_any, fold, strip, strip_accents
+from corpusmill.functions.text import WORD, any_of, contains_any, fold, holds_any, strip, strip_accents
 
 
 def _low(text: Column) -> Column:
@@ -188,20 +188,24 @@ def file_intent(text: Column) -> Column:
     Undecided texts (a single mark of a request) are reported by ``has_request`` null, for a model.
     """
     forms = let(strip(F.coalesce(text, F.lit(""))), lambda t: F.struct(t.alias("txt"), F.lower(t).alias("low")))
-    return let(
-        let(forms, lambda f: f.withField("plain", strip_accents(f["low"]))),
-        lambda f: _file_intent(f["txt"], f["low"], f["plain"]),
-    )
+    keywords = list(dict.fromkeys(fixed.IMPERATIVE_WORDS + _plain(fixed.IMPERATIVE_WORDS)))
 
+    def signs(f: Column) -> Column:
+        """What decides, looked for once: a lambda evaluates what it names each time."""
 
-def _file_intent(txt: Column, low: Column, plain: Column) -> Column:
-    keywords = list(dict.fromkeys(fixed.IMPERATIVE_WORDS + _plain(fixed.IMPERATIVE_WORDS)))
+        def anywhere(words: list[str]) -> Column:
+            return holds_any(f["low"], words) | holds_any(f["plain"], words)
+
+        return F.struct(
+            *[f[c].alias(c) for c in ("txt", "low", "plain")], F.regexp_count(f["txt"], F.lit(r"\?")).alias("marks"),
+            anywhere(keywords).alias("keyword"), anywhere(fixed.STRONG_IMPERATIVES).alias("strong"),
+        )
+
+    return let(let(let(forms, lambda f: f.withField("plain", strip_accents(f["low"]))), signs), lambda f: _file_intent(f, keywords))
 
-    def anywhere(words: list[str]) -> Column:
-        return contains_any(low, words) | contains_any(plain, words)
 
-    marks = F.regexp_count(txt, F.lit(r"\?"))
-    has_keyword, strong = anywhere(keywords), anywhere(fixed.STRONG_IMPERATIVES)
+def _file_intent(f: Column, keywords: list[str]) -> Column:
+    txt, low, plain, marks, has_keyword, strong = (f[c] for c in ("txt", "low", "plain", "marks", "keyword", "strong"))
     at = F.coalesce(
         *[
             F.when(F.contains(low, F.lit(k)), F.instr(low, k)).when(F.contains(plain, F.lit(k)), F.instr(plain, k))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +35,11 @@ def contains_any(col: Column, words: list[str]) -> Column:
     return col.rlike(any_of(words))
 
 
+def holds_any(col: Column, words: list[str]) -> Column:
+    """``contains_any`` for a value at hand and long lists: a byte search a word instead of every alternative at every character."""
+    return reduce(lambda found, w: found | F.contains(col, F.lit(w)), words, F.lit(False))
+
+
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
     """(from, to) strings for ``translate``: accented letters first, then marks to be deleted."""
