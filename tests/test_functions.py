@@ -167,3 +167,30 @@ def test_bare_comparison_words_and_natural_logarithm(spark):
     assert got == dict(zip(asked, [(">", True), ("<", False), ("<", True), (">", True), (">=", True)]))
     one = calc.calculate(spark.createDataFrame([("log(100)",)], "q string"), "q").first()
     assert abs(float(one.result) - 4.605170185988) < 1e-9
+
+
+def test_plain_arithmetic_takes_no_fold_and_no_decimals(spark):
+    """Beside the general way: whole numbers up to the precision, and what lies beyond it."""
+    for text in ("2 + 3 * 4 - 5", "0 - 7", "9 * 9 * 9", "9" * 20 + " * " + "9" * 20, "1" * 30 + " * " + "1" * 30, "007", "1 - 1"):
+        assert calc.evaluate(text) == calc.evaluate.__wrapped__("(" + text + ")")
+    assert calc._whole("2 + 3 * 4 - 5 * 2") == "4"
+    df = spark.createDataFrame([("tính 3 nhân với 4 cộng 5",), ("5% của 20",), ("căn bậc hai của 9",), ("xin chào",)], "q string")
+    got = {r.q: (r.expression, r.result) for r in calc.calculate(df, "q").collect()}
+    assert list(map(got.get, ["tính 3 nhân với 4 cộng 5", "5% của 20", "căn bậc hai của 9", "xin chào"])) == [
+        ("3 * 4 + 5", "17"), ("(5/100) * 20", "1"), ("sqrt(9)", "3"), ("", None),
+    ]
+
+
+def test_arithmetic_is_dealt_by_stored_bytes(spark, tmp_path):
+    """A task of the arithmetic gets 1 MB of the stored input, so none grows with the input."""
+    rows = spark.range(60_000).select(F.concat(F.md5(F.col("id").cast("string")), F.sha2(F.col("id").cast("string"), 512)).alias("q"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "q"))
+    kept = spark.read.parquet(str(tmp_path / "q"))
+    assert calc.calculate(kept, "q").rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_file_intent_looks_for_its_words_once(spark):
+    plan = spark.createDataFrame([("x",)], "t string").select(routing.file_intent(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "\\Q" not in plan
+    row = one(spark, "Xin vui long cho ket qua?", routing.file_intent)
+    assert row.has_request is True and row.extracted_query == "Xin vui long cho ket qua?"
