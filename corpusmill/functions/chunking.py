@@ -16,7 +16,7 @@ from corpusmill.functions.arrays import let, merge_adjacent, pick, slices, strin
 from corpusmill.functions.similarity import kept_positions, kept_positions_nested
 from corpusmill.functions.text import CUT, SPACE, lines, normalize_text, split_sentences, strip
 from corpusmill.functions.vector import cosine_similarity
-from corpusmill.session import ship_package, widen
+from corpusmill.session import deal, ship_package
 
 # --- Fixed values: heading and numbering patterns ------------------------------------------------
 HEADING = (
@@ -29,6 +29,8 @@ CLAUSE_LINE = r"^\s*(\d+)\.\s+(.*)"
 SUBCLAUSE_LINE = r"^\s*(\d+\.\d+)\.?\s+(.*)"
 MAX_HEADING_CHARS = 150
 MAX_INLINE_HEADING_CHARS = 30
+#: Stored bytes of input that a task chunks: a text becomes arrays of sentences, pieces and their normal forms at once.
+LOT_BYTES = 2 * 1024 * 1024
 
 
 def _unicode(pattern: str) -> str:
@@ -339,7 +341,7 @@ def fast_chunks(
     df: DataFrame, text: str, output: str = "chunks", min_chars: int = fixed.MIN_CHARS, max_chars: int = fixed.MAX_CHARS
 ) -> DataFrame:
     """Add the array of sentence-packed, near-duplicate-free chunks of ``text``."""
-    df = widen(df, text)
+    df = deal(df, text, df, LOT_BYTES)
     return dedup_chunks(df.withColumn(output, pack_sentences(F.col(text), min_chars, max_chars)), output)
 
 
@@ -359,7 +361,7 @@ def contextual_chunks(
     sentence; pieces get overlap inside their section and their heading as a prefix.
     """
     ship_package(df.sparkSession)
-    df = widen(df, text)
+    df = deal(df, text, df, LOT_BYTES)
     low = effective_min(min_chars)
     source = strip(F.coalesce(F.col(text), F.lit("")))
     group = category if category is not None else F.lit("")

@@ -134,3 +134,16 @@ def test_chunk_numbers_are_dense_after_duplicates_go(spark):
     ]
     out = K.build_chunks(spark.createDataFrame(rows, schema.RECORD)).orderBy("chunk_index").collect()
     assert [(r.id, r.chunk_index) for r in out] == [("x.txt-0-0", 0), ("x.txt-2-1", 1)]
+
+
+def test_chunking_is_dealt_by_the_size_of_its_input(spark, tmp_path):
+    """A task's share stays the same when the table grows, so a worker's memory does and cores stay even."""
+    dice = random.Random(3)
+    rows = [(i, " ".join(f"{dice.getrandbits(256):x}" for _ in range(150)) + ".") for i in range(1500)]
+    spark.createDataFrame(rows, "id long, t string").repartition(2).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    stored = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    lots = -(-stored // (2 * 1024 * 1024))
+    assert lots > spark.sparkContext.defaultParallelism
+    for made in (C.fast_chunks(df, "t"), C.contextual_chunks(df, "t")):
+        assert made.rdd.getNumPartitions() >= lots
