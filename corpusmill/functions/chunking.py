@@ -77,13 +77,28 @@ def _select(parts: Column, text: Column, low: int, high: int) -> Column:
     )
 
 
+def _split_long(parts: Column, high: int) -> Column:
+    """Parts above ``high`` cut between their sentences, which are packed anew; a sentence itself stays whole."""
+
+    def again(part: Column) -> Column:
+        return merge_adjacent(split_sentences(part), lambda a, b: F.length(a) + F.length(b) + 1 <= high)
+
+    cut = F.flatten(F.transform(parts, lambda c: F.when(F.length(c) > high, again(c)).otherwise(strings(c))))
+    return F.when(F.exists(parts, lambda c: F.length(c) > high), cut).otherwise(parts)
+
+
+def _packed(sentences: Column, low: int, high: int) -> Column:
+    """Sentences packed up to ``high``, short pieces joined, overlong ones cut."""
+    packed = merge_adjacent(sentences, lambda a, b: F.length(a) + F.length(b) + 1 <= high)
+    return let(_join_short(packed, low, high), lambda p: _split_long(p, high))
+
+
 def pack_sentences(text: Column, min_chars: int = fixed.MIN_CHARS, max_chars: int = fixed.MAX_CHARS) -> Column:
     """Sentences packed up to ``max_chars``, short pieces joined; near duplicates are still in."""
     low = effective_min(min_chars)
 
     def several(sentences: Column) -> Column:
-        packed = merge_adjacent(sentences, lambda a, b: F.length(a) + F.length(b) + 1 <= max_chars)
-        return let(_join_short(packed, low, max_chars), lambda p: _select(p, text, low, max_chars))
+        return let(_packed(sentences, low, max_chars), lambda p: _select(p, text, low, max_chars))
 
     def single(sentence: Column) -> Column:
         cut = strings(F.substring(sentence, 1, max_chars))
@@ -97,6 +112,15 @@ def pack_sentences(text: Column, min_chars: int = fixed.MIN_CHARS, max_chars: in
     )
 
 
+def _not_packed(text: Column, min_chars: int, max_chars: int) -> Column:
+    """Whether ``pack_sentences`` takes the text itself: it is one sentence, or all its parts are below the floor."""
+
+    def short(sentences: Column) -> Column:
+        return ~F.exists(_packed(sentences, effective_min(min_chars), max_chars), lambda c: F.length(c) >= fixed.MIN_FLOOR)
+
+    return let(split_sentences(text), lambda s: (F.size(s) == 1) | short(s))
+
+
 def pack_by_meaning(
     text: Column,
     vectors: Column,
@@ -326,23 +350,27 @@ def _normalized(chunks: Column) -> Column:
     return F.transform(chunks, lambda c: normalize_text(c))
 
 
-def dedup_chunks(df: DataFrame, column: str, gate: int = fixed.DEDUP_GATE_CHUNKS) -> DataFrame:
-    """Greedy near-duplicate removal inside one array column; one-element arrays stay in the JVM."""
+def dedup_chunks(df: DataFrame, column: str, gate: int = fixed.DEDUP_GATE_CHUNKS, spared: Column | None = None) -> DataFrame:
+    """Greedy near-duplicate removal inside one array column; one-element arrays stay in the JVM.
+
+    Chunks without a word go, but for the only chunk of a row that is ``spared``.
+    """
     ship_package(df.sparkSession)
     chunks = F.col(column)
     several = F.size(chunks) > 1
     kept = kept_positions(gate)(F.when(several, _normalized(chunks)).otherwise(strings()))
     staged = df.withColumn("_kept", kept)
-    one = F.filter(chunks, lambda c: normalize_text(c) != "")
+    one = F.filter(chunks, lambda c: (normalize_text(c) != "") | (F.lit(False) if spared is None else spared))
     return staged.withColumn(column, F.when(several, pick(chunks, F.col("_kept"))).otherwise(one)).drop("_kept")
 
 
 def fast_chunks(
     df: DataFrame, text: str, output: str = "chunks", min_chars: int = fixed.MIN_CHARS, max_chars: int = fixed.MAX_CHARS
 ) -> DataFrame:
-    """Add the array of sentence-packed, near-duplicate-free chunks of ``text``."""
+    """Add the array of sentence-packed, near-duplicate-free chunks of ``text``; a text that is not packed is not compared either."""
     df = deal(df, text, df, LOT_BYTES)
-    return dedup_chunks(df.withColumn(output, pack_sentences(F.col(text), min_chars, max_chars)), output)
+    packed = df.withColumn(output, pack_sentences(F.col(text), min_chars, max_chars))
+    return dedup_chunks(packed, output, spared=_not_packed(F.col(text), min_chars, max_chars))
 
 
 def contextual_chunks(

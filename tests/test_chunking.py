@@ -147,3 +147,20 @@ def test_chunking_is_dealt_by_the_size_of_its_input(spark, tmp_path):
     assert lots > spark.sparkContext.defaultParallelism
     for made in (C.fast_chunks(df, "t"), C.contextual_chunks(df, "t")):
         assert made.rdd.getNumPartitions() >= lots
+
+
+def test_overlong_parts_are_cut_between_sentences(spark):
+    parts = ["Short one.", "One two three. Four five six! Seven eight nine? Ten.", "x" * 40, "Y" * 40 + ". Z."]
+    df = spark.createDataFrame([(parts,), ([],), (["a" * 30],)], "p array<string>")
+    got = [r[0] for r in df.select(C._split_long(F.col("p"), 30)).collect()]
+    assert got == [
+        ["Short one.", "One two three. Four five six!", "Seven eight nine? Ten.", "x" * 40, "Y" * 40 + ".", "Z."], [], ["a" * 30],
+    ]
+
+
+def test_a_text_that_is_not_packed_is_kept_without_words(spark):
+    """One sentence, or parts that are all too short, are returned before duplicates are looked for; packed parts are not."""
+    texts = ["=" * 30, "-" * 1500, "=" * 19, "." + " " * 30 + "!", ". . . . . . . . . . . .", "*** *** *** ***. " + "+" * 1300, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.chunks for r in C.fast_chunks(df, "t").collect()}
+    assert [got[i] or [] for i in range(len(texts))] == [["=" * 30], ["-" * 1200], [], ["." + " " * 30 + "!"], [], [], [], []]
