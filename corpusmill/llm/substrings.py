@@ -9,12 +9,16 @@ anchor. As in prefix-free parsing, equal phrases are one entry of a dictionary,
 smallest document that has it, and whatever holds for an entry holds wherever it occurs: within the
 same stretch of input at once, else where an anchor's phrases meet (rows of hashes and places, no text).
 
-Indexing. Only anchors with several different phrases need text. Their phrases are fetched and gathered
+Sides. A string reaches at least ``SIDE`` bytes beyond its anchor to the left or to the right. So two phrases of an anchor can only share a
+string if the bytes of one of these sides, with the anchor, are equal in both. Hashes of both sides travel with a
+phrase, and text is asked for only on a side on which phrases of different documents agree.
+
+Indexing. Only such phrases need text. They are fetched and gathered
 by anchor; a bounded lot of them is indexed by a run-compressed Burrows-Wheeler transform with the
 suffix array sampled at run starts and ends. All phrases but the first of each anchor are streamed through
 the index from their ends, which gives matching statistics: at each place the row and the length of the longest match.
 Where that reaches ``LENGTH``, the index knows the smallest document among the rows with the same
-string. An anchor with too many phrases for one lot is split by whole strings, which spreads it evenly.
+string. An anchor with too many phrases for one lot is split by sides, and a side with too many by whole strings, which spreads it evenly.
 
 Marking. Ranges of bytes meet their document once more, are merged, and the rest is hashed.
 """
@@ -26,9 +30,11 @@ import hashlib
 import time
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +43,11 @@ from corpusmill.session import ship_package
 
 LENGTH = 50
 GRAM = 16
+#: Every string has so many bytes in front of its anchor, or so many behind it.
+SIDE = (LENGTH - GRAM) // 2
 #: Bytes parsed in one numpy pass (20 bits of position), and gathered before phrases are combined and handed on.
 SLICE, GATHER = 1 << 20, 16 << 20
-#: Different phrases of one anchor beyond which it is split by whole strings, and symbols of one index.
+#: Different phrases of one anchor beyond which it is split by sides, and of one side beyond which it is by whole strings; symbols of one index.
 WIDE, LOT = 2048, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -74,11 +82,16 @@ def phrases(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
     ``ends`` is the end of each text. At most SLICE bytes; no phrase crosses an end.
     """
+    return sided_phrases(data, ends)[:4]
+
+
+def sided_phrases(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``phrases``, the place of the anchor in each, and hashes of the anchor with ``SIDE`` bytes before and after it (0: there are fewer)."""
     n = len(data)
     window = LENGTH - GRAM + 1
     last = n - LENGTH + 1  # possible starts
     if last <= 0:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint32, np.uint32))
     up, down, letter = _tables()
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(letter[data] * up[:n], out=sums[1:])
@@ -91,51 +104,60 @@ def phrases(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         low = np.minimum(low[: len(low) - more], low[more:])
         size += more
     anchor = (low & place).astype(np.int64)
-    text_of = np.searchsorted(ends, np.arange(last), side="right")
-    good = np.arange(last) + LENGTH <= ends[np.minimum(text_of, len(ends) - 1)]
+    sizes = np.diff(ends, prepend=0)
+    text_of = np.repeat(np.arange(len(ends)), sizes)[:last]
+    good = np.arange(LENGTH, last + LENGTH) <= np.repeat(ends, sizes)[:last]
     new = np.ones(last, bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (text_of[1:] != text_of[:-1])
     start = np.flatnonzero(new & good)
     stop = np.flatnonzero(good & np.append(new[1:] | ~good[1:], True)) + LENGTH
     whole = _mixed((sums[stop] - sums[start]) * down[start]) ^ (stop - start).astype(np.uint64)
-    return gram[anchor[start]], _mixed(whole), start, stop - start
+    anchor = anchor[start]
+    sides = []
+    for a, b in ((anchor - SIDE, anchor + GRAM), (anchor, anchor + GRAM + SIDE)):
+        inside = (a >= start) & (b <= stop)
+        a, b = np.where(inside, a, 0), np.where(inside, b, 0)
+        sides.append(np.where(inside, (_mixed((sums[b] - sums[a]) * down[a]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0)))
+    return gram[anchor], _mixed(whole), start, stop - start, anchor - start, *sides
 
 
 def _parse(parts: int):
-    """Rows (part, key, phrase, doc, print, start, length, local) of arrays as bytes, for runs of documents."""
-    names = ["part", "key", "phrase", "doc", "print", "start", "length", "local"]
-    types = [pa.int32(), *[pa.binary()] * 6, pa.bool_()]
+    """Rows (part, key, phrase, doc, print, start, length, at, left, right, local) of arrays as bytes, for runs of documents."""
+    names = ["part", "key", "phrase", "doc", "print", "start", "length", "at", "left", "right", "local"]
+    types = [pa.int32(), *[pa.binary()] * 9, pa.bool_()]
 
     def emit(lot: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        key, phrase, doc, mark, start, length = (np.concatenate(c) for c in zip(*lot))
+        key, phrase, doc, mark, start, length, at, left, right = (np.concatenate(c) for c in zip(*lot))
         # The smallest document of a phrase goes on to meet others; later ones are covered by it already.
-        order = np.lexsort((start, doc, phrase, key))
-        key, phrase, doc, mark, start, length = (c[order] for c in (key, phrase, doc, mark, start, length))
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (phrase[1:] != phrase[:-1])
-        first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        order = np.argsort(phrase)
+        same = phrase[order[1:]] == phrase[order[:-1]]
+        if (same & (key[order[1:]] != key[order[:-1]])).any():  # one hash for phrases of different anchors
+            order = np.lexsort((key, phrase))
+            same = (phrase[order[1:]] == phrase[order[:-1]]) & (key[order[1:]] == key[order[:-1]])
+        new = np.append(True, ~same)
+        first = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        later = np.empty(len(order), bool)
+        later[order] = doc[order] > first
+        none = np.empty(0, np.uint64)
         rows = []
         for local in (False, True):
-            use = np.flatnonzero((doc > first) == local)
-            cols = [c[use] for c in (key, phrase, doc, mark, start, length)]
-            if local:  # runs of overlapping ranges of one document are one range
-                o = np.lexsort((cols[4], cols[3], cols[2]))
-                cols = [c[o] for c in cols]
+            use = np.flatnonzero(later == local)
+            cols = [c[use] for c in (key, phrase, doc, mark, start, length, at, left, right)]
+            if local:  # runs of overlapping ranges of one document, as they were read, are one range
                 reach = cols[4] + cols[5]
-                fresh = np.ones(len(o), bool)
-                fresh[1:] = (cols[2][1:] != cols[2][:-1]) | (cols[3][1:] != cols[3][:-1]) | (cols[4][1:] > reach[:-1])
+                fresh = np.ones(len(use), bool)
+                fresh[1:] = (cols[2][1:] != cols[2][:-1]) | (cols[3][1:] != cols[3][:-1]) | (cols[4][1:] > reach[:-1]) | (cols[4][1:] < cols[4][:-1])
                 heads = np.flatnonzero(fresh)
-                tails = np.append(heads[1:], len(o))[: len(heads)] - 1
-                cols = [*(c[heads] for c in cols[:5]), (reach[tails] - cols[4][heads])]
+                tails = np.append(heads[1:], len(use))[: len(heads)] - 1
+                cols = [none, none, *(c[heads] for c in cols[2:5]), (reach[tails] - cols[4][heads]), none, none, none]
                 part = (_mixed(cols[2].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                cols[0] = cols[1] = np.empty(0, np.uint64)
             else:
                 part = (cols[0] >> np.uint64(32)).astype(np.int64) % parts
                 cols[0] = cols[0].astype(np.uint32)
-            o = np.argsort(part, kind="stable")
+            o = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
             bounds = np.flatnonzero(np.diff(part[o], prepend=-1))
             cols = [c[o] if len(c) == len(o) else c for c in cols]
-            widths = [np.uint32, np.uint64, np.int64, np.uint32, np.int64, np.int64 if local else np.uint8]
+            widths = [np.uint32, np.uint64, np.int64, np.uint32, np.uint32, np.int64 if local else np.uint8, np.uint8, np.uint32, np.uint32]
             for s, e in zip(bounds.tolist(), [*bounds[1:].tolist(), len(o)]):
                 arrays = [(c[s:e] if len(c) == len(o) else c).astype(t).tobytes() for c, t in zip(cols, widths)]
                 rows.append((int(part[o[s]]), *arrays, local))
@@ -150,10 +172,10 @@ def _parse(parts: int):
             if not texts:
                 return
             ends = np.cumsum([len(t[3]) for t in texts])
-            key, phrase, start, length = phrases(np.frombuffer(b"".join(t[3] for t in texts), np.uint8), ends)
+            key, phrase, start, length, *sides = sided_phrases(np.frombuffer(b"".join(t[3] for t in texts), np.uint8), ends)
             of = np.searchsorted(ends, start, side="right")
             doc, mark, base = (np.array([t[i] for t in texts], np.int64) for i in range(3))
-            lot.append((key, phrase, doc[of], mark[of], start - (ends - [len(t[3]) for t in texts])[of] + base[of], length))
+            lot.append((key, phrase, doc[of], mark[of], start - (ends - [len(t[3]) for t in texts])[of] + base[of], length, *sides))
             texts.clear()
 
         room = SLICE
@@ -180,7 +202,24 @@ def _parse(parts: int):
         if lot:
             yield from emit(lot)
 
-    return run, "part int, key binary, phrase binary, doc binary, print binary, start binary, length binary, local boolean"
+    return run, (
+        "part int, key binary, phrase binary, doc binary, print binary, start binary, length binary, at binary, left binary, right binary, local boolean"
+    )
+
+
+def _agreeing(side: np.ndarray, in_: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of the groups ``in_``: does its side stand in entries of different owners, and in how many?"""
+    asked, many = np.zeros(len(side), bool), np.zeros(len(side), np.int64)
+    has = np.flatnonzero(side)
+    if len(has):
+        label = in_[has].astype(np.uint64) << np.uint64(32) | side[has]
+        order = np.argsort(label)
+        has, label = has[order], label[order]
+        heads = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
+        low, high = np.minimum.reduceat(owner[has], heads), np.maximum.reduceat(owner[has], heads)
+        count = np.diff(np.append(heads, len(has)))
+        asked[has], many[has] = np.repeat(low < high, count), np.repeat(count, count)
+    return asked, many
 
 
 def _meet(wide: int):
@@ -188,45 +227,54 @@ def _meet(wide: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "print", "start", "stop", "key", "wide"]
-        kinds = [np.uint32, np.uint64, np.int64, np.uint32, np.int64]
+        kinds = [np.uint32, np.uint64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint32, np.uint32]
 
-        def out(doc, mark, start, length, key=None, split=None) -> pa.RecordBatch:
+        def out(doc, mark, start, stop, key=None, split=None) -> pa.RecordBatch:
             none = [None] * len(doc)
-            cols = [doc, mark.astype(np.int64), start, start + length.astype(np.int64), none if key is None else key, none if split is None else split]
+            cols = [doc, mark.astype(np.int64), start, stop, none if key is None else key, none if split is None else split]
             types = [*[pa.int64()] * 5, pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
         def settle(part: int, held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            key, phrase, doc, mark, start, length = (np.concatenate(c) for c in zip(*held))
-            order = np.lexsort((start, doc, phrase, key))
-            key, phrase, doc, mark, start, length = (c[order] for c in (key, phrase, doc, mark, start, length))
-            entry = np.ones(len(key), bool)
-            entry[1:] = (key[1:] != key[:-1]) | (phrase[1:] != phrase[:-1])
-            group = np.ones(len(key), bool)
-            group[1:] = key[1:] != key[:-1]
-            of, in_ = np.cumsum(entry) - 1, np.cumsum(group) - 1
-            owner = doc[np.flatnonzero(entry)]
-            first = doc == owner[of]
-            yield out(*(c[~first] for c in (doc, mark, start, length)))
-            # Anchors with phrases owned by different documents: these can share strings without being equal.
+            key, phrase, doc, mark, start, length, at, left, right = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((phrase, key))
+            key, phrase, doc, mark, start, length, at, left, right = (c[order] for c in (key, phrase, doc, mark, start, length, at, left, right))
+            start, at = start.astype(np.int64), at.astype(np.int64)
+            stop, middle = start + length, start + at
+            group = np.append(True, key[1:] != key[:-1])
+            entry = group | np.append(True, phrase[1:] != phrase[:-1])
+            of = np.cumsum(entry) - 1
             heads = np.flatnonzero(entry)
-            count = np.bincount(in_[heads])
-            low, high = np.full(len(count), np.iinfo(np.int64).max), np.full(len(count), np.iinfo(np.int64).min)
-            np.minimum.at(low, in_[heads], owner)
-            np.maximum.at(high, in_[heads], owner)
-            ask = first & ((count > 1) & (low < high))[in_]
+            owner = np.minimum.reduceat(doc, heads)
+            first = doc == owner[of]
+            yield out(*(c[~first] for c in (doc, mark, start, stop)))
+            # Phrases of an anchor that agree on a side and are owned by different documents: these can share strings without being equal.
+            in_ = np.cumsum(group)[heads] - 1
+            (to_left, lefts), (to_right, rights) = (_agreeing(c[heads], in_, owner) for c in (left, right))
+            broad = (np.bincount(in_[to_left | to_right], minlength=in_[-1] + 1) > wide)[in_]
             full = (np.int64(part) << np.int64(32)) | key.astype(np.int64)
-            yield out(*(c[ask] for c in (doc, mark, start, length, full)), (count > wide)[in_][ask])
+            # Strings with a whole left side end behind the anchor by the rest of their length at most, and so on the right.
+            from_, until = np.maximum(start, middle + GRAM + SIDE - LENGTH), np.minimum(stop, middle - SIDE + LENGTH)
+            ask = np.flatnonzero(first & ((to_left | to_right) & ~broad)[of])
+            yield out(
+                doc[ask], mark[ask], np.where(to_left[of[ask]], start[ask], from_[ask]), np.where(to_right[of[ask]], stop[ask], until[ask]),
+                full[ask], np.zeros(len(ask), bool),
+            )
+            for asked, many, side, begin, end, odd in ((to_left, lefts, left, start, until, 0), (to_right, rights, right, from_, stop, 1)):
+                ask = np.flatnonzero(first & (asked & broad)[of])
+                if len(ask):
+                    own = _mixed(full[ask].view(np.uint64) * np.uint64(_BASE) + side[ask]) ^ np.uint64(odd)
+                    yield out(doc[ask], mark[ask], begin[ask], end[ask], own.view(np.int64), (many > wide)[of[ask]])
 
         now, held = None, []
         for batch in batches:
-            parts, locals_ = batch.column(0).to_pylist(), batch.column(7).to_pylist()
+            parts, locals_ = batch.column(0).to_pylist(), batch.column(10).to_pylist()
             for i, (part, local) in enumerate(zip(parts, locals_)):
-                arrays = [np.frombuffer(batch.column(1 + j)[i].as_py(), k) for j, k in enumerate(kinds)]
-                arrays.append(np.frombuffer(batch.column(6)[i].as_py(), np.int64 if local else np.uint8))
                 if local:
-                    yield out(*arrays[2:])
+                    doc, mark, start, length = (np.frombuffer(batch.column(j)[i].as_py(), k) for j, k in zip(range(3, 7), (np.int64, np.uint32, np.uint32, np.int64)))
+                    yield out(doc, mark, start.astype(np.int64), start + length)
                     continue
+                arrays = [np.frombuffer(batch.column(1 + j)[i].as_py(), k) for j, k in enumerate(kinds)]
                 if part != now and held:
                     yield from settle(now, held)
                     held = []
@@ -475,11 +523,12 @@ def _indexed(rows: DataFrame, parsed: DataFrame, partitions: int, lot: int) -> D
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, mark, text, asked_ in zip(*(batch.column(i) for i in range(4))):
-                data, doc, mark = text.as_py().encode(), doc.as_py(), mark.as_py()
-                for ask in asked_.as_py():
-                    start, stop, key = ask["start"], ask["stop"], ask["key"]
-                    if not ask["wide"]:
+            asks, sizes = batch.column(3), pc.list_value_length(batch.column(3)).to_pylist()
+            wishes = zip(*(c.to_pylist() for c in asks.flatten().flatten()))
+            for doc, mark, text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), sizes):
+                data = text.as_py().encode()
+                for start, stop, key, split in islice(wishes, n):
+                    if not split:
                         out.append((key, doc, mark, start, data[start:stop]))
                         continue
                     for s in range(start, stop - LENGTH + 1):  # each string by itself

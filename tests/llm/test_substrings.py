@@ -99,3 +99,27 @@ def test_empty_and_given_table(spark):
     assert S.without_repeats(docs.limit(0)).count() == 0
     got = sorted(tuple(r) for r in S.op1_repeated_passages(spark, DATA).collect())
     assert got == plain([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_text_is_asked_for_only_where_a_side_agrees(spark):
+    """Phrases of one anchor whose surroundings differ on both sides cannot share a string of 50 bytes and are not fetched."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    grams = [word(20) for _ in range(40)]  # holds some anchor of 16 bytes, but no string of 50
+    rows = [(i, " ".join(word(30) + g for g in rng.sample(grams, 20))) for i in range(60)]
+    shared = word(120)
+    rows += [(100, word(200) + shared), (101, word(150) + shared + word(150))]
+    df = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long")
+    asked = S._parsed(S._texts(df, "doc_id", "text"), 3, S.WIDE).where("key is not null")
+    assert {r.doc for r in asked.select("doc").collect()} <= {100, 101}
+    assert result(df) == plain(rows)
+
+
+def test_a_wide_anchor_is_split_by_sides_without_loss(spark):
+    """More phrases of one anchor than one lot takes, which agree to the left, to the right or nowhere."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    middle, lefts, rights = word(16), [word(40) for _ in range(4)], [word(40) for _ in range(4)]
+    rows = [(i, word(30) + rng.choice([*lefts, word(40)]) + middle + rng.choice([*rights, word(40)]) + word(30)) for i in range(80)]
+    df = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long")
+    assert result(df, wide=3, lot=300) == result(df, wide=30, lot=3000) == plain(rows)
