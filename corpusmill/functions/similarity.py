@@ -75,6 +75,16 @@ def _reaches(matcher: SequenceMatcher, la: int, lb: int, threshold: float) -> bo
     return 2.0 * matched / total >= threshold
 
 
+#: Bins of hashed grams, as bits.
+BIN_BITS = 14
+#: Characters of two texts below which the rule itself costs no more than its bounds.
+BOUNDED_CHARS = 200
+
+
+def _bins(hashed: np.ndarray) -> np.ndarray:
+    return ((hashed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+
+
 class _Text:
     """A normalised text with the derived forms the pair rule looks at, built on first use."""
 
@@ -82,24 +92,53 @@ class _Text:
         self.text = text
         self.length = len(text)
 
-    @cached_property
-    def grams(self) -> frozenset[str]:
-        packed = self.text.replace(" ", "")
-        return frozenset(packed[i : i + 3] for i in range(max(1, len(packed) - 2)))
-
     @cached_property
     def letters(self) -> Counter:
         return Counter(self.text)
 
     @cached_property
-    def fives(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashed 5-grams and their counts."""
-        codes = np.frombuffer(self.text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        count = max(0, len(codes) - 4)
+    def codes(self) -> np.ndarray:
+        return np.frombuffer(self.text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+    @cached_property
+    def hashed_fives(self) -> np.ndarray:
+        count = max(0, len(self.codes) - 4)
         hashed = np.zeros(count, np.uint64)
         for shift in range(5):
-            hashed = hashed * np.uint64(1_000_003) + codes[shift : shift + count]
-        return np.unique(hashed, return_counts=True)
+            hashed = hashed * np.uint64(1_000_003) + self.codes[shift : shift + count]
+        return hashed
+
+    @cached_property
+    def fives(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashed 5-grams and their counts."""
+        return np.unique(self.hashed_fives, return_counts=True)
+
+    @cached_property
+    def five_bins(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bins of the 5-grams that are not empty, their counts, and the counts of all bins."""
+        bins = np.sort(_bins(self.hashed_fives))
+        heads = np.flatnonzero(np.append(True, bins[1:] != bins[:-1])[: len(bins)])
+        counts = np.append(heads[1:], len(bins))[: len(heads)] - heads
+        some, counts = bins[heads], counts.astype(np.int32 if self.length >> 16 else np.uint16)
+        every = np.zeros(1 << BIN_BITS, counts.dtype)
+        every[some] = counts
+        return some, counts, every
+
+    @cached_property
+    def grams(self) -> np.ndarray:
+        """Distinct 3-grams of the text without blanks, 21 bits a letter, in order; a shorter text is its own shingle."""
+        codes = self.codes[self.codes != 32]
+        if len(codes) < 3:
+            return np.array([sum(int(c) << 21 * i for i, c in enumerate(codes)) | 4 + len(codes) << 61], np.uint64)
+        grams = np.sort(codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:])
+        return grams[np.append(True, grams[1:] != grams[:-1])]
+
+    @cached_property
+    def gram_bins(self) -> int:
+        """A number with a bit for each bin of the 3-grams."""
+        seen = np.zeros(1 << BIN_BITS, np.uint8)
+        seen[_bins(self.grams)] = 1
+        return int.from_bytes(np.packbits(seen).tobytes(), "little")
 
     @cached_property
     def matcher(self) -> SequenceMatcher:
@@ -113,11 +152,26 @@ def _common_fives(a: _Text, b: _Text) -> int:
     return int(np.minimum(counts[left], other_counts[right]).sum())
 
 
+def _far(earlier: _Text, new: _Text, threshold: float) -> bool:
+    """Whether bins of grams alone show that neither part of the rule can hold: both bounds of ``_near``, no tighter than there."""
+    total = earlier.length + new.length
+    if total < BOUNDED_CHARS:
+        return False
+    # A bin that only one text has stands for a gram that the other lacks.
+    only, lacks = (new.gram_bins & ~earlier.gram_bins).bit_count(), (earlier.gram_bins & ~new.gram_bins).bit_count()
+    common = min(len(new.grams) - only, len(earlier.grams) - lacks)
+    if common > 0 and common / (common + only + lacks) >= fixed.DEDUP_JACCARD:
+        return False
+    bins, counts, _ = new.five_bins
+    common = int(np.minimum(counts, earlier.five_bins[2][bins]).sum())
+    return 2.0 * (common + 4 * (total + 1)) / 9 / total < threshold
+
+
 def _near(earlier: _Text, new: _Text, threshold: float) -> bool:
     low, high = sorted((earlier.length, new.length))
-    if low / high < fixed.DEDUP_LENGTH_RATIO:
+    if low / high < fixed.DEDUP_LENGTH_RATIO or _far(earlier, new, threshold):
         return False
-    common = len(new.grams & earlier.grams)
+    common = len(np.intersect1d(new.grams, earlier.grams, assume_unique=True))
     if common / (len(new.grams) + len(earlier.grams) - common) >= fixed.DEDUP_JACCARD:
         return True
     # Letters in common bound the matched characters from above.

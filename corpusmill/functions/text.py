@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusmill import fixed
+from corpusmill.functions.arrays import let
 
 # Java's \s is ASCII only; these are the remaining characters Unicode calls white space.
 SPACE = r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # The same class without the characters that end a line.
 INLINE_SPACE = r" \t\x1f\xa0\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
+_BREAKS = [c for c in SPACE_CHARS if c != "\n" and c.splitlines() == [""]]
+_INLINE_SPACES = [c for c in SPACE_CHARS if c not in [" ", "\n", *_BREAKS]]
 WORD = r"\p{L}\p{N}_"
 CUT = "\ue001"  # private-use character: marks a place to split
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
@@ -112,17 +116,27 @@ def is_noise_line(line: Column) -> Column:
 def clean_text(col: Column) -> Column:
     """Drop noise lines and boilerplate, unify dashes, collapse blanks, drop empty lines.
 
-    Works on the whole text with line-anchored patterns, so the expression stays inside
-    whole-stage code generation instead of looping over an array of lines.
+    Works on the whole text with line-anchored patterns instead of looping over an array of lines. A
+    pattern with a wide class of characters runs only on texts that hold one of them, which byte searches tell.
     """
-    t = F.regexp_replace(F.coalesce(col, F.lit("")), LINE_BREAK, "\n")
-    t = F.regexp_replace(t, _noise_line(), "")
-    t = F.regexp_replace(t, "(?iu)" + fixed.ENACTMENT_NOTE, "")
-    t = F.regexp_replace(t, "(?iu)" + fixed.DOCUMENT_CODE, "")
-    t = F.translate(t, "–—", "--")
-    t = F.regexp_replace(t, rf"[{INLINE_SPACE}]+", " ")
-    t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
+
+    def where(has: Callable[[Column], Column], change: Callable[[Column], Column], otherwise=lambda t: t) -> Callable[[Column], Column]:
+        return lambda t: F.when(has(t), change(t)).otherwise(otherwise(t))
+
+    steps = [
+        where(lambda t: holds_any(t, _BREAKS), lambda t: F.regexp_replace(t, LINE_BREAK, "\n")),
+        lambda t: F.regexp_replace(t, _noise_line(), ""),
+        where(lambda t: F.contains(t, F.lit("(")), lambda t: F.regexp_replace(t, "(?iu)" + fixed.ENACTMENT_NOTE, "")),
+        where(lambda t: F.contains(t, F.lit("/")), lambda t: F.regexp_replace(t, "(?iu)" + fixed.DOCUMENT_CODE, "")),
+        where(lambda t: holds_any(t, ["–", "—"]), lambda t: F.translate(t, "–—", "--")),
+        where(
+            lambda t: holds_any(t, _INLINE_SPACES),
+            lambda t: F.regexp_replace(t, rf"[{INLINE_SPACE}]+", " "),
+            lambda t: F.regexp_replace(t, "  +", " "),
+        ),
+        lambda t: F.btrim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), F.lit(" \n")),
+    ]
+    return reduce(let, steps, F.coalesce(col, F.lit("")))
 
 
 def lines(col: Column) -> Column:

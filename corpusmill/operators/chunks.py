@@ -11,7 +11,7 @@ from corpusmill.functions.chunking import contextual_chunks, effective_min, fast
 from corpusmill.functions.text import clean_text, lines, strip
 from corpusmill.operators.bm25 import rank_within
 from corpusmill.operators.dedup import dense_position, fuzzy_dedup
-from corpusmill.session import ensure_checkpoint_dir
+from corpusmill.session import ensure_checkpoint_dir, stored, widen
 
 _TEXT_KINDS = ["pdf", "pdf_scan", "docx", "txt"]
 
@@ -57,7 +57,9 @@ def build_chunks(
         .when((kind == "pdf_figure") | (block == "figure"), "figure")
         .otherwise("text")
     )
-    typed = records.withColumn("chunk_type", chunk_type).withColumn("_clean", clean_text(F.col("text")))
+    # Stored: texts are cleaned once, for their chunks and for the openings of pages.
+    cleaned = records.withColumn("chunk_type", chunk_type).withColumn("_clean", clean_text(F.col("text")))
+    typed = stored(widen(cleaned, "source"))
     is_parent = ((F.col("block_type") == "text") | F.col("kind").isin(_TEXT_KINDS)) & (F.col("_clean") != "")
     parents = (
         typed.where(is_parent)

@@ -164,3 +164,19 @@ def test_a_text_that_is_not_packed_is_kept_without_words(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r.i: r.chunks for r in C.fast_chunks(df, "t").collect()}
     assert [got[i] or [] for i in range(len(texts))] == [["=" * 30], ["-" * 1200], [], ["." + " " * 30 + "!"], [], [], [], []]
+
+
+def test_a_text_is_cleaned_once(spark, monkeypatch):
+    cleaned = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        cleaned.add(1)
+        return text
+
+    monkeypatch.setattr(K, "clean_text", lambda c: F.udf(count, "string")(c))
+    rows = [
+        {"source": f"/c/{i}.txt", "filename": f"{i}.txt", "rec_no": 0, "text": f"Văn bản số {i} " + "có nội dung riêng của nó. " * 12, "page": 0, "kind": "txt", "block_type": "text"}
+        for i in range(20)
+    ]
+    assert K.build_chunks(spark.createDataFrame(rows, schema.RECORD)).count() == 20
+    assert cleaned.value == 20

@@ -1,6 +1,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import similarity as S
@@ -116,3 +117,37 @@ def test_near_pairs_match_all_pairs_in_reach(spark):
             if len(ga & gb) / len(ga | gb) >= 0.7:
                 want.add((i, j))
     assert got == want and want
+
+
+def plain_greedy(norms, gate):
+    kept = []
+    for i, new in enumerate(norms):
+        recent = [norms[j] for j in kept[-30:]]
+        if new and new not in [norms[j] for j in kept] and not any(abs(len(t) - len(new)) <= gate and pair_rule(t, new) for t in recent):
+            kept.append(i)
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bounds_by_bins_change_no_verdict(seed):
+    rng = random.Random(seed)
+    letters = ["ab ", "abcdefgh ", "aăâbcdđeêghiklmnoôơ   ", "abc \U0010fffd\U00020000 "][seed]
+    norms = ["", "a", "ab", "a b", "abc", "a b c"]
+    for _ in range(12):
+        base = "".join(rng.choice(letters) for _ in range(rng.choice([4, 30, 120, 400, 900])))
+        for _ in range(4):
+            cut = list(base)
+            for _ in range(rng.randrange(0, max(2, len(cut) // rng.choice([6, 12, 25])))):
+                cut[rng.randrange(len(cut))] = rng.choice(letters)
+            norms.append(" ".join("".join(cut).split()))
+    for gate in (200, 400):
+        assert S.greedy_positions(norms, gate) == plain_greedy(norms, gate)
+
+
+def test_unrelated_texts_are_told_apart_by_bins(monkeypatch):
+    """No text's grams are matched in full with those of a text that has little in common with it."""
+    rng = random.Random(9)
+    norms = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(150)) for _ in range(20)]
+    monkeypatch.setattr(S, "_common_fives", None)
+    monkeypatch.setattr(S.np, "intersect1d", None)
+    assert S.greedy_positions(norms, 200) == list(range(20))

@@ -41,3 +41,10 @@ def test_tokens_and_sentences(spark):
 
 def test_lines_keep_inner_blank_lines_only(spark):
     assert one(spark, "a\r\n\nb c\n", X.lines) == ["a", "", "b", "c"]
+
+
+def test_cleaning_of_rare_spaces_and_breaks(spark):
+    texts = ["a  b", "a\u2003 \u2003b\t\tc", "x \x85\n \u2028 y", "a\r\nb\rc\x0b\x0c\x1dd", "\u3000a\xa0", "p – q—r", " \n a \n ", "a\x1fb", "(Ban hành kèm theo x) y", "z/QĐ-HVM", "/"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.c for r in df.select("i", X.clean_text(F.col("t")).alias("c")).collect()}
+    assert [got[i] for i in range(len(texts))] == ["a b", "a b c", "x\ny", "a\nb\nc\nd", "a", "p - q-r", "a", "a b", "y", "z", "/"]
