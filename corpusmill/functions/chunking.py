@@ -48,7 +48,7 @@ def _join_short(parts: Column, low: int, high: int) -> Column:
 
     def fits(a: Column, b: Column) -> Column:
         short = (F.length(strip(a)) < low) | (F.length(strip(b)) < low)
-        return short & (F.length(a) + F.length(b) + 1 <= high)
+        return (F.length(a) + F.length(b) + 1 <= high) & short
 
     def close_tail(a: Column) -> Column:
         last, before = F.element_at(a, -1), F.element_at(a, -2)

@@ -152,28 +152,31 @@ def _common_fives(a: _Text, b: _Text) -> int:
     return int(np.minimum(counts[left], other_counts[right]).sum())
 
 
-def _far(earlier: _Text, new: _Text, threshold: float) -> bool:
-    """Whether bins of grams alone show that neither part of the rule can hold: both bounds of ``_near``, no tighter than there."""
-    total = earlier.length + new.length
-    if total < BOUNDED_CHARS:
-        return False
-    # A bin that only one text has stands for a gram that the other lacks.
+def _shingles_differ(earlier: _Text, new: _Text) -> bool:
+    """Whether bins alone show that the Jaccard of the 3-grams is too low: a bin that only one text has stands for a gram that the other lacks."""
     only, lacks = (new.gram_bins & ~earlier.gram_bins).bit_count(), (earlier.gram_bins & ~new.gram_bins).bit_count()
     common = min(len(new.grams) - only, len(earlier.grams) - lacks)
-    if common > 0 and common / (common + only + lacks) >= fixed.DEDUP_JACCARD:
-        return False
+    return common <= 0 or common / (common + only + lacks) < fixed.DEDUP_JACCARD
+
+
+def _few_common_fives(earlier: _Text, new: _Text, threshold: float) -> bool:
+    """Whether 5-grams, counted by bin, already show what ``_near`` asks of those in common."""
     bins, counts, _ = new.five_bins
-    common = int(np.minimum(counts, earlier.five_bins[2][bins]).sum())
+    common, total = int(np.minimum(counts, earlier.five_bins[2][bins]).sum()), earlier.length + new.length
     return 2.0 * (common + 4 * (total + 1)) / 9 / total < threshold
 
 
 def _near(earlier: _Text, new: _Text, threshold: float) -> bool:
     low, high = sorted((earlier.length, new.length))
-    if low / high < fixed.DEDUP_LENGTH_RATIO or _far(earlier, new, threshold):
+    if low / high < fixed.DEDUP_LENGTH_RATIO:
+        return False
+    bounded = low + high >= BOUNDED_CHARS
+    if not (bounded and _shingles_differ(earlier, new)):
+        common = len(np.intersect1d(new.grams, earlier.grams, assume_unique=True))
+        if common / (len(new.grams) + len(earlier.grams) - common) >= fixed.DEDUP_JACCARD:
+            return True
+    if bounded and _few_common_fives(earlier, new, threshold):
         return False
-    common = len(np.intersect1d(new.grams, earlier.grams, assume_unique=True))
-    if common / (len(new.grams) + len(earlier.grams) - common) >= fixed.DEDUP_JACCARD:
-        return True
     # Letters in common bound the matched characters from above.
     shared = sum((earlier.letters & new.letters).values())
     if 2.0 * shared / (low + high) < threshold:
